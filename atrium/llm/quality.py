@@ -119,6 +119,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _fit(rows: list, rounds: int) -> QualityModel:
     """Adaptive gradient descent on two thirds of the rows; calibration on the others."""
     width = FAMILIES << BITS
+    rows = [r for r in rows if len(r.at)]
     if len({r.label for r in rows}) < 2:
         return QualityModel(np.zeros((FAMILIES, 1 << BITS), np.int64), 0.0, 1.0, 40.0)
     label = np.array([r.label for r in rows], float)
@@ -135,10 +136,15 @@ def _fit(rows: list, rounds: int) -> QualityModel:
     w, b = np.zeros(width), 0.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     rate = 0.5
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    by_col = np.argsort(col, kind="stable")
+    used, col_first = np.unique(col[by_col], return_index=True)
+    col_row, col_val = row[by_col], val[by_col]
+    g = np.zeros(width)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, val * w[col], len(rows)) + b
+        z = np.add.reduceat(val * w[col], first) + b
         err = sample_weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label)
-        g = np.bincount(col, val * err[row], width) + 1e-7 * w
+        g[used] = np.add.reduceat(col_val * err[col_row], col_first)
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -149,23 +155,36 @@ def _fit(rows: list, rounds: int) -> QualityModel:
     held = ~train if not train.all() else train
     z = (np.bincount(row, val * (fixed / SCALE)[col], len(rows)) + b)[held]
     y = label[held]
-    # Platt scaling with smoothed targets, by Newton's method
-    hi, lo = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
-    target = np.where(y == 1, hi, lo)
-    slope, offset = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -40, 40)))
-        r, s = p - target, np.maximum(p * (1 - p), 1e-9)
-        grad = np.array([(r * z).sum() + 1e-3 * (slope - 1), r.sum()])
-        hess = np.array([[(s * z * z).sum() + 1e-3, (s * z).sum()], [(s * z).sum(), s.sum() + 1e-9]])
-        step = np.linalg.solve(hess, grad)
-        slope, offset = slope - step[0], offset - step[1]
-        if np.abs(step).max() < 1e-9:
+    slope, offset = _calibrate(z, y)
+    return QualityModel(fixed.reshape(FAMILIES, 1 << BITS), float(b), slope, offset)
+
+
+def _calibrate(z: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
+    """Platt scaling: slope and offset of the log odds, with smoothed targets, by Newton steps halved until the loss falls."""
+    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    mean, spread = z.mean(), max(z.std(), 1e-9)
+    x = (z - mean) / spread
+
+    def loss(a: float, b: float) -> float:
+        m = a * x + b
+        return float(np.sum(np.logaddexp(0, m) - target * m)) + 0.01 * (a * a + b * b)
+
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
+        r, s = p - target, p * (1 - p)
+        step = np.linalg.solve([[(s * x * x).sum() + 0.02, (s * x).sum()], [(s * x).sum(), s.sum() + 0.02]], [(r * x).sum() + 0.02 * a, r.sum() + 0.02 * b])
+        size = 1.0
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > loss(a, b):
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if np.abs(size * step).max() < 1e-8:
             break
-    return QualityModel(fixed.reshape(FAMILIES, 1 << BITS), float(b), float(max(slope, 1e-3)), float(offset))
+    a = max(a, 1e-3)
+    return float(a / spread), float(b - a * mean / spread)
 
 
-def train_quality(documents: DataFrame, labels: DataFrame, rows_per_class: int = 1000, rounds: int = 150, seed: int = 17) -> QualityModel:
+def train_quality(documents: DataFrame, labels: DataFrame, rows_per_class: int = 500, rounds: int = 50, seed: int = 17) -> QualityModel:
     """Fit the classifier on labelled rows.
 
     rows_per_class bounds the training sample: of each class, the labelled rows
