@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprints, licenses, mixing, quality, repeats, warc
+from . import bpe, common, fingerprints, jaccard, licenses, mixing, quality, repeats, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(_documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return quality.quality_rules(docs, quality.train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprints": op1_fingerprints,
         "op2_warc": op2_warc,
         "op3_licenses": op3_licenses,
+        "op4_jaccard": op4_jaccard,
         "op5_quality": op5_quality,
         "op6_bpe": op6_bpe,
         "op8_substring_dedup": op8_substring_dedup,
