@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprints, jaccard, licenses, mixing, quality, repeats, warc
+from . import bpe, common, fingerprints, jaccard, licenses, mixing, quality, repair, repeats, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_tokens(_documents(spark, sf_dir), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN, ids=False)
 
 
+def op7_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.new_path(spark, "token-shards")
+    repair.write_shards(_documents(spark, sf_dir), path, tokenizers.path("word_bpe_49k.json"))
+    return repair.read_shards(spark, path, ids=False)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_earlier_words(_documents(spark, sf_dir))
 
@@ -64,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jaccard": op4_jaccard,
         "op5_quality": op5_quality,
         "op6_bpe": op6_bpe,
+        "op7_repair": op7_repair,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_mixing": op10_mixing,
