@@ -114,7 +114,7 @@ def area_under(curve: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) ->
 
 def floor_evaluation(pred: DataFrame, gt: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """Floors aligned by rank of their lower bound; a predicted floor is right if both bounds are nearer than the tolerance."""
-    rank = lambda df, c: df.select(F.row_number().over(W.orderBy("low")).alias("rank"), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
+    rank = lambda df, c: df.select(F.row_number().over(W.orderBy("low", "high")).alias("rank"), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
     both = rank(pred, "pred").join(rank(gt, "gt"), "rank", "full")
     right = (F.abs(F.col("pred_low") - F.col("gt_low")) < tolerance) & (F.abs(F.col("pred_high") - F.col("gt_high")) < tolerance)
     out = both.agg(F.count("pred_low").alias("n_pred"), F.count("gt_low").alias("n_gt"), F.coalesce(F.sum(right.cast("int")), F.lit(0)).alias("tp"))

@@ -71,9 +71,10 @@ def sessions(df: DataFrame, value: str, eps: float, keys: tuple[str, ...] = (),
 
 def dbscan_1d(df: DataFrame, value: str, eps: float, min_points: int, keys: tuple[str, ...] = (), tie: tuple[str, ...] = ()) -> DataFrame:
     """1-D DBSCAN: cluster of core points by gaps, of border points by the nearest core to the left, else right; noise is -1."""
-    near = W.partitionBy(*keys).orderBy(value).rangeBetween(-eps, eps)
+    by = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    near = F.expr(f"count(*) OVER ({by}ORDER BY {value} RANGE BETWEEN {float(eps)}D PRECEDING AND {float(eps)}D FOLLOWING)")
     w = W.partitionBy(*keys).orderBy(value, *tie)
-    out = df.withColumn("core", F.count("*").over(near) >= min_points).withColumn("core_at", F.when(F.col("core"), F.col(value)))
+    out = df.withColumn("core", near >= min_points).withColumn("core_at", F.when(F.col("core"), F.col(value)))
     before = F.last("core_at", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
     out = out.withColumn("gap", F.when(F.col("core"), F.coalesce(F.col(value) - before, F.lit(0.0)))).withColumn("id", F.sum(F.when(F.col("gap") > eps, 1).otherwise(0)).over(w).cast("long"))
     left_at, left_id = (F.last(F.when(F.col("core"), F.col(c)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)) for c in (value, "id"))

@@ -63,9 +63,9 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float, keys: tuple[
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, keys: tuple[str, ...] = (), axes: tuple[str, ...] = AXES, rings: int = 12) -> DataFrame:
     """left_id, right_id and distance of the nearest right point of each left point; ties go to the smaller id.
 
-    Cells grow fourfold from round to round, and only points that have found
+    Cells double from round to round, and only points that have found
     nothing nearer than a cell's width go on, so the answer is exact.  What has
-    no partner within 4**rings cells (with equal keys) gets no row.
+    no partner within 2**rings cells (with equal keys) gets no row.
     """
     todo, out, size = left, None, cell
     for _ in range(rings):
@@ -74,7 +74,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell
         best = cut(best.select(left_id, F.col("best.id").alias(right_id), F.sqrt("best.d2").alias("distance")))
         out = best if out is None else out.unionByName(best)
         todo = todo.join(best.select(left_id), left_id, "left_anti")
-        size *= 4
+        size *= 2
         if todo.isEmpty():
             break
     return out
@@ -111,9 +111,10 @@ def overlap_ratio(points: DataFrame, pairs: DataFrame, segment: str, point: str,
 def _matched(points: DataFrame, pairs: DataFrame, segment: str, point: str, radius: float, axes: tuple[str, ...]) -> DataFrame:
     """a, b, na, nb: points of each side with a neighbour on the other."""
     rows = points.select(F.col(segment).alias("segment"), F.col(point).alias("point"), *axes)
-    left = rows.join(pairs, F.col("segment") == F.col("a")).select("a", "b", "point", *axes)
-    right = rows.join(pairs, F.col("segment") == F.col("b")).select("a", "b", "point", *axes)
-    hits = within_radius(left, right, radius, ("a", "b"), axes).select("l.a", "l.b", F.col("l.point").alias("lp"), F.col("r.point").alias("rp"))
+    named = pairs.select(F.col("a").alias("segment")).union(pairs.select("b")).distinct()
+    rows = rows.join(named, "segment", "left_semi")
+    near = within_radius(rows, rows, radius, (), axes).select(F.col("l.segment").alias("a"), F.col("r.segment").alias("b"), F.col("l.point").alias("lp"), F.col("r.point").alias("rp"))
+    hits = near.join(pairs, ["a", "b"], "left_semi")
     return hits.groupBy("a", "b").agg(F.countDistinct("lp").alias("na"), F.countDistinct("rp").alias("nb"))
 
 

@@ -18,8 +18,8 @@ def _bipartite(spark, sf_dir):
     return edges
 
 
-@REGISTRY.add("g3_components", f"""WITH RECURSIVE {_ORDERS}, both AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nodes AS (SELECT DISTINCT src AS id FROM both),
-reach AS (SELECT id, id AS component FROM nodes UNION SELECT dst, component FROM reach JOIN both ON id = src)
+@REGISTRY.add("g3_components", f"""WITH RECURSIVE {_ORDERS}, bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nodes AS (SELECT DISTINCT src AS id FROM bi),
+reach AS (SELECT id, id AS component FROM nodes UNION SELECT dst, component FROM reach JOIN bi ON id = src)
 SELECT id, min(component) AS component FROM reach GROUP BY id""")
 def g3(spark, sf_dir):
     edges = _bipartite(spark, sf_dir)
@@ -27,7 +27,7 @@ def g3(spark, sf_dir):
     return graph.components(nodes, edges)
 
 
-@REGISTRY.add("g11_degrees", f"WITH {_ORDERS}, both AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT src AS id, count(*) AS degree FROM both GROUP BY src")
+@REGISTRY.add("g11_degrees", f"WITH {_ORDERS}, bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT src AS id, count(*) AS degree FROM bi GROUP BY src")
 def g11(spark, sf_dir):
     return graph.degrees(_bipartite(spark, sf_dir))
 
@@ -61,15 +61,17 @@ def g7(spark, sf_dir):
 
 @REGISTRY.add("g4_merged_segments")
 def g4(spark, sf_dir):
+    # two passes over the scene see each cell of space as a segment of their own
     p = points(spark, sf_dir)
-    return clustering.merge_masks(p.withColumn("segment", F.floor(F.col("frame_id") / 4).cast("long")).withColumn("z", F.col("z") / 10), "segment", "point_id", 0.6, 0.9, 3.0, 0.5, 20.0)
+    cell = (F.floor(F.col("x") / 5) * 100 + F.floor(F.col("y") / 2)) * 100 + F.floor(F.col("z") / 10)
+    return clustering.merge_masks(p.withColumn("segment", (cell * 2 + F.col("frame_id") % 2).cast("long")), "segment", "point_id", 0.5, 0.5, 0.5, 0.25, 10.0)
 
 
-_CELLS = f"{POINTS}, c AS (SELECT DISTINCT segment, CAST(floor(x / 2) AS BIGINT) AS row, CAST(floor(z / 2) AS BIGINT) AS col FROM points WHERE segment < 8)"
+_CELLS = f"{POINTS}, c AS (SELECT DISTINCT segment, CAST(floor(x / 2) AS BIGINT) AS row, CAST(floor(z / 2) AS BIGINT) AS col FROM points)"
 
 
 def _cells(spark, sf_dir):
-    return raster.occupied(points(spark, sf_dir).where("segment < 8"), 2.0, ("segment",)).select("segment", "row", "col")
+    return raster.occupied(points(spark, sf_dir), 2.0, ("segment",)).select("segment", "row", "col")
 
 
 @REGISTRY.add("w9_dilated_cells", f"WITH {_CELLS} SELECT DISTINCT segment, row + i AS row, col + j AS col FROM c, range(-1, 2) a(i), range(-1, 2) b(j)")
@@ -83,17 +85,17 @@ def w9_close(spark, sf_dir):
     return raster.close(_cells(spark, sf_dir), 1, ("segment",))
 
 
-@REGISTRY.add("w9_box_mean", f"""WITH {POINTS}, c AS (SELECT segment, CAST(floor(x / 2) AS BIGINT) AS row, CAST(floor(z / 2) AS BIGINT) AS col, max(y) AS height FROM points WHERE segment < 8 GROUP BY 1, 2, 3)
+@REGISTRY.add("w9_box_mean", f"""WITH {POINTS}, c AS (SELECT segment, CAST(floor(x / 2) AS BIGINT) AS row, CAST(floor(z / 2) AS BIGINT) AS col, max(y) AS height FROM points GROUP BY 1, 2, 3)
 SELECT a.segment, a.row, a.col, round(avg(b.height), 6) AS height FROM c a JOIN c b ON a.segment = b.segment AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2, 3""")
 def w9_mean(spark, sf_dir):
-    cells = raster.occupied(points(spark, sf_dir).where("segment < 8"), 2.0, ("segment",))
+    cells = raster.occupied(points(spark, sf_dir), 2.0, ("segment",))
     return raster.box_mean(cells, 1, "height", ("segment",)).select("segment", "row", "col", F.round("height", 6).alias("height"))
 
 
-@REGISTRY.add("s9_free_cells", f"""WITH {POINTS}, c AS (SELECT DISTINCT CAST(floor(x / 2) AS BIGINT) AS row, CAST(floor(z / 2) AS BIGINT) AS col, y < 5 AS low FROM points WHERE segment < 8)
+@REGISTRY.add("s9_free_cells", f"""WITH {POINTS}, c AS (SELECT DISTINCT CAST(floor(x / 2) AS BIGINT) AS row, CAST(floor(z / 2) AS BIGINT) AS col, y < 5 AS low FROM points)
 SELECT row, col FROM c WHERE low EXCEPT SELECT row, col FROM c WHERE NOT low""")
 def s9(spark, sf_dir):
-    p = points(spark, sf_dir).where("segment < 8")
+    p = points(spark, sf_dir)
     low, high = (raster.occupied(p.where(c), 2.0).select("row", "col") for c in ("y < 5", "not y < 5"))
     return raster.subtract(low, high)
 

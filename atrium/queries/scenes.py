@@ -61,10 +61,10 @@ def s19(spark, sf_dir):
     return named.select("object_id", P.parent_id(F.col("object_id")).alias("parent_id"), "label")
 
 
-@REGISTRY.add("e13_topology", f"""WITH {POINTS}, {OBJECTS} SELECT floor_id, room_id, count(DISTINCT vec_id) AS n_objects, count(*) AS n_points, round(avg(x), 5) AS cx, round(avg(y), 5) AS cy, round(avg(z), 4) AS cz FROM objects JOIN points ON points.segment = objects.vec_id GROUP BY floor_id, room_id""")
+@REGISTRY.add("e13_topology", f"""WITH {POINTS}, {OBJECTS} SELECT floor_id, room_id, count(DISTINCT vec_id) AS n_objects, count(*) AS n_points, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy, round(avg(z), 9) AS cz FROM objects JOIN points ON points.segment = objects.vec_id GROUP BY floor_id, room_id""")
 def e13(spark, sf_dir):
     joined = objects(spark, sf_dir).join(points(spark, sf_dir), F.col("segment") == F.col("vec_id"))
-    return joined.groupBy("floor_id", "room_id").agg(F.countDistinct("vec_id").alias("n_objects"), F.count("*").alias("n_points"), F.round(F.avg("x"), 5).alias("cx"), F.round(F.avg("y"), 5).alias("cy"), F.round(F.avg("z"), 4).alias("cz"))
+    return joined.groupBy("floor_id", "room_id").agg(F.countDistinct("vec_id").alias("n_objects"), F.count("*").alias("n_points"), F.round(F.avg("x"), 9).alias("cx"), F.round(F.avg("y"), 9).alias("cy"), F.round(F.avg("z"), 9).alias("cz"))
 
 
 @REGISTRY.add("a18_graph_sizes", f"""WITH {OBJECTS} SELECT 'object' AS type, count(*) AS n FROM objects UNION ALL SELECT 'room', count(DISTINCT room_id) FROM objects UNION ALL SELECT 'floor', count(DISTINCT floor_id) FROM objects""")
@@ -74,34 +74,36 @@ def a18(spark, sf_dir):
     return one("object", F.count("*")).unionByName(one("room", F.countDistinct("room_id"))).unionByName(one("floor", F.countDistinct("floor_id")))
 
 
-@REGISTRY.add("f11_objects_on_floors", f"""WITH {POINTS}, b AS (SELECT segment, min(y) AS y0, max(y) AS y1 FROM points WHERE frame_id % 40 = 7 GROUP BY segment), f AS (SELECT CAST(r_regionkey AS BIGINT) AS floor_id, r_regionkey * 1.0 - 1 AS low, r_regionkey * 2.0 + 4 AS high FROM region)
-SELECT segment, floor_id FROM b JOIN f ON y0 > low - 0.2 AND y1 < high + 0.2""")
+@REGISTRY.add("f11_objects_on_floors", f"""WITH {POINTS}, b AS (SELECT frame_id, min(y) AS y0, max(y) AS y1 FROM points GROUP BY frame_id), f AS (SELECT CAST(r_regionkey AS BIGINT) AS floor_id, r_regionkey * 1.0 - 1 AS low, r_regionkey * 2.0 + 4 AS high FROM region)
+SELECT frame_id, floor_id FROM b JOIN f ON y0 > low - 0.2 AND y1 < high + 0.2""")
 def f11(spark, sf_dir):
-    boxes = spatial.bounds(points(spark, sf_dir).where("frame_id % 40 = 7"), ("segment",))
+    boxes = spatial.bounds(points(spark, sf_dir), ("frame_id",))
     k = F.col("r_regionkey")
     floors = table(spark, sf_dir, "region").select(k.cast("long").alias("floor_id"), (k * 1.0 - 1).alias("low"), (k * 2.0 + 4).alias("high"))
-    return scene.objects_on_floors(boxes, floors).select("segment", "floor_id")
+    return scene.objects_on_floors(boxes, floors).select("frame_id", "floor_id")
 
 
-_ROOMS = "rooms AS (SELECT segment % 6 AS room_id, point_id AS cell_id, x, z FROM points WHERE segment BETWEEN 20 AND 25)"
+_ROOMS = "rooms AS (SELECT CAST(p_size % 6 AS BIGINT) AS room_id, p_partkey AS cell_id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 20 AS z FROM part)"
 
 
-@REGISTRY.add("j10_object_rooms", f"""WITH {POINTS}, {_ROOMS}, o AS (SELECT segment, point_id, x, z FROM points WHERE segment < 8),
+def _room_cells(spark, sf_dir):
+    """Rooms as cells: one a part, in six rooms."""
+    return table(spark, sf_dir, "part").select((F.col("p_size") % 6).cast("long").alias("room_id"), F.col("p_partkey").alias("cell_id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 20).alias("z"))
+
+
+@REGISTRY.add("j10_object_rooms", f"""WITH {POINTS}, {_ROOMS}, o AS (SELECT segment, point_id, x, z FROM points),
 h AS (SELECT segment, room_id, count(DISTINCT cell_id) AS hits FROM o JOIN rooms r ON (o.x - r.x) * (o.x - r.x) + (o.z - r.z) * (o.z - r.z) < 0.25 GROUP BY 1, 2), b AS (SELECT segment, room_id, row_number() OVER (PARTITION BY segment ORDER BY hits DESC, room_id) AS rank FROM h),
 c AS (SELECT segment, avg(x) AS cx, avg(z) AS cz FROM o GROUP BY 1), m AS (SELECT room_id, avg(x) AS rx, avg(z) AS rz FROM rooms GROUP BY 1), f AS (SELECT segment, room_id, row_number() OVER (PARTITION BY segment ORDER BY (cx - rx) * (cx - rx) + (cz - rz) * (cz - rz), room_id) AS rank FROM c, m)
 SELECT c.segment, coalesce(b.room_id, f.room_id) AS room_id FROM c LEFT JOIN b ON b.segment = c.segment AND b.rank = 1 LEFT JOIN f ON f.segment = c.segment AND f.rank = 1""")
 def j10(spark, sf_dir):
-    p = points(spark, sf_dir)
-    rooms = p.where("segment between 20 and 25").select((F.col("segment") % 6).alias("room_id"), F.col("point_id").alias("cell_id"), "x", "z")
-    return scene.assign_rooms(p.where("segment < 8"), rooms, radius=0.5)
+    return scene.assign_rooms(points(spark, sf_dir), _room_cells(spark, sf_dir), radius=0.5)
 
 
 @REGISTRY.add("j12_room_cameras", f"""WITH {POINTS}, {_ROOMS}, {POSES}, m AS (SELECT room_id, avg(x) AS rx, avg(z) AS rz FROM rooms GROUP BY 1), d AS (SELECT frame_id, room_id, (x - rx) * (x - rx) + (z - rz) * (z - rz) AS d2 FROM poses, m WHERE y BETWEEN 10 AND 40),
 a AS (SELECT room_id, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY d2, room_id) AS rank FROM d) WHERE rank = 1),
 b AS (SELECT room_id, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY d2, frame_id) AS rank FROM d WHERE room_id NOT IN (SELECT room_id FROM a)) WHERE rank = 1) SELECT room_id, frame_id FROM a UNION ALL SELECT room_id, frame_id FROM b""")
 def j12(spark, sf_dir):
-    rooms = points(spark, sf_dir).where("segment between 20 and 25").select((F.col("segment") % 6).alias("room_id"), "x", "z")
-    return scene.assign_cameras(poses(spark, sf_dir), rooms, 10, 40)
+    return scene.assign_cameras(poses(spark, sf_dir), _room_cells(spark, sf_dir), 10, 40)
 
 
 def _scores(spark, sf_dir):

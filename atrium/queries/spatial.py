@@ -13,10 +13,10 @@ REGISTRY = Registry()
 _BOXES = f"{POINTS}, boxes AS (SELECT segment, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1, count(*) AS n_points FROM points GROUP BY segment)"
 
 
-@REGISTRY.add("a2_voxel_downsample", f"WITH {POINTS} SELECT CAST(floor(x / 5) AS BIGINT) AS vx, CAST(floor(y / 2) AS BIGINT) AS vy, CAST(floor(z / 10) AS BIGINT) AS vz, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 5) AS z, count(*) AS n_points FROM points GROUP BY 1, 2, 3")
+@REGISTRY.add("a2_voxel_downsample", f"WITH {POINTS} SELECT CAST(floor(x / 5) AS BIGINT) AS vx, CAST(floor(y / 2) AS BIGINT) AS vy, CAST(floor(z / 10) AS BIGINT) AS vz, round(avg(x), 9) AS x, round(avg(y), 9) AS y, round(avg(z), 9) AS z, count(*) AS n_points FROM points GROUP BY 1, 2, 3")
 def a2(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("vx", G.voxel(F.col("x"), 5)).withColumn("vy", G.voxel(F.col("y"), 2)).withColumn("vz", G.voxel(F.col("z"), 10))
-    return p.groupBy("vx", "vy", "vz").agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"), F.round(F.avg("z"), 5).alias("z"), F.count("*").alias("n_points"))
+    return p.groupBy("vx", "vy", "vz").agg(F.round(F.avg("x"), 9).alias("x"), F.round(F.avg("y"), 9).alias("y"), F.round(F.avg("z"), 9).alias("z"), F.count("*").alias("n_points"))
 
 
 @REGISTRY.add("a8_histogram_2d", f"WITH {POINTS} SELECT CAST(floor(x / 4) AS BIGINT) AS row, CAST(floor(z / 8) AS BIGINT) AS col, count(*) AS n FROM points GROUP BY 1, 2")
@@ -50,12 +50,12 @@ def p2(spark, sf_dir):
 
 
 @REGISTRY.add("p5_bird_eye_view", f"""WITH {POINTS}, low AS (SELECT segment, min(y) AS y FROM points GROUP BY segment)
-SELECT segment, CAST(floor(x / 2) AS BIGINT) AS vx, CAST(floor(z / 2) AS BIGINT) AS vz, round(avg(x), 6) AS x, round(avg(p.z), 5) AS z, min(low.y) AS y, count(*) AS n FROM points p JOIN low USING (segment) GROUP BY 1, 2, 3""")
+SELECT segment, CAST(floor(x / 2) AS BIGINT) AS vx, CAST(floor(z / 2) AS BIGINT) AS vz, round(avg(x), 9) AS x, round(avg(p.z), 9) AS z, min(low.y) AS y, count(*) AS n FROM points p JOIN low USING (segment) GROUP BY 1, 2, 3""")
 def p5(spark, sf_dir):
     p = points(spark, sf_dir)
     low = p.groupBy("segment").agg(F.min("y").alias("low"))
     flat = p.join(low, "segment").groupBy("segment", G.voxel(F.col("x"), 2).alias("vx"), G.voxel(F.col("z"), 2).alias("vz"))
-    return flat.agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("z"), 5).alias("z"), F.min("low").alias("y"), F.count("*").alias("n"))
+    return flat.agg(F.round(F.avg("x"), 9).alias("x"), F.round(F.avg("z"), 9).alias("z"), F.min("low").alias("y"), F.count("*").alias("n"))
 
 
 @REGISTRY.add("p6_world_to_grid", f"WITH {POINTS}, low AS (SELECT min(x) AS lx, min(z) AS lz FROM points) SELECT point_id, CAST(trunc((x - lx) / 0.3) AS INTEGER) AS row, CAST(trunc((z - lz) / 0.3) AS INTEGER) AS col FROM points, low")
@@ -86,9 +86,9 @@ def f4(spark, sf_dir):
     return points(spark, sf_dir).groupBy("segment").agg(count(y.between(2, 6)).alias("slab"), count((y >= 1.5) & (y < 7.7)).alias("wall"), count((y > 0.2) & (y < 1.5)).alias("obstacle"), count(y < 1.5).alias("region"))
 
 
-@REGISTRY.add("f2_far_mask_filter", f"WITH {POINTS} SELECT segment, count(*) AS n FROM points GROUP BY segment HAVING avg(z) <= 36.5 AND count(*) >= 100")
+@REGISTRY.add("f2_far_mask_filter", f"WITH {POINTS} SELECT segment, count(*) AS n FROM points GROUP BY segment HAVING avg(z) <= 53 AND count(*) >= 100")
 def f2(spark, sf_dir):
-    return points(spark, sf_dir).groupBy("segment").agg(F.avg("z").alias("depth"), F.count("*").alias("n")).where("depth <= 36.5 and n >= 100").select("segment", "n")
+    return points(spark, sf_dir).groupBy("segment").agg(F.avg("z").alias("depth"), F.count("*").alias("n")).where("depth <= 53 and n >= 100").select("segment", "n")
 
 
 @REGISTRY.add("f12_structural_names", "SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(lower(p_name), 'wall|floor|ceiling|door|window|pillar|beam|stair')")
@@ -107,43 +107,40 @@ def p8(spark, sf_dir):
     return spatial.extrude(cells, F.lit(0.0), F.lit(2.5), 0.5).select("row", "col", "level", F.round("y", 6).alias("y"))
 
 
-def _some(spark, sf_dir):
-    """Points of one segment as probes and of another as the map."""
-    p = points(spark, sf_dir)
-    return p.where("segment = 1"), p.where("segment = 2")
+def _map_points(spark, sf_dir):
+    """The map that points are snapped to: one point a part."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("map_id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 11).cast("double").alias("y"), (F.col("p_retailprice") / 20).alias("z"), (F.col("p_size") % 5).cast("long").alias("label"))
+
+
+_MAP = "map AS (SELECT p_partkey AS map_id, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 11 AS DOUBLE) AS y, p_retailprice / 20 AS z, CAST(p_size % 5 AS BIGINT) AS label FROM part)"
 
 
-@REGISTRY.add("j1_nearest_point", f"""WITH {POINTS}, a AS (SELECT * FROM points WHERE segment = 1), b AS (SELECT * FROM points WHERE segment = 2),
-d AS (SELECT a.point_id, b.point_id AS map_id, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM a, b),
-r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, map_id) AS rank FROM d) SELECT point_id, map_id, round(sqrt(d2), 6) AS distance FROM r WHERE rank = 1""")
+@REGISTRY.add("j1_nearest_point", f"""WITH {POINTS}, {_MAP}, d AS (SELECT a.point_id, arg_min(b.map_id, ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.map_id)) AS map_id, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d2 FROM points a, map b GROUP BY a.point_id)
+SELECT point_id, map_id, round(sqrt(d2), 6) AS distance FROM d""")
 def j1(spark, sf_dir):
-    a, b = _some(spark, sf_dir)
-    near = spatial.nearest(a.select("point_id", "x", "y", "z"), b.select(F.col("point_id").alias("map_id"), "x", "y", "z"), "point_id", "map_id", 2.0)
+    near = spatial.nearest(points(spark, sf_dir).select("point_id", "x", "y", "z"), _map_points(spark, sf_dir).drop("label"), "point_id", "map_id", 4.0)
     return near.select("point_id", "map_id", F.round("distance", 6).alias("distance"))
 
 
-_NEAR = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 4.0"
+_AROUND = "(SELECT *, floor(x) + i AS cx, floor(y) + j AS cy, floor(z) + k AS cz FROM points, range(-1, 2) t(i), range(-1, 2) u(j), range(-1, 2) v(k))"
 
 
-@REGISTRY.add("j6_segment_overlap", f"""WITH {POINTS}, p AS (SELECT * FROM points WHERE segment < 4), h AS (SELECT a.segment AS a, b.segment AS b, a.point_id AS pa, b.point_id AS pb FROM p a JOIN p b ON a.segment < b.segment AND {_NEAR}),
-m AS (SELECT a, b, count(DISTINCT pa) AS na, count(DISTINCT pb) AS nb FROM h GROUP BY a, b), s AS (SELECT segment, count(*) AS n FROM p GROUP BY segment)
+@REGISTRY.add("j6_segment_overlap", f"""WITH {POINTS}, h AS (SELECT a.segment AS a, b.segment AS b, a.point_id AS pa, b.point_id AS pb FROM {_AROUND} a JOIN points b ON a.cx = floor(b.x) AND a.cy = floor(b.y) AND a.cz = floor(b.z) AND a.segment < b.segment AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 1.0),
+m AS (SELECT a, b, count(DISTINCT pa) AS na, count(DISTINCT pb) AS nb FROM h GROUP BY a, b), s AS (SELECT segment, count(*) AS n FROM points GROUP BY segment)
 SELECT a.segment AS a, b.segment AS b, round(greatest(coalesce(na, 0) / a.n, coalesce(nb, 0) / b.n), 6) AS overlap FROM s a JOIN s b ON a.segment < b.segment LEFT JOIN m ON m.a = a.segment AND m.b = b.segment""")
 def j6(spark, sf_dir):
-    p = points(spark, sf_dir).where("segment < 4")
+    p = points(spark, sf_dir)
     ids = p.select("segment").distinct()
     pairs = ids.select(F.col("segment").alias("a")).join(ids.select(F.col("segment").alias("b")), F.col("a") < F.col("b"))
-    return spatial.overlap_ratio(p, pairs, "segment", "point_id", 2.0).select("a", "b", F.round("overlap", 6).alias("overlap"))
+    return spatial.overlap_ratio(p, pairs, "segment", "point_id", 1.0).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
-@REGISTRY.add("j8_box_iou_pairs", f"""WITH {POINTS}, boxes AS (SELECT frame_id, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1, min(z) AS z0, max(z) + 1 AS z1 FROM points WHERE frame_id % 10 = 0 GROUP BY frame_id),
-i AS (SELECT a.frame_id AS a, b.frame_id AS b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) * greatest(0, least(a.z1, b.z1) - greatest(a.z0, b.z0)) AS inter,
-(a.x1 - a.x0) * (a.y1 - a.y0) * (a.z1 - a.z0) AS va, (b.x1 - b.x0) * (b.y1 - b.y0) * (b.z1 - b.z0) AS vb FROM boxes a JOIN boxes b ON a.frame_id < b.frame_id)
-SELECT a, b, round(inter / (va + vb - inter), 6) AS iou FROM i WHERE inter / (va + vb - inter) > 0.5""")
+@REGISTRY.add("j8_box_iou_pairs", f"""WITH {_MAP}, i AS (SELECT a.map_id AS a, b.map_id AS b, greatest(0, least(a.x, b.x) + 3 - greatest(a.x, b.x)) * greatest(0, least(a.y, b.y) + 3 - greatest(a.y, b.y)) * greatest(0, least(a.z, b.z) + 3 - greatest(a.z, b.z)) AS inter FROM map a JOIN map b ON a.map_id < b.map_id)
+SELECT a, b, round(inter / (54 - inter), 6) AS iou FROM i WHERE inter / (54 - inter) > 0.05""")
 def j8(spark, sf_dir):
-    # frames every tenth of which are kept, as the scan's skip parameter does
-    boxes = spatial.bounds(points(spark, sf_dir).where("frame_id % 10 = 0"), ("frame_id",))
-    boxes = boxes.select("frame_id", "x0", (F.col("x1") + 1).alias("x1"), "y0", (F.col("y1") + 1).alias("y1"), "z0", (F.col("z1") + 1).alias("z1"))
-    return spatial.iou_pairs(boxes, "frame_id", 25.0, 0.5).select("a", "b", F.round("iou", 6).alias("iou"))
+    p = _map_points(spark, sf_dir)
+    boxes = p.select("map_id", *[c for a in ("x", "y", "z") for c in (F.col(a).alias(f"{a}0"), (F.col(a) + 3).alias(f"{a}1"))])
+    return spatial.iou_pairs(boxes, "map_id", 4.0, 0.05).select("a", "b", F.round("iou", 6).alias("iou"))
 
 
 @REGISTRY.add("j13_floor_interval_join", f"""WITH {POINTS}, m AS (SELECT segment, avg(y) AS mean_height FROM points GROUP BY segment), f AS (SELECT CAST(r_regionkey AS BIGINT) AS floor_id, 4.6 + 0.2 * r_regionkey AS low, 4.8 + 0.2 * r_regionkey AS high FROM region)
@@ -154,34 +151,32 @@ def j13(spark, sf_dir):
     return spatial.interval_join(means, F.broadcast(floors), "mean_height", "low", "high").select("segment", "floor_id")
 
 
-@REGISTRY.add("j20_knn_label_vote", f"""WITH {POINTS}, a AS (SELECT * FROM points WHERE segment = 3), b AS (SELECT *, frame_id % 5 AS label FROM points WHERE segment BETWEEN 4 AND 7),
-d AS (SELECT a.point_id, b.point_id AS other, label, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM a, b),
-n AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d2, other) AS rank FROM d WHERE d2 < 36.0), v AS (SELECT point_id, label, count(*) AS votes FROM n WHERE rank <= 5 GROUP BY point_id, label),
-r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY votes DESC, label) AS rank FROM v) SELECT point_id, label, votes FROM r WHERE rank = 1""")
+@REGISTRY.add("j20_knn_label_vote", f"""WITH {_MAP}, a AS (SELECT c_custkey, c_acctbal / 200 AS x, CAST(c_nationkey % 11 AS DOUBLE) AS y, CAST(c_custkey % 100 AS DOUBLE) AS z FROM customer),
+d AS (SELECT c_custkey, map_id, label, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM a, map b),
+n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d2, map_id) AS rank FROM d WHERE d2 < 64.0), v AS (SELECT c_custkey, label, count(*) AS votes FROM n WHERE rank <= 5 GROUP BY c_custkey, label),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY votes DESC, label) AS rank FROM v) SELECT c_custkey, label, votes FROM r WHERE rank = 1""")
 def j20(spark, sf_dir):
-    p = points(spark, sf_dir)
-    labelled = p.where("segment between 4 and 7").select(F.col("point_id").alias("other"), (F.col("frame_id") % 5).alias("label"), "x", "y", "z")
-    return spatial.knn_vote(p.where("segment = 3").select("point_id", "x", "y", "z"), labelled, "point_id", "other", "label", 5, 6.0)
+    left = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 200).alias("x"), (F.col("c_nationkey") % 11).cast("double").alias("y"), (F.col("c_custkey") % 100).cast("double").alias("z"))
+    return spatial.knn_vote(left, _map_points(spark, sf_dir), "c_custkey", "map_id", "label", 5, 8.0)
 
 
-@REGISTRY.add("j22_height_interpolation", f"""WITH {POINTS}, cells AS (SELECT floor(x) AS x, floor(z) AS z, max(y) AS y FROM points WHERE segment = 5 GROUP BY 1, 2), e AS (SELECT DISTINCT floor(x) AS x, floor(z) AS z FROM points WHERE segment = 6), gaps AS (SELECT * FROM e ANTI JOIN cells USING (x, z)),
+@REGISTRY.add("j22_height_interpolation", f"""WITH {POINTS}, cells AS (SELECT floor(x) AS x, floor(z) AS z, max(y) AS y FROM points GROUP BY 1, 2), e AS (SELECT DISTINCT x + i AS x, z + j AS z FROM cells, range(-1, 2) a(i), range(-1, 2) b(j)), gaps AS (SELECT * FROM e ANTI JOIN cells USING (x, z)),
 d AS (SELECT g.x, g.z, c.y, row_number() OVER (PARTITION BY g.x, g.z ORDER BY (g.x - c.x) * (g.x - c.x) + (g.z - c.z) * (g.z - c.z), c.x, c.z) AS rank FROM gaps g JOIN cells c ON (g.x - c.x) * (g.x - c.x) + (g.z - c.z) * (g.z - c.z) < 64.0)
-SELECT CAST(x AS BIGINT) AS row, CAST(z AS BIGINT) AS col, round(avg(y), 6) AS height FROM d WHERE rank <= 10 GROUP BY x, z""")
+SELECT CAST(x AS BIGINT) AS row, CAST(z AS BIGINT) AS col, round(avg(y), 9) AS height FROM d WHERE rank <= 10 GROUP BY x, z""")
 def j22(spark, sf_dir):
-    p = points(spark, sf_dir)
-    cell = lambda s: p.where(f"segment = {s}").groupBy(F.floor("x").cast("double").alias("x"), F.floor("z").cast("double").alias("z")).agg(F.max("y").alias("y"))
-    known = cell(5)
-    gaps = cell(6).join(known, ["x", "z"], "left_anti").select("x", "z", (F.col("x") * 1000 + F.col("z")).alias("gap"))
-    near = spatial.k_nearest(gaps, known.withColumn("cell", F.col("x") * 1000 + F.col("z")), "gap", "cell", 10, 8.0, (), ("x", "z"))
-    return near.join(gaps, "gap").groupBy("x", "z").agg(F.round(F.avg("right.y"), 6).alias("height")).select(F.col("x").cast("long").alias("row"), F.col("z").cast("long").alias("col"), "height")
+    cells = raster.occupied(points(spark, sf_dir), 1.0)
+    known = cells.select(F.col("row").cast("double").alias("x"), F.col("col").cast("double").alias("z"), F.col("height").alias("y"), (F.col("row") * 1000 + F.col("col")).alias("cell"))
+    gaps = raster.subtract(raster.dilate(cells.select("row", "col"), 1), cells).select("row", "col", F.col("row").cast("double").alias("x"), F.col("col").cast("double").alias("z"), (F.col("row") * 1000 + F.col("col")).alias("gap"))
+    near = spatial.k_nearest(gaps.select("gap", "x", "z"), known, "gap", "cell", 10, 8.0, (), ("x", "z"))
+    return near.join(gaps, "gap").groupBy("row", "col").agg(F.round(F.avg("right.y"), 9).alias("height"))
 
 
-@REGISTRY.add("j11_camera_room_assignment", f"""WITH {POSES}, {POINTS}, rooms AS (SELECT segment AS room_id, avg(x) AS x, avg(z) AS z FROM points WHERE segment < 10 GROUP BY segment),
+@REGISTRY.add("j11_camera_room_assignment", f"""WITH {POSES}, {POINTS}, rooms AS (SELECT segment AS room_id, avg(x) AS x, avg(z) AS z FROM points GROUP BY segment),
 d AS (SELECT frame_id, room_id, row_number() OVER (PARTITION BY frame_id ORDER BY (p.x - r.x) * (p.x - r.x) + (p.z - r.z) * (p.z - r.z), room_id) AS rank FROM poses p, rooms r WHERE p.y BETWEEN 10 AND 40)
 SELECT frame_id, room_id FROM d WHERE rank = 1""")
 def j11(spark, sf_dir):
     # a floor's rooms are a stated small set of centres; every camera in the floor's heights is held against it
-    rooms = points(spark, sf_dir).where("segment < 10").groupBy(F.col("segment").alias("room_id")).agg(F.avg("x").alias("rx"), F.avg("z").alias("rz"))
+    rooms = points(spark, sf_dir).groupBy(F.col("segment").alias("room_id")).agg(F.avg("x").alias("rx"), F.avg("z").alias("rz"))
     cameras = poses(spark, sf_dir).where("y between 10 and 40").crossJoin(F.broadcast(rooms))
     dx, dz = F.col("x") - F.col("rx"), F.col("z") - F.col("rz")
     return cameras.groupBy("frame_id").agg(F.min_by("room_id", F.struct((dx * dx + dz * dz).alias("d2"), "room_id")).alias("room_id"))
@@ -199,10 +194,10 @@ def j23(spark, sf_dir):
 
 
 @REGISTRY.add("a1_feature_fusion", f"""WITH {POINTS}, hits AS (SELECT frame_id, segment AS map_point, max(point_id) AS pixel FROM points GROUP BY frame_id, segment)
-SELECT map_point, count(*) AS frames, round(avg(y), 6) AS f0, round(avg(z), 5) AS f1 FROM hits JOIN points ON points.point_id = hits.pixel AND points.frame_id = hits.frame_id GROUP BY map_point""")
+SELECT map_point, count(*) AS frames, round(avg(y), 9) AS f0, round(avg(z), 9) AS f1 FROM hits JOIN points ON points.point_id = hits.pixel AND points.frame_id = hits.frame_id GROUP BY map_point""")
 def a1(spark, sf_dir):
     one = points(spark, sf_dir).groupBy("frame_id", F.col("segment").alias("map_point")).agg(F.max_by(F.struct("y", "z"), "point_id").alias("feature"))
-    return one.groupBy("map_point").agg(F.count("*").alias("frames"), F.round(F.avg("feature.y"), 6).alias("f0"), F.round(F.avg("feature.z"), 5).alias("f1"))
+    return one.groupBy("map_point").agg(F.count("*").alias("frames"), F.round(F.avg("feature.y"), 9).alias("f0"), F.round(F.avg("feature.z"), 9).alias("f1"))
 
 
 @REGISTRY.add("s8_intrinsics", "SELECT p_partkey, round(w / (2 * tan(pi() / 4)), 6) AS fx, round(h / (2 * tan(atan(tan(pi() / 4) * h / w))), 6) AS fy, w / 2 AS cx, h / 2 AS cy FROM (SELECT p_partkey, CAST(p_size + 100 AS DOUBLE) AS w, CAST(p_size + 60 AS DOUBLE) AS h FROM part)")

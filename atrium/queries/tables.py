@@ -19,12 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """point_id, segment, frame_id, x, y, z."""
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("point_id"), (F.col("l_partkey") % N_SEGMENTS).alias("segment"), F.col("l_orderkey").alias("frame_id"),
+        (((F.col("l_orderkey") * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 8 + F.col("l_linenumber")).alias("point_id"), (F.col("l_partkey") % N_SEGMENTS).alias("segment"), F.col("l_orderkey").alias("frame_id"),
         F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount") * 100).alias("y"), (F.col("l_extendedprice") / 1000).alias("z"),
     )
 
 
-POINTS = f"points AS (SELECT l_orderkey * 8 + l_linenumber AS point_id, l_partkey % {N_SEGMENTS} AS segment, l_orderkey AS frame_id, CAST(l_quantity AS DOUBLE) AS x, l_discount * 100 AS y, l_extendedprice / 1000 AS z FROM lineitem)"
+POINTS = f"points AS (SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 8 + l_linenumber AS point_id, l_partkey % {N_SEGMENTS} AS segment, l_orderkey AS frame_id, CAST(l_quantity AS DOUBLE) AS x, l_discount * 100 AS y, l_extendedprice / 1000 AS z FROM lineitem)"
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def a3(spark, sf_dir):
 
 
 @REGISTRY.add("a4_blend_vectors", """WITH n AS (SELECT vec_id + 1 AS vec_id, embedding AS other FROM embeddings),
-b AS (SELECT e.vec_id, list_transform(range(1, 65), i -> 0.4418 * CAST(e.embedding[i] AS DOUBLE) + (1 - 0.4418) * CAST(other[i] AS DOUBLE)) AS v FROM embeddings e JOIN n USING (vec_id))
+b AS (SELECT e.vec_id, list_transform(range(1, 65), lambda i: 0.4418 * CAST(e.embedding[i] AS DOUBLE) + (1 - 0.4418) * CAST(other[i] AS DOUBLE)) AS v FROM embeddings e JOIN n USING (vec_id))
 SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS last FROM b""")
 def a4(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
