@@ -9,8 +9,11 @@
    the overlap from above; sizes and bitmaps rule out most pairs of a tile.
 4. Pairs that are left are verified on the sorted shingle arrays.
 
-Sets that are alike in large numbers are first linked to one leader of their
-tile each; tiles whose sets are then in one component need no further pairs.
+Sets that are alike in large numbers would make a number of pairs that grows with
+its square.  So each set first proposes two partners at most, the nearest one
+and the one of least doc_id that its tiles leave it; sets that the links found
+connect get one label, tiles of one label drop out, and after some rounds the
+few pairs that are left between labels are all verified.
 """
 
 from __future__ import annotations
@@ -55,10 +58,10 @@ def least_prefix(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def parity_bitmap(shingles: np.ndarray) -> np.ndarray:
-    """64-bit words of the bitmap in which each shingle flips a bit; its length is a power of two of at least 64 and n / 2 bits."""
+def parity_bitmap(shingles: np.ndarray, share: int = 1) -> np.ndarray:
+    """64-bit words of the bitmap in which each shingle flips a bit; its length is a power of two of at least 64 and share * n / 2 bits."""
     bits = 64
-    while 2 * bits < len(shingles):
+    while 2 * bits < share * len(shingles):
         bits *= 2
     place = (mix(shingles) & np.uint64(bits - 1)).astype(np.int64)
     odd = (np.bincount(place, minlength=bits) & 1).astype(np.uint8)
@@ -103,7 +106,7 @@ def _frequent(documents: DataFrame, sample: int, share: float, most: int) -> np.
 
 
 def _sets(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc, n, s1, s2 (hash of the set), bits, prefix of each document."""
+    """doc, n, s1, s2 (hash of the set), bits and wide (bitmaps), prefix of each document."""
     hot = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +114,14 @@ def _sets(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
         for batch in batches:
             docs, texts = batch.column("doc"), batch.column("text")
             for at in range(0, batch.num_rows, 1000):
-                n, s1, s2, bits, prefix = [], [], [], [], []
+                n, s1, s2, bits, wide, prefix = [], [], [], [], [], []
                 for s in shingle_sets(*column_bytes(texts.slice(at, 1000))):
                     p = least_prefix(len(s))
                     n.append(len(s))
                     s1.append(int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else 0)
                     s2.append(int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0)
                     bits.append(parity_bitmap(s).tobytes() if len(s) else b"")
+                    wide.append(parity_bitmap(s, 8).tobytes() if len(s) else b"")
                     if len(often) and p:
                         i = np.searchsorted(often, s)
                         i[i == len(often)] = 0
@@ -125,9 +129,9 @@ def _sets(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
                         head = s[~late][:p]
                         s = np.concatenate([head, s[late][: p - len(head)]]) if len(head) < p else head
                     prefix.append(s[:p].tobytes())
-                yield pa.RecordBatch.from_arrays([docs.slice(at, 1000), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.binary())], ["doc", "n", "s1", "s2", "bits", "prefix"])
+                yield pa.RecordBatch.from_arrays([docs.slice(at, 1000), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefix, pa.binary())], ["doc", "n", "s1", "s2", "bits", "wide", "prefix"])
 
-    return documents.mapInArrow(run, "doc long, n long, s1 long, s2 long, bits binary, prefix binary")
+    return documents.mapInArrow(run, "doc long, n long, s1 long, s2 long, bits binary, wide binary, prefix binary")
 
 
 def _dealt(sets: DataFrame) -> DataFrame:
@@ -145,11 +149,13 @@ def _dealt(sets: DataFrame) -> DataFrame:
     return sets.select("s1", "doc", "n", "prefix").mapInArrow(run, "token long, s1 long, doc long, n long")
 
 
-def _candidates(tiles: DataFrame) -> DataFrame:
-    """a, b (a < b): pairs of different components in a tile that sizes and bitmaps don't rule out.
+def _candidates(tiles: DataFrame, proposals: bool) -> DataFrame:
+    """Pairs (a, b) of different components in a tile that sizes and bitmaps don't rule out.
 
     tiles: key (token, low, i, high, j), side, doc, n, comp, bits.  Side 0 and 1
-    rows of a tile are compared with each other, side 2 rows with all.
+    rows of a tile are compared with each other, side 2 rows with all.  All
+    pairs (a < b), or of each row of a tile proposals alone: a, b (the partner
+    whose bitmap is nearest), apart, and lead (the partner of least doc_id).
     """
     key = ["token", "low", "i", "high", "j"]
 
@@ -166,6 +172,8 @@ def _candidates(tiles: DataFrame) -> DataFrame:
         last = np.searchsorted(group, group, "right")  # rows are in order of their group and, in it, of n
         active = np.flatnonzero(np.arange(len(doc)) + 1 < last)
         found, step = [], 1
+        least_apart, nearest = np.full(len(doc), 1 << 40), np.zeros(len(doc), np.int64)
+        lead = np.full(len(doc), (1 << 63) - 1)
         while len(active):
             x, y = active, active + step
             near = 5 * n[x] >= 4 * n[y]
@@ -181,10 +189,20 @@ def _candidates(tiles: DataFrame) -> DataFrame:
                         bv = fold(words[off[v][:, None] + np.arange(long)], least)
                         apart = np.bitwise_count(bu ^ bv).sum(1, dtype=np.int64)
                         fits = _linkable(n[u], n[v], (n[u] + n[v] - apart) // 2)
-                        found.append(np.stack([doc[u][fits], doc[v][fits]], 1))
+                        u, v, apart = u[fits], v[fits], apart[fits]
+                        if not proposals:
+                            found.append(np.stack([doc[u], doc[v]], 1))
+                            continue
+                        for own, other in ((u, v), (v, u)):  # a row stands once on either side of a step
+                            better = apart < least_apart[own]
+                            least_apart[own[better]], nearest[own[better]] = apart[better], doc[other[better]]
+                            lead[own] = np.minimum(lead[own], doc[other])
             active = active[near]
             step += 1
             active = active[active + step < last[active]]
+        if proposals:
+            at = np.flatnonzero(least_apart < 1 << 40)
+            return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(nearest[at]), pa.array(least_apart[at]), pa.array(lead[at])], ["a", "b", "apart", "lead"]) if len(at) else None
         if not found:
             return None
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
@@ -212,7 +230,10 @@ def _candidates(tiles: DataFrame) -> DataFrame:
             yield out
 
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.repartition(parts, *key).sortWithinPartitions(*key, "n", "doc").mapInArrow(run, "a long, b long").distinct()
+    dealt = tiles.repartition(parts, *key).sortWithinPartitions(*key, "n", "doc")
+    if proposals:
+        return dealt.mapInArrow(run, "a long, b long, apart long, lead long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def verify_pairs(documents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -235,20 +256,26 @@ def verify_pairs(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _leaders(rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """For each document the leader (least doc_id of token and size band) with which it shares most tokens."""
-    banded = rows.withColumn("band", _band())
-    leader = banded.groupBy("token", "band").agg(F.min("doc").alias("leader"), F.count("*").alias("size")).where("size > 2")
-    shared = banded.join(leader, ["token", "band"]).where("doc <> leader").groupBy("leader", "doc").count()
-    best = shared.groupBy("doc").agg(F.max(F.struct("count", (-F.col("leader")).alias("minus"))).alias("best")).select(F.col("doc").alias("b"), (-F.col("best.minus")).alias("a"))
-    return best
+def _near_labels(links: DataFrame, steps: int = 3) -> DataFrame:
+    """node, component: the least node within so many links, so that equal labels mean one component; not all of it gets one label."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component"))
+    for _ in range(steps - 1):
+        heard = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("at")).agg(F.min("component").alias("heard"))
+        labels = labels.join(heard, labels.node == heard.at).select("node", F.least("component", "heard").alias("component"))
+    return labels
 
 
-def _tiles(rows: DataFrame, comps: DataFrame, meta: DataFrame, most: int) -> DataFrame:
-    """The rows of tokens that still span components, as tiles for _candidates."""
-    known = rows.join(comps, rows.doc == comps.node, "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("comp"))
+def _open_rows(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """token, doc, n, comp, size: the rows of tokens that span components."""
+    known = rows.withColumn("comp", F.col("doc")) if comps is None else rows.join(comps, rows.doc == comps.node, "left").select("token", "doc", "n", F.coalesce("component", "doc").alias("comp"))
     spans = known.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most").select("token", "size")
-    open_rows = stored(known.join(spans, "token").join(meta.select("doc", "bits").dropDuplicates(["doc"]), "doc"), "tiles")
+    return known.join(spans, "token")
+
+
+def _tiles(open_rows: DataFrame, bitmaps: DataFrame, most: int) -> DataFrame:
+    """Rows of tokens, with their bitmaps, as tiles for _candidates."""
+    open_rows = open_rows.join(bitmaps, ["doc", "n"])
     zero = F.lit(0)
     small = open_rows.where(F.col("size") <= most).select("token", F.lit(-1).alias("low"), zero.alias("i"), F.lit(-1).alias("high"), zero.alias("j"), F.lit(2).alias("side"), "doc", "n", "comp", "bits")
     large = open_rows.where(F.col("size") > most).withColumn("band", _band())
@@ -269,7 +296,7 @@ def _tiles(rows: DataFrame, comps: DataFrame, meta: DataFrame, most: int) -> Dat
     return small.unionByName(cut)
 
 
-def jaccard_classes(documents: DataFrame, sample: int = 4000, frequent_share: float = 0.004, most_frequent: int = 65536, most_rows: int = 1024) -> DataFrame:
+def jaccard_classes(documents: DataFrame, sample: int = 4000, frequent_share: float = 0.004, most_frequent: int = 65536, most_rows: int = 1024, rounds: int = 3) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard 0.8 or more).
 
     A null or empty text has no shingles and stands alone.  Rows repeated under
@@ -282,13 +309,22 @@ def jaccard_classes(documents: DataFrame, sample: int = 4000, frequent_share: fl
     by_token, by_set = W.partitionBy("token"), W.partitionBy("token", "s1").orderBy("doc", "n")
     dealt = _dealt(sets).withColumn("low", F.min("s1").over(by_token)).withColumn("high", F.max("s1").over(by_token)).where("low <> high")
     rows = stored(dealt.withColumn("rank", F.row_number().over(by_set)).where("rank = 1").select("token", "doc", "n"), "tokens")
-    meta = sets.where("n > 0").select("doc", "n", "bits")
-
-    led = _leaders(rows, meta)
-    first = stored(verify_pairs(docs, _plausible(led, meta)), "links")
-    comps = stored(components(first), "components")
-    pairs = stored(_candidates(_tiles(rows, comps, meta, most_rows)), "pairs")
-    links = first.unionByName(verify_pairs(docs, pairs))
+    meta = stored(sets.where("n > 0").dropDuplicates(["doc", "n", "s1"]).select("doc", "n", "bits", "wide"), "bitmaps")
+
+    links, comps, bitmaps = None, None, "bits"
+    for _ in range(rounds):
+        open_rows = stored(_open_rows(rows, comps), "open")
+        asked = stored(_candidates(_tiles(open_rows, meta.select("doc", "n", F.col(bitmaps).alias("bits")), most_rows), True).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"), F.min("lead").alias("lead")), "proposals")
+        pairs = asked.select("a", F.col("best.b").alias("b")).union(asked.select("a", F.col("lead").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = stored(verify_pairs(docs, _plausible(pairs, meta) if bitmaps == "bits" else pairs).distinct(), "links")
+        # a row without a proposal has no possible partner in another component, now or later
+        rows = stored(open_rows.join(asked.select(F.col("a").alias("doc")), "doc", "left_semi").select("token", "doc", "n"), "tokens")
+        links, bitmaps = found if links is None else links.unionByName(found), "wide"
+        if found.isEmpty():
+            break
+        comps = stored(_near_labels(links), "labels")
+    rest = _tiles(_open_rows(rows, comps), meta.select("doc", "n", F.col("wide").alias("bits")), most_rows)
+    links = links.unionByName(verify_pairs(docs, stored(_candidates(rest, False), "pairs")))
 
     classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("class"))
     members = sets.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
@@ -311,11 +347,10 @@ def _plausible(pairs: DataFrame, meta: DataFrame) -> DataFrame:
                 keep.append(bool(_linkable(na, nb, (na + nb - apart) // 2)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = meta.dropDuplicates(["doc"])
-    left = own.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    right = own.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    left = meta.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("wide").alias("bits_a"))
+    right = meta.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("bits_b"))
     sized = pairs.join(left, "a").join(right, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
-    return sized.mapInArrow(run, "a long, b long")
+    return sized.mapInArrow(run, "a long, b long").distinct()
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
