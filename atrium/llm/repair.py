@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -108,32 +109,78 @@ def compress(ids: np.ndarray, rounds: int = 4, least: int = 24, most: int = 1 <<
     return Grammar(s, np.concatenate(rules), np.concatenate(lengths))
 
 
-class WordTokens:
-    """Ids of a text by a tokenizer that drops white space, word by word.
+def byte_letters() -> list[str]:
+    """The letter of each byte in byte-level vocabularies: printable bytes stand for themselves, others for 256 and up in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(other)) for b in range(256)]
+
+
+class _Pieces(dict):
+    """Piece of a lowered word -> its ids as bytes; a missing one is split by the model's merges and kept."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        plain = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
+        ids = [t.id for t in self.model.tokenize(plain)]
+        out = self[piece] = pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+class WordTokens(dict):
+    """Word -> its ids as little-endian uint32, by a tokenizer that drops white space.
 
     No match, normal form or special token of such a tokenizer spans white
-    space, so a text's ids are those of its words, and each distinct word is
-    encoded once as long as it stays among the ``most`` known ones.
+    space, so a text's ids are those of its words; each distinct word is encoded
+    once as long as it stays among the ``most`` known ones.  A word of code
+    points below 256 is its own normal form, and its pieces go straight to the
+    model; other words, and words that may hold a special token, take the whole
+    tokenizer.
     """
 
-    def __init__(self, file: str, most: int = 300_000):
+    def __init__(self, file: str, most: int = 800_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(file), most
-        self.known: dict[bytes, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer.model)
+        with open(file) as f:
+            setup = json.load(f)
+        parts = lambda x: [n["type"] for n in x]
+        normal, split = setup["normalizer"], setup["pre_tokenizer"]
+        self.plain = normal["type"] == "Sequence" and parts(normal["normalizers"]) == ["NFC", "Replace", "Lowercase"] and parts(split["pretokenizers"]) == ["Split", "ByteLevel"]
+        self.split = regex.compile(split["pretokenizers"][0]["pattern"]["Regex"]).findall if self.plain else None
+
+    def __missing__(self, word: bytes) -> bytes:
+        if self.plain and max(word) < 0xC4 and b"<" not in word:
+            text = word.decode().lower()
+            if text.isalpha():
+                out = self.pieces[text]
+            elif text[-1] in ".,;:!?)" and text[:-1].isalpha():
+                out = self.pieces[text[:-1]] + self.pieces[text[-1]]
+            else:
+                out = b"".join(map(self.pieces.__getitem__, self.split(text)))
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            out = pack(f"<{len(ids)}I", *ids)
+        self[word] = out
+        return out
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """For each text its ids and the end id, as little-endian uint32."""
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(set().union(*split))
-        for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
-        last = np.array([end], "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) + last for words in split]
+        if len(self) > self.most:
+            self.clear()
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        last = pack("<I", end)
+        return [b"".join(map(self.__getitem__, t.split())) + last for t in texts]
 
 
 @lru_cache(maxsize=2)
