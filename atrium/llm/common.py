@@ -5,9 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Words as the SQL functions see them; text.Words finds the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,16 +38,3 @@ def forget(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def rename_clashes(df: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of ``keep`` alone, so that further columns of any name can't clash."""
-    return df.select(*keep)
-
-
-def binary_column(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit("")).alias(name)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, Words, column_bytes, doc_slices, mix, window_hashes
+from .text import SPACE, Words, column_bytes, doc_slices, window_hashes
 
 #: Hash bits of each family of features.
 BITS = 15

@@ -10,6 +10,10 @@
    reach.  Their members are extended from the anchor both ways: all windows of
    a gram's classes are compared by hash.  Grams with very many classes are
    dealt out by window instead, so that no task gets them whole.
+   Grams and classes that are frequent in a sample are known beforehand, so that
+   no task gets all their runs: a run of a frequent class is a repeat at once if
+   an earlier member is in the sample, and other runs of a frequent gram are
+   dealt by class.  The sample decides where runs go, never what they are.
 4. A document's repeated windows, merged, are its maximal repeats.
 
 Windows count as equal if the 64-bit hashes of both their anchor gram and their
@@ -80,10 +84,59 @@ def _span(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[start]) * powers(len(total))[1][start])
 
 
-def _runs(documents: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
-    """key, full, doc, pos of each run; pos packs h (23 bits), the run's windows (9) and its first window (31)."""
+class _Frequent:
+    """Grams and classes with at least ``least`` runs in a sample of documents; of a class its first member there."""
+
+    def __init__(self, rows: list, earlier: bool):
+        self.earlier = earlier
+        column = lambda name: np.array([r[name] for r in rows], np.int64)
+        self.keys = np.unique(column("key")).view(np.uint64)
+        self.keys.sort()
+        key, full = column("key").view(np.uint64), column("full").view(np.uint64)
+        order = np.argsort(mix(key) ^ full)
+        self.key, self.full, self.doc, self.pos = key[order], full[order], column("doc")[order], column("pos")[order]
+        self.mark, self.n = (mix(key) ^ full)[order], column("n")[order]
+
+    def place(self, key: np.ndarray, full: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each run: what it is dealt by, its gram if that differs (else 0), and its state (see _runs)."""
+        zero = np.zeros(len(key), np.int64)
+        if not len(self.keys):
+            return key, zero, zero
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        often = self.keys[i] == key
+        if not often.any():
+            return key, zero, zero
+        i = np.minimum(np.searchsorted(self.mark, mix(key) ^ full), len(self.mark) - 1)
+        known = often & (self.key[i] == key) & (self.full[i] == full) & (self.n[i] > 1)
+        later = known & ((doc > self.doc[i]) if self.earlier else (doc > self.doc[i]) | ((doc == self.doc[i]) & (pos > self.pos[i])))
+        by_class, by_run = mix(mix(key) ^ full), mix(key ^ doc.view(np.uint64) ^ mix(pos.view(np.uint64)))
+        deal = np.where(later, by_run, np.where(often, by_class, key))
+        state = np.where(later, 3, np.where(known, 2, np.where(often, 1, 0)))
+        return deal, np.where(often, key.view(np.int64), 0), state
+
+
+def _frequent(documents: DataFrame, kind: str, window: int, gram: int, earlier: bool, sample: int, least: int, most: int) -> _Frequent:
+    """From about ``sample`` documents; at most ``most`` classes reach the driver."""
+    step = max(1, documents.count() // sample)
+    picked = documents.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(step)) == 0)
+    classes = _runs(picked, kind, window, gram, None).groupBy(F.col("deal").alias("key"), "full").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("head"))
+    grams = classes.groupBy("key").agg(F.sum("n").alias("runs")).where(F.col("runs") >= least).orderBy(F.desc("runs"), "key").limit(most // 8)
+    rows = classes.join(F.broadcast(grams.select("key")), "key").orderBy(F.desc("n"), "key", "full").limit(most).select("key", "full", "n", "head.doc", "head.pos").collect()
+    return _Frequent(rows, earlier)
+
+
+def _runs(documents: DataFrame, kind: str, window: int, gram: int, frequent: _Frequent | None) -> DataFrame:
+    """deal, gram, full, doc, pos, state of each run.
+
+    pos packs h (23 bits), the run's windows (9) and its first window (31).  A
+    run is dealt by its anchor's gram.  state: 1, of a frequent gram, dealt by
+    class; 2, of a frequent class, likewise; 3, of a frequent class and later
+    than its first member in the sample, dealt by itself.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
         for batch in batches:
             docs, hs = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
             buf, off = column_bytes(batch.column("text"))
@@ -96,11 +149,13 @@ def _runs(documents: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
                     at = np.arange(n - gram + 1)
                     grams = _span(total, at, at + gram)
                     d, anchor, first, count = anchor_runs(grams, of, window, gram)
-                    full = _span(total, first, first + count + window - 1)
-                    pos = (hs[i + base + d] << 40) | (count << 31) | (first - of[d] + shift)
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[anchor].view(np.int64)), pa.array(full.view(np.int64)), pa.array(docs[i + base + d]), pa.array(pos)], ["key", "full", "doc", "pos"])
+                    key, full = grams[anchor], _span(total, first, first + count + window - 1)
+                    doc, pos = docs[i + base + d], (hs[i + base + d] << 40) | (count << 31) | (first - of[d] + shift)
+                    zero = np.zeros(len(key), np.int64)
+                    deal, own, state = (key, zero, zero) if often is None else often.place(key, full, doc, pos)
+                    yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(own), pa.array(full.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(state.astype(np.int32))], ["deal", "gram", "full", "doc", "pos", "state"])
 
-    return _keyed(documents).mapInArrow(run, "key long, full long, doc long, pos long")
+    return _keyed(documents).mapInArrow(run, "deal long, gram long, full long, doc long, pos long, state int")
 
 
 def _samples(documents: DataFrame, runs: DataFrame, kind: str, window: int, by_window: bool) -> DataFrame:
@@ -215,20 +270,24 @@ def _compare(samples: DataFrame, kind: str, window: int, earlier: bool) -> DataF
     return samples.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, h long, first long, last long")
 
 
-def find_repeats(documents: DataFrame, kind: str, window: int, gram: int, earlier: bool, most_classes: int = 20000) -> DataFrame:
+def find_repeats(documents: DataFrame, kind: str, window: int, gram: int, earlier: bool, most_classes: int = 20000, sample: int = 4000, least: int = 8, most_frequent: int = 65536) -> DataFrame:
     """doc, h and spans (array of first and last window start) of all documents with repeated windows.
 
     kind: "words" or "bytes".  earlier: a window repeats if it also starts in a
     document of smaller id; else if it also starts anywhere else.  Grams with
-    more than ``most_classes`` classes are compared window by window.
+    more than ``most_classes`` classes are compared window by window; sample,
+    least and most_frequent bound what is known beforehand (see _frequent).
     """
-    by_key, by_class = W.partitionBy("key"), W.partitionBy("key", "full")
-    runs = _runs(documents, kind, window, gram).withColumn("n", F.count("*").over(by_key)).withColumn("low", F.min("full").over(by_key)).withColumn("high", F.max("full").over(by_key)).where("n > 1")
+    frequent = _frequent(documents, kind, window, gram, earlier, sample, least, most_frequent)
+    by_key, by_class = W.partitionBy("deal"), W.partitionBy("deal", "full")
+    runs = _runs(documents, kind, window, gram, frequent).withColumn("n", F.count("*").over(by_key)).withColumn("low", F.min("full").over(by_key)).withColumn("high", F.max("full").over(by_key)).where("n > 1 or state > 0")
     order = by_class.orderBy("doc", "pos")
     runs = runs.withColumn("rank", F.row_number().over(order)).withColumn("lead", F.first("doc").over(order)).withColumn("after", F.lead("doc").over(order))
-    repeat = (F.col("doc") > F.col("lead")) if earlier else (F.col("rank") > 1) | F.col("after").isNotNull()
-    stands = (F.col("rank") == 1) & (F.col("low") != F.col("high"))
-    found = runs.select("key", "doc", F.shiftrightunsigned("pos", 40).alias("h"), F.shiftright("pos", 31).bitwiseAND(F.lit(511)).alias("count"), F.col("pos").bitwiseAND(F.lit((1 << 31) - 1)).alias("first"), repeat.alias("repeat"), stands.alias("stands")).where("repeat or stands")
+    # a frequent class's first member in the sample is dealt by class, with all that are earlier still
+    within = (F.col("doc") > F.col("lead")) if earlier else (F.col("rank") > 1) | F.col("after").isNotNull() | (F.col("state") == 2)
+    repeat = (F.col("state") == 3) | within
+    stands = (F.col("state") != 3) & (F.col("rank") == 1) & ((F.col("low") != F.col("high")) | (F.col("state") > 0))
+    found = runs.select(F.when(F.col("gram") != 0, F.col("gram")).otherwise(F.col("deal")).alias("key"), "doc", F.shiftrightunsigned("pos", 40).alias("h"), F.shiftright("pos", 31).bitwiseAND(F.lit(511)).alias("count"), F.col("pos").bitwiseAND(F.lit((1 << 31) - 1)).alias("first"), repeat.alias("repeat"), stands.alias("stands")).where("repeat or stands")
     found = stored(found, "runs")
     # a class that repeats as a whole still stands for it where others of its gram are compared with it
     open_runs = found.where("stands").select("key", "doc", "h", "first", "count")
@@ -273,7 +332,7 @@ def _bounds(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray] | No
     return batch.column("first")[i].values.to_numpy(), batch.column("last")[i].values.to_numpy()
 
 
-def remove_earlier_words(documents: DataFrame, window: int = 13, gram: int = 3, most_classes: int = 20000, texts: bool = False) -> DataFrame:
+def remove_earlier_words(documents: DataFrame, window: int = 13, gram: int = 3, most_classes: int = 20000, texts: bool = False, **sampling) -> DataFrame:
     """Substring dedup by words: drop each word covered by a window that also starts in a document of smaller id.
 
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by
@@ -281,7 +340,7 @@ def remove_earlier_words(documents: DataFrame, window: int = 13, gram: int = 3,
     rows repeated under one id don't count against each other; a null id is the
     smallest.  Further columns are ignored.
     """
-    spans = find_repeats(documents, "words", window, gram, True, most_classes)
+    spans = find_repeats(documents, "words", window, gram, True, most_classes, **sampling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,14 +361,14 @@ def remove_earlier_words(documents: DataFrame, window: int = 13, gram: int = 3,
     return _with_spans(documents, spans, ["doc_id"]).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else ""))
 
 
-def remove_repeated_bytes(documents: DataFrame, window: int = 400, gram: int = 100, most_classes: int = 20000) -> DataFrame:
+def remove_repeated_bytes(documents: DataFrame, window: int = 400, gram: int = 100, most_classes: int = 20000, **sampling) -> DataFrame:
     """Exact dedup by bytes: drop each byte covered by a window-long string that also starts anywhere else.
 
     Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256.  A null text is
     empty; texts shorter than the window keep all; a repeated row repeats all
     windows of its text.  Further columns are ignored.
     """
-    spans = find_repeats(documents, "bytes", window, gram, False, most_classes)
+    spans = find_repeats(documents, "bytes", window, gram, False, most_classes, **sampling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

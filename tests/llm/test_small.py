@@ -269,7 +269,7 @@ def test_op7_grammar_round_trip():
 
 @pytest.mark.parametrize("most", [20000, 1])
 def test_op8_substrings(spark, docs, rows, most):
-    got = by_id(repeats.remove_earlier_words(odd(docs), most_classes=most))
+    got = by_id(repeats.remove_earlier_words(odd(docs), most_classes=most, least=2 if most == 1 else 8))
     first = {}
     for doc, text, *_ in sorted(rows):
         w = words_of(text)
@@ -286,7 +286,7 @@ def test_op8_substrings(spark, docs, rows, most):
 @pytest.mark.parametrize("most", [20000, 1])
 def test_op9_bytes(spark, docs, rows, most):
     more = spark.createDataFrame([(500, "z" * 1000, "en", "a", 0), (501, "q", "en", "a", 0)], SCHEMA)
-    got = by_id(repeats.remove_repeated_bytes(odd(docs.unionByName(more)), most_classes=most))
+    got = by_id(repeats.remove_repeated_bytes(odd(docs.unionByName(more)), most_classes=most, least=2 if most == 1 else 8))
     table = [*rows, (500, "z" * 1000), (501, "q")]
     seen = Counter(b[i : i + 400] for b in ((r[1] or "").encode() for r in table) for i in range(len(b) - 399))
     for doc, text, *_ in table:
