@@ -296,7 +296,7 @@ def _tiles(open_rows: DataFrame, bitmaps: DataFrame, most: int) -> DataFrame:
     return small.unionByName(cut)
 
 
-def jaccard_classes(documents: DataFrame, sample: int = 4000, frequent_share: float = 0.004, most_frequent: int = 65536, most_rows: int = 1024, rounds: int = 3) -> DataFrame:
+def jaccard_classes(documents: DataFrame, sample: int = 4000, frequent_share: float = 0.004, most_frequent: int = 65536, most_rows: int = 1024, rounds: int = 2) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links of Jaccard 0.8 or more).
 
     A null or empty text has no shingles and stands alone.  Rows repeated under
@@ -311,15 +311,15 @@ def jaccard_classes(documents: DataFrame, sample: int = 4000, frequent_share: fl
     rows = stored(dealt.withColumn("rank", F.row_number().over(by_set)).where("rank = 1").select("token", "doc", "n"), "tokens")
     meta = stored(sets.where("n > 0").dropDuplicates(["doc", "n", "s1"]).select("doc", "n", "bits", "wide"), "bitmaps")
 
-    links, comps, bitmaps = None, None, "bits"
+    links, comps = None, None
     for _ in range(rounds):
         open_rows = stored(_open_rows(rows, comps), "open")
-        asked = stored(_candidates(_tiles(open_rows, meta.select("doc", "n", F.col(bitmaps).alias("bits")), most_rows), True).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"), F.min("lead").alias("lead")), "proposals")
+        asked = stored(_candidates(_tiles(open_rows, meta.select("doc", "n", "bits"), most_rows), True).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"), F.min("lead").alias("lead")), "proposals")
         pairs = asked.select("a", F.col("best.b").alias("b")).union(asked.select("a", F.col("lead").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(verify_pairs(docs, _plausible(pairs, meta) if bitmaps == "bits" else pairs).distinct(), "links")
+        found = stored(verify_pairs(docs, _plausible(pairs, meta)).distinct(), "links")
         # a row without a proposal has no possible partner in another component, now or later
         rows = stored(open_rows.join(asked.select(F.col("a").alias("doc")), "doc", "left_semi").select("token", "doc", "n"), "tokens")
-        links, bitmaps = found if links is None else links.unionByName(found), "wide"
+        links = found if links is None else links.unionByName(found)
         if found.isEmpty():
             break
         comps = stored(_near_labels(links), "labels")
