@@ -125,8 +125,8 @@ def _fit(rows: list, rounds: int) -> QualityModel:
     label = np.array([r.label for r in rows], float)
     at = [np.frombuffer(r.at, "<i4") for r in rows]
     size = np.array([len(x) for x in at])
-    row = np.repeat(np.arange(len(rows)), size)
-    col, val = np.concatenate(at), np.concatenate([np.frombuffer(r.much, "<f4") for r in rows]).astype(float)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
+    col, val = np.concatenate(at), np.concatenate([np.frombuffer(r.much, "<f4") for r in rows])
     train = np.arange(len(rows)) % 3 != 0
     if len(set(label[train])) < 2 or len(set(label[~train])) < 2:
         train[:] = True
@@ -140,11 +140,12 @@ def _fit(rows: list, rounds: int) -> QualityModel:
     by_col = np.argsort(col, kind="stable")
     used, col_first = np.unique(col[by_col], return_index=True)
     col_row, col_val = row[by_col], val[by_col]
+    del by_col
     g = np.zeros(width)
     for t in range(1, rounds + 1):
-        z = np.add.reduceat(val * w[col], first) + b
+        z = np.add.reduceat(val * w.astype(np.float32)[col], first) + b
         err = sample_weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label)
-        g[used] = np.add.reduceat(col_val * err[col_row], col_first)
+        g[used] = np.add.reduceat(col_val * err.astype(np.float32)[col_row], col_first)
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -153,7 +154,7 @@ def _fit(rows: list, rounds: int) -> QualityModel:
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
     fixed = np.round(w * SCALE).astype(np.int64)
     held = ~train if not train.all() else train
-    z = (np.bincount(row, val * (fixed / SCALE)[col], len(rows)) + b)[held]
+    z = (np.add.reduceat(val * (fixed / SCALE).astype(np.float32)[col], first) + b)[held]
     y = label[held]
     slope, offset = _calibrate(z, y)
     return QualityModel(fixed.reshape(FAMILIES, 1 << BITS), float(b), slope, offset)
