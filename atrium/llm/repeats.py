@@ -10,6 +10,8 @@
    reach.  Their members are extended from the anchor both ways: all windows of
    a gram's classes are compared by hash.  Grams with very many classes are
    dealt out by window instead, so that no task gets them whole.
+   In the earlier mode the class's other runs in its least document then get
+   what was found for the one that stands.
    Grams and classes that are frequent in a sample are known beforehand, so that
    no task gets all their runs: a run of a frequent class is a repeat at once if
    an earlier member is in the sample, and other runs of a frequent gram are
@@ -185,7 +187,7 @@ def _samples(documents: DataFrame, runs: DataFrame, kind: str, window: int, by_w
                         place = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count, strict=True)])
                         h = mix(np.concatenate(data) ^ np.repeat(key, count).view(np.uint64))
                         own = np.full(len(h), batch.column("doc")[i].as_py(), np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(np.full(len(h), batch.column("h")[i].as_py(), np.int64)), pa.array(place)], ["window", "doc", "h", "first"])
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(np.full(len(h), batch.column("h")[i].as_py(), np.int64)), pa.array(np.repeat(first, count)), pa.array(place)], ["window", "doc", "h", "run", "first"])
                         continue
                     size = 8 * count
                 ends = np.zeros(len(size) + 1, np.int32)
@@ -194,11 +196,11 @@ def _samples(documents: DataFrame, runs: DataFrame, kind: str, window: int, by_w
                 n = len(size)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(n, batch.column("doc")[i].as_py(), np.int64)), pa.array(np.full(n, batch.column("h")[i].as_py(), np.int64)), pa.array(first), blob], ["key", "doc", "h", "first", "data"])
 
-    return texts.mapInArrow(cut, "window long, doc long, h long, first long" if by_window else "key long, doc long, h long, first long, data binary")
+    return texts.mapInArrow(cut, "window long, doc long, h long, run long, first long" if by_window else "key long, doc long, h long, first long, data binary")
 
 
 def _compare(samples: DataFrame, kind: str, window: int, earlier: bool) -> DataFrame:
-    """doc, h, first, last: stretches of repeated windows among the sampled runs, by key."""
+    """doc, h, run (its first window), first, last: stretches of repeated windows among the sampled runs, by key."""
 
     def judge(key, doc, h, first, data) -> pa.RecordBatch | None:
         size = np.array([len(x) for x in data])
@@ -235,7 +237,7 @@ def _compare(samples: DataFrame, kind: str, window: int, earlier: bool) -> DataF
         new = np.append(True, (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]]))
         a = hit[np.flatnonzero(new)]
         b = hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(h[row[a]]), pa.array(place[a]), pa.array(place[b])], ["doc", "h", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(h[row[a]]), pa.array(first[row[a]]), pa.array(place[a]), pa.array(place[b])], ["doc", "h", "run", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], [], []]
@@ -267,7 +269,7 @@ def _compare(samples: DataFrame, kind: str, window: int, earlier: bool) -> DataF
             yield out
 
     parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return samples.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, h long, first long, last long")
+    return samples.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, h long, run long, first long, last long")
 
 
 def find_repeats(documents: DataFrame, kind: str, window: int, gram: int, earlier: bool, most_classes: int = 20000, sample: int = 4000, least: int = 8, most_frequent: int = 65536) -> DataFrame:
@@ -286,18 +288,29 @@ def find_repeats(documents: DataFrame, kind: str, window: int, gram: int, earlie
     # a frequent class's first member in the sample is dealt by class, with all that are earlier still
     within = (F.col("doc") > F.col("lead")) if earlier else (F.col("rank") > 1) | F.col("after").isNotNull() | (F.col("state") == 2)
     repeat = (F.col("state") == 3) | within
-    stands = (F.col("state") != 3) & (F.col("rank") == 1) & ((F.col("low") != F.col("high")) | (F.col("state") > 0))
-    found = runs.select(F.when(F.col("gram") != 0, F.col("gram")).otherwise(F.col("deal")).alias("key"), "doc", F.shiftrightunsigned("pos", 40).alias("h"), F.shiftright("pos", 31).bitwiseAND(F.lit(511)).alias("count"), F.col("pos").bitwiseAND(F.lit((1 << 31) - 1)).alias("first"), repeat.alias("repeat"), stands.alias("stands")).where("repeat or stands")
+    compared = (F.col("low") != F.col("high")) | (F.col("state") > 0)
+    stands = (F.col("state") != 3) & (F.col("rank") == 1) & compared
+    # a class's other runs in its least document don't repeat its first one, but what that shares with other classes they share too
+    leader = F.when(~repeat & (F.col("rank") > 1) & compared, F.first("pos").over(order)) if earlier else F.lit(None).cast("long")
+    found = runs.select(F.when(F.col("gram") != 0, F.col("gram")).otherwise(F.col("deal")).alias("key"), "doc", F.shiftrightunsigned("pos", 40).alias("h"), F.shiftright("pos", 31).bitwiseAND(F.lit(511)).alias("count"), F.col("pos").bitwiseAND(F.lit((1 << 31) - 1)).alias("first"), repeat.alias("repeat"), stands.alias("stands"), leader.alias("leader")).where("repeat or stands or leader is not null")
     found = stored(found, "runs")
     # a class that repeats as a whole still stands for it where others of its gram are compared with it
     open_runs = found.where("stands").select("key", "doc", "h", "first", "count")
     hot = open_runs.groupBy("key").agg(F.count("*").alias("classes")).where(F.col("classes") > most_classes).select("key")
     some_hot = stored(hot, "hot")
     out = found.where("repeat").select("doc", "h", "first", (F.col("first") + F.col("count") - 1).alias("last"))
+    hits = None
     if some_hot.head() is not None:
-        out = out.unionByName(_by_window(_samples(documents, open_runs.join(some_hot, "key", "left_semi"), kind, window, True), earlier))
+        hits = _by_window(_samples(documents, open_runs.join(some_hot, "key", "left_semi"), kind, window, True), earlier)
         open_runs = open_runs.join(some_hot, "key", "left_anti")
-    out = out.unionByName(_compare(_samples(documents, open_runs, kind, window, False), kind, window, earlier))
+    alike = _compare(_samples(documents, open_runs, kind, window, False), kind, window, earlier)
+    hits = alike if hits is None else hits.unionByName(alike)
+    if earlier:
+        hits = stored(hits, "hits")
+        led = found.where("leader is not null").select("doc", F.col("h").alias("own_h"), F.col("first").alias("own"), F.shiftrightunsigned("leader", 40).alias("h"), F.col("leader").bitwiseAND(F.lit((1 << 31) - 1)).alias("run"))
+        ahead = F.col("own") - F.col("run")
+        out = out.unionByName(led.join(hits, ["doc", "h", "run"]).select("doc", F.col("own_h").alias("h"), (F.col("first") + ahead).alias("first"), (F.col("last") + ahead).alias("last")))
+    out = out.unionByName(hits.drop("run"))
     return out.groupBy("doc", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
@@ -309,7 +322,7 @@ def _by_window(windows: DataFrame, earlier: bool) -> DataFrame:
         hits = table.join(least, "window").where("doc > least")
     else:
         hits = table.join(table.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "window")
-    return hits.select("doc", "h", "first", F.col("first").alias("last"))
+    return hits.select("doc", "h", "run", "first", F.col("first").alias("last"))
 
 
 def _with_spans(documents: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:

@@ -283,6 +283,31 @@ def test_op8_substrings(spark, docs, rows, most):
     assert repeats.remove_earlier_words(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("most", "least"), [(20000, 8), (1, 2), (1, 1000)])
+def test_op8_passages_repeated_inside_a_document(spark, most, least):
+    """A smaller doc_id shares part of a passage that a document, or two rows of one id, hold twice."""
+    r, table = random.Random(8), []
+    for k in range(30):
+        a = [f"{'abcdefgh'[r.randrange(8)]}{k}.{i}" for i in range(40)]
+        i = r.randint(1, 12)
+        table.append((3 * k, " ".join([f"b{k}", *a[i : i + r.randint(14, 26)], f"c{k}"])))
+        table.append((3 * k + 1, " ".join([*a, f"x{k}", *a, f"y{k}", *a])))
+        table.append((3 * k + 1, " ".join([f"z{k}", *a])))
+    first = {}
+    for doc, text in sorted(table):
+        w = text.split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), doc)
+    want = []
+    for doc, text in table:
+        w = text.split()
+        gone = {i + k for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < doc for k in range(13)}
+        want.append((doc, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    documents = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    got = [tuple(row) for row in repeats.remove_earlier_words(documents, most_classes=most, least=least).collect()]
+    assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("most", [20000, 1])
 def test_op9_bytes(spark, docs, rows, most):
     more = spark.createDataFrame([(500, "z" * 1000, "en", "a", 0), (501, "q", "en", "a", 0)], SCHEMA)
