@@ -354,9 +354,18 @@ def _plausible(pairs: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document of smallest id; of its repeated rows the first by text."""
+    """Of each component the row of smallest id and, among rows of that id, the first by text; rows without shingles stay.
+
+    An id is a row's key only if no two rows share it and none is null; else
+    rows are linked under a hash of all their columns.
+    """
     columns = docs.columns
-    kept = jaccard_classes(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = W.partitionBy("doc_id").orderBy(*[F.col(c) for c in columns if c != "doc_id"])
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.withColumn("__rank", F.row_number().over(once)).where("__rank = 1").select(*columns)
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.join(jaccard_classes(docs).where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*columns)
+    keyed = docs.withColumn("__row", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
+    classes = stored(jaccard_classes(keyed.select(F.col("__row").alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", "__row"), "classes")
+    alike = classes.where("n_shingles > 0").join(keyed.select("__row", "doc_id").distinct(), "__row").select("__row", "component_id", "doc_id")
+    least = alike.groupBy("component_id").agg(F.min(F.struct("doc_id")).alias("least"))
+    heads = alike.join(least, "component_id").where(F.col("doc_id").eqNullSafe(F.col("least.doc_id"))).select("__row", "component_id")
+    firsts = keyed.join(heads, "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", *[c for c in columns if c != "doc_id"])).alias("first")).select("first.*").select(*columns)
+    return firsts.unionByName(keyed.join(classes.where("n_shingles = 0"), "__row", "left_semi").select(*columns))

@@ -6,9 +6,11 @@ import os
 import duckdb
 import pytest
 
-from atrium.llm import queries
+from atrium.llm import jaccard, queries
+from test_small import SCHEMA, brute_jaccard, sample_texts
 
 DATA = "/root/testdata/sf0.001"
+SCHEMA_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def test_pipeline_stages(spark):
@@ -47,3 +49,18 @@ def test_sql(spark, name):
     assert len(ours) == len(theirs)
     for a, b in zip(ours, theirs, strict=True):
         assert all(x == y or (isinstance(x, float) and math.isclose(x, y)) for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_jaccard_stage_drops_rows_for_likeness_only(spark, unique):
+    """Rows without an id, or of one repeated id, against a brute-force version by row."""
+    texts = [t for t in sample_texts() if t is None or len(t) < 5000]
+    rows = [(i if unique else [None, 7, None, i][i % 4], t, "en", "a", len(t) if t else 0) for i, t in enumerate(texts)]
+    if not unique:
+        rows += [rows[0], rows[7], (None, "", "en", "a", 0), (None, "", "en", "a", 0)]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    classes = brute_jaccard([(i, r[1]) for i, r in enumerate(rows)])
+    want = [r for i, r in enumerate(rows) if classes[i][1] == i]
+    got = jaccard.pipeline_stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), DATA)
+    assert got.columns == SCHEMA_COLUMNS
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
