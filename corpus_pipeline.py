@@ -16,7 +16,7 @@ STAGES = [
     ("byte-level BPE", bpe.pipeline_stage),
 ]
 
-#: SQL can't express the classifier and the tokenizer; tests hold run() against a brute-force version.
+#: SQL can't express the classifier and the tokenizer; tests hold the Jaccard stage against a brute-force version, run() as a whole against none.
 ORACLE_SQL = None
 
 
