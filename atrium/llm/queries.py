@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprints, jaccard, licenses, mixing, quality, repair, repeats, warc
+from . import bpe, common, fingerprints, jaccard, licenses, mixing, quality, repair, repeats, suffixes, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeated_bytes(_documents(spark, sf_dir))
+    return suffixes.remove_repeated_bytes(_documents(spark, sf_dir), shorter=200)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Repeated passages: windows of symbols that also start elsewhere, found from winnowed anchors.
+"""Repeated passages of words: windows that also start in an earlier document, found from winnowed anchors.
 
 1. Every text is cut into runs: the windows that share one anchor (see
    anchors.py) start at consecutive places.  A run is dealt by its anchor's
@@ -10,8 +10,8 @@
    reach.  Their members are extended from the anchor both ways: all windows of
    a gram's classes are compared by hash.  Grams with very many classes are
    dealt out by window instead, so that no task gets them whole.
-   In the earlier mode the class's other runs in its least document then get
-   what was found for the one that stands.
+   The class's other runs in its least document then get what was found for the
+   one that stands.
    Grams and classes that are frequent in a sample are known beforehand, so that
    no task gets all their runs: a run of a frequent class is a repeat at once if
    an earlier member is in the sample, and other runs of a frequent gram are
@@ -19,7 +19,7 @@
 4. A document's repeated windows, merged, are its maximal repeats.
 
 Windows count as equal if the 64-bit hashes of both their anchor gram and their
-whole text are equal.
+whole text are equal.  suffixes.py does steps 1 and 2 for bytes as well.
 """
 
 from __future__ import annotations
@@ -40,18 +40,24 @@ from .text import _TABLE, SLICE, Words, column_bytes, doc_slices, mix, powers
 #: Symbols that one numpy pass over a very long text handles.
 PIECE = 1 << 20
 #: Bytes of windows that one pass of the comparison holds.
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 
 _LEAST = -(1 << 63)
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """doc: the id, a null as the least long; h: 23 hash bits that tell apart texts of the same id."""
+def place_columns() -> list:
+    """first, count and low of a run, unpacked from pos."""
+    part = lambda by, bits: F.shiftright("pos", by).bitwiseAND(F.lit((1 << bits) - 1))
+    return [part(0, 31).alias("first"), part(31, 11).alias("count"), part(42, 11).alias("low")]
+
+
+def keyed(documents: DataFrame, *columns) -> DataFrame:
+    """doc: the id, a null as the least long; h: a hash that tells apart texts of the same id; text; further columns."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1)).alias("h"), text.alias("text"))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"), *columns)
 
 
-class _Symbols:
+class Symbols:
     """The symbols of a batch of texts as 64-bit hashes: its bytes, or its words."""
 
     def __init__(self, kind: str, buf: np.ndarray, off: np.ndarray):
@@ -64,29 +70,34 @@ class _Symbols:
     def hashes(self, a: int, b: int) -> np.ndarray:
         return _TABLE[self.raw[a:b]] if self.raw.dtype == np.uint8 else self.raw[a:b]
 
-    def pieces(self, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int, int]]:
-        """(hashes, bounds, first document, place of the first symbol in its document, symbols): pieces of long texts overlap by window - 1."""
+    def pieces(self, window: int, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+        """(hashes, bounds, ends, first document, place of the first symbol in its document).
+
+        Each window starts in one piece, within its bounds; ends: how far the
+        hashes go for each document, up to ``reach`` symbols from any window.
+        """
         for i, j in doc_slices(self.of, PIECE):
             a, b = int(self.of[i]), int(self.of[j])
             if b - a <= 2 * PIECE:
-                yield self.hashes(a, b), self.of[i : j + 1] - a, i, 0, b - a
+                bounds = self.of[i : j + 1] - a
+                yield self.hashes(a, b), bounds, bounds[1:], i, 0
                 continue
             for s in range(a, b, PIECE):
-                e = min(b, s + PIECE + window - 1)
-                yield self.hashes(s, e), np.array([0, e - s]), i, s - a, e - s
+                e = min(b, s + PIECE + reach - 1)
+                yield self.hashes(s, e), np.array([0, min(e, s + PIECE + window - 1) - s]), np.array([e - s]), i, s - a
 
 
-def _prefix(sym: np.ndarray) -> np.ndarray:
+def prefix(sym: np.ndarray) -> np.ndarray:
     total = np.zeros(len(sym) + 1, np.uint64)
     np.cumsum(sym * powers(len(sym) + 1)[0][: len(sym)], out=total[1:])
     return total
 
 
-def _span(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[start]) * powers(len(total))[1][start])
 
 
-class _Frequent:
+class Frequent:
     """Grams and classes with at least ``least`` runs in a sample of documents; of a class its first member there."""
 
     def __init__(self, rows: list, earlier: bool):
@@ -96,10 +107,10 @@ class _Frequent:
         self.keys.sort()
         key, full = column("key").view(np.uint64), column("full").view(np.uint64)
         order = np.argsort(mix(key) ^ full)
-        self.key, self.full, self.doc, self.pos = key[order], full[order], column("doc")[order], column("pos")[order]
+        self.key, self.full, self.doc, self.h, self.pos = key[order], full[order], column("doc")[order], column("h")[order], column("pos")[order]
         self.mark, self.n = (mix(key) ^ full)[order], column("n")[order]
 
-    def place(self, key: np.ndarray, full: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def place(self, key: np.ndarray, full: np.ndarray, doc: np.ndarray, h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each run: what it is dealt by, its gram if that differs (else 0), and its state (see _runs)."""
         zero = np.zeros(len(key), np.int64)
         if not len(self.keys):
@@ -110,28 +121,31 @@ class _Frequent:
             return key, zero, zero
         i = np.minimum(np.searchsorted(self.mark, mix(key) ^ full), len(self.mark) - 1)
         known = often & (self.key[i] == key) & (self.full[i] == full) & (self.n[i] > 1)
-        later = known & ((doc > self.doc[i]) if self.earlier else (doc > self.doc[i]) | ((doc == self.doc[i]) & (pos > self.pos[i])))
-        by_class, by_run = mix(mix(key) ^ full), mix(key ^ doc.view(np.uint64) ^ mix(pos.view(np.uint64)))
+        after = (h > self.h[i]) | ((h == self.h[i]) & (pos > self.pos[i]))
+        later = known & ((doc > self.doc[i]) if self.earlier else (doc > self.doc[i]) | ((doc == self.doc[i]) & after))
+        by_class, by_run = mix(mix(key) ^ full), mix(key ^ mix((doc ^ h).view(np.uint64)) ^ pos.view(np.uint64))
         deal = np.where(later, by_run, np.where(often, by_class, key))
         state = np.where(later, 3, np.where(known, 2, np.where(often, 1, 0)))
         return deal, np.where(often, key.view(np.int64), 0), state
 
 
-def _frequent(documents: DataFrame, kind: str, window: int, gram: int, earlier: bool, sample: int, least: int, most: int) -> _Frequent:
+def _frequent(documents: DataFrame, kind: str, window: int, gram: int, earlier: bool, reach: int, sample: int, least: int, most: int) -> Frequent:
     """From about ``sample`` documents; at most ``most`` classes reach the driver."""
     step = max(1, documents.count() // sample)
     picked = documents.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(step)) == 0)
-    classes = _runs(picked, kind, window, gram, None).groupBy(F.col("deal").alias("key"), "full").agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("head"))
+    classes = _runs(picked, kind, window, gram, reach, None).groupBy(F.col("deal").alias("key"), "full").agg(F.count("*").alias("n"), F.min(F.struct("doc", "h", "pos")).alias("head"))
     grams = classes.groupBy("key").agg(F.sum("n").alias("runs")).where(F.col("runs") >= least).orderBy(F.desc("runs"), "key").limit(most // 8)
-    rows = classes.join(F.broadcast(grams.select("key")), "key").orderBy(F.desc("n"), "key", "full").limit(most).select("key", "full", "n", "head.doc", "head.pos").collect()
-    return _Frequent(rows, earlier)
+    rows = classes.join(F.broadcast(grams.select("key")), "key").orderBy(F.desc("n"), "key", "full").limit(most).select("key", "full", "n", "head.doc", "head.h", "head.pos").collect()
+    return Frequent(rows, earlier)
 
 
-def _runs(documents: DataFrame, kind: str, window: int, gram: int, frequent: _Frequent | None) -> DataFrame:
-    """deal, gram, full, doc, pos, state of each run.
+def _runs(documents: DataFrame, kind: str, window: int, gram: int, reach: int, frequent: Frequent | None) -> DataFrame:
+    """deal, gram, full, doc, h, pos, state of each run.
 
-    pos packs h (23 bits), the run's windows (9) and its first window (31).  A
-    run is dealt by its anchor's gram.  state: 1, of a frequent gram, dealt by
+    full is a hash of the text from the first window to ``reach`` symbols from
+    the last one's start.  pos packs low, the symbols from the last window's
+    start to the anchor (11 bits), the run's windows (11) and its first window
+    (31).  A run is dealt by its anchor's gram.  state: 1, of a frequent gram, dealt by
     class; 2, of a frequent class, likewise; 3, of a frequent class and later
     than its first member in the sample, dealt by itself.
     """
@@ -143,27 +157,34 @@ def _runs(documents: DataFrame, kind: str, window: int, gram: int, frequent: _Fr
             docs, hs = batch.column("doc").to_numpy(), batch.column("h").to_numpy()
             buf, off = column_bytes(batch.column("text"))
             for i, j in doc_slices(off, 2 * SLICE):
-                symbols = _Symbols(kind, buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                for sym, of, base, shift, n in symbols.pieces(window):
-                    if n < window:
+                symbols = Symbols(kind, buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                for sym, of, ends, base, shift in symbols.pieces(window, reach):
+                    if of[-1] < window:
                         continue
-                    total = _prefix(sym)
-                    at = np.arange(n - gram + 1)
-                    grams = _span(total, at, at + gram)
+                    total = prefix(sym)
+                    at = np.arange(of[-1] - gram + 1)
+                    grams = span(total, at, at + gram)
                     d, anchor, first, count = anchor_runs(grams, of, window, gram)
-                    key, full = grams[anchor], _span(total, first, first + count + window - 1)
-                    doc, pos = docs[i + base + d], (hs[i + base + d] << 40) | (count << 31) | (first - of[d] + shift)
+                    key, full = grams[anchor], span(total, first, np.minimum(first + count + reach - 1, ends[d]))
+                    doc, h = docs[i + base + d], hs[i + base + d]
+                    pos = ((anchor - first - count + 1) << 42) | (count << 31) | (first - of[d] + shift)
                     zero = np.zeros(len(key), np.int64)
-                    deal, own, state = (key, zero, zero) if often is None else often.place(key, full, doc, pos)
-                    yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(own), pa.array(full.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(state.astype(np.int32))], ["deal", "gram", "full", "doc", "pos", "state"])
+                    deal, own, state = (key, zero, zero) if often is None else often.place(key, full, doc, h, pos)
+                    yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(own), pa.array(full.view(np.int64)), pa.array(doc), pa.array(h), pa.array(pos), pa.array(state.astype(np.int32))], ["deal", "gram", "full", "doc", "h", "pos", "state"])
 
-    return _keyed(documents).mapInArrow(run, "deal long, gram long, full long, doc long, pos long, state int")
+    return keyed(documents).mapInArrow(run, "deal long, gram long, full long, doc long, h long, pos long, state int")
 
 
-def _samples(documents: DataFrame, runs: DataFrame, kind: str, window: int, by_window: bool) -> DataFrame:
+def texts_of(documents: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc, h, text and the arrays first, count, low and key of the given runs, once for each doc and h."""
+    wanted = runs.groupBy("doc", "h").agg(F.sort_array(F.collect_list(F.struct("first", "count", "low", "key"))).alias("runs"))
+    found = keyed(documents).join(wanted, ["doc", "h"]).dropDuplicates(["doc", "h"])
+    return found.select("doc", "h", "text", *[F.col(f"runs.{c}").alias(c) for c in ("first", "count", "low", "key")])
+
+
+def _samples(documents: DataFrame, runs: DataFrame, window: int, by_window: bool) -> DataFrame:
     """The windows of the given runs: a row with all that is needed to compare them, or one row a window."""
-    wanted = runs.groupBy("doc", "h").agg(F.sort_array(F.collect_list(F.struct("first", "count", "key"))).alias("runs"))
-    texts = _keyed(documents).join(wanted, ["doc", "h"]).select("doc", "h", "text", F.col("runs.first").alias("first"), F.col("runs.count").alias("count"), F.col("runs.key").alias("key"))
+    texts = texts_of(documents, runs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,23 +194,19 @@ def _samples(documents: DataFrame, runs: DataFrame, kind: str, window: int, by_w
                 count = batch.column("count")[i].values.to_numpy()
                 key = batch.column("key")[i].values.to_numpy(zero_copy_only=False)
                 raw = buf[off[i] : off[i + 1]]
-                if kind == "bytes" and not by_window:
-                    size = count + window - 1
-                    data = [raw[a : a + n] for a, n in zip(first, size, strict=True)]
-                else:
-                    symbols = _Symbols(kind, raw, np.array([0, len(raw)]))
-                    data = []
-                    for a, n in zip(first, count, strict=True):
-                        total = _prefix(symbols.hashes(a, a + n + window - 1))
-                        at = np.arange(n)
-                        data.append(_span(total, at, at + window))
-                    if by_window:
-                        place = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count, strict=True)])
-                        h = mix(np.concatenate(data) ^ np.repeat(key, count).view(np.uint64))
-                        own = np.full(len(h), batch.column("doc")[i].as_py(), np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(np.full(len(h), batch.column("h")[i].as_py(), np.int64)), pa.array(np.repeat(first, count)), pa.array(place)], ["window", "doc", "h", "run", "first"])
-                        continue
-                    size = 8 * count
+                hashes = Words(raw, np.array([0, len(raw)])).hash
+                data = []
+                for a, n in zip(first, count, strict=True):
+                    total = prefix(hashes[a : a + n + window - 1])
+                    at = np.arange(n)
+                    data.append(span(total, at, at + window))
+                if by_window:
+                    place = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count, strict=True)])
+                    h = mix(np.concatenate(data) ^ np.repeat(key, count).view(np.uint64))
+                    own = np.full(len(h), batch.column("doc")[i].as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(np.full(len(h), batch.column("h")[i].as_py(), np.int64)), pa.array(np.repeat(first, count)), pa.array(place)], ["window", "doc", "h", "run", "first"])
+                    continue
+                size = 8 * count
                 ends = np.zeros(len(size) + 1, np.int32)
                 np.cumsum(size, out=ends[1:])
                 blob = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.concatenate(data).tobytes())])
@@ -199,37 +216,19 @@ def _samples(documents: DataFrame, runs: DataFrame, kind: str, window: int, by_w
     return texts.mapInArrow(cut, "window long, doc long, h long, run long, first long" if by_window else "key long, doc long, h long, first long, data binary")
 
 
-def _compare(samples: DataFrame, kind: str, window: int, earlier: bool) -> DataFrame:
-    """doc, h, run (its first window), first, last: stretches of repeated windows among the sampled runs, by key."""
+def _compare(samples: DataFrame) -> DataFrame:
+    """doc, h, run (its first window), first, last: stretches of windows that a smaller doc has too, among the sampled runs, by key."""
 
     def judge(key, doc, h, first, data) -> pa.RecordBatch | None:
-        size = np.array([len(x) for x in data])
-        raw = np.frombuffer(b"".join(data), np.uint8)
-        if kind == "bytes":
-            count = size - window + 1
-            start = np.concatenate([[0], np.cumsum(size)[:-1]])
-            row = np.repeat(np.arange(len(size)), count)
-            at = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count) + start[row]
-            windows = _span(_prefix(_TABLE[raw]), at, at + window)
-        else:
-            count = size // 8
-            row = np.repeat(np.arange(len(size)), count)
-            windows = raw.view(np.uint64)
-        windows = mix(windows ^ key[row].view(np.uint64))
-        if earlier:
-            order = np.lexsort((doc[row], windows))
-        else:
-            order = np.argsort(windows, kind="stable")
+        count = np.array([len(x) for x in data]) // 8
+        row = np.repeat(np.arange(len(count)), count)
+        windows = mix(np.frombuffer(b"".join(data), np.uint64) ^ key[row].view(np.uint64))
+        order = np.lexsort((doc[row], windows))
         ordered = windows[order]
-        same = ordered[1:] == ordered[:-1]
+        head = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        least = np.repeat(doc[row][order][head], np.diff(np.append(head, len(order))))
         repeat = np.zeros(len(row), bool)
-        if earlier:
-            head = np.flatnonzero(np.append(True, ~same))
-            least = np.repeat(doc[row][order][head], np.diff(np.append(head, len(order))))
-            repeat[order] = doc[row][order] > least
-        else:
-            repeat[order[1:][same]] = True
-            repeat[order[:-1][same]] = True
+        repeat[order] = doc[row][order] > least
         hit = np.flatnonzero(repeat)
         if not len(hit):
             return None
@@ -240,95 +239,106 @@ def _compare(samples: DataFrame, kind: str, window: int, earlier: bool) -> DataF
         return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(h[row[a]]), pa.array(first[row[a]]), pa.array(place[a]), pa.array(place[b])], ["doc", "h", "run", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], []]
-        size = 0
-
-        def flush(n: int) -> pa.RecordBatch | None:
-            nonlocal size
-            part = [x[:n] for x in held]
-            for x in held:
-                del x[:n]
-            size = sum(map(len, held[4]))
-            return judge(*(np.array(x, np.int64) for x in part[:4]), part[4]) if n > 1 else None
-
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, 2000)
-                at += 2000
-                for x, name in zip(held, ("key", "doc", "h", "first", "data"), strict=True):
-                    x += part.column(name).to_pylist()
-                size += part.column("data").nbytes
-                if size > CHUNK:
-                    n = len(held[0])
-                    while n and held[0][n - 1] == held[0][-1]:  # the last key may go on
-                        n -= 1
-                    if n and (out := flush(n)) is not None:
-                        yield out
-        if (out := flush(len(held[0]))) is not None:
-            yield out
+        for rows in by_key(batches, "data", CHUNK):
+            if len(rows) > 1:
+                out = judge(*(rows.column(c).to_numpy() for c in ("key", "doc", "h", "first")), rows.column("data").to_pylist())
+                if out is not None:
+                    yield out
 
     parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return samples.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, h long, run long, first long, last long")
 
 
-def find_repeats(documents: DataFrame, kind: str, window: int, gram: int, earlier: bool, most_classes: int = 20000, sample: int = 4000, least: int = 8, most_frequent: int = 65536) -> DataFrame:
-    """doc, h and spans (array of first and last window start) of all documents with repeated windows.
+def by_key(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.Table]:
+    """Rows in order of key as tables of about so many bytes of a column; the rows of a key stay together."""
+    held: list[pa.RecordBatch] = []
+    held_bytes = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            held.append(part)
+            held_bytes += part.column(column).nbytes
+            if held_bytes < size:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            n = int((key != key[-1]).sum())  # the last key may go on
+            if n:
+                yield table.slice(0, n).combine_chunks()
+                held = table.slice(n).to_batches()
+                held_bytes = sum(x.column(column).nbytes for x in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def find_classes(documents: DataFrame, kind: str, window: int, gram: int, earlier: bool, reach: int, sample: int = 4000, least: int = 8, most_frequent: int = 65536) -> DataFrame:
+    """key, doc, h, first, count, low, repeat, stands, lead_h, lead_pos of the runs that may hold repeated windows, as a stored table.
 
     kind: "words" or "bytes".  earlier: a window repeats if it also starts in a
-    document of smaller id; else if it also starts anywhere else.  Grams with
-    more than ``most_classes`` classes are compared window by window; sample,
-    least and most_frequent bound what is known beforehand (see _frequent).
+    document of smaller id; else if it also starts anywhere else.  sample, least
+    and most_frequent bound what is known beforehand (see _frequent).
     """
-    frequent = _frequent(documents, kind, window, gram, earlier, sample, least, most_frequent)
-    by_key, by_class = W.partitionBy("deal"), W.partitionBy("deal", "full")
-    runs = _runs(documents, kind, window, gram, frequent).withColumn("n", F.count("*").over(by_key)).withColumn("low", F.min("full").over(by_key)).withColumn("high", F.max("full").over(by_key)).where("n > 1 or state > 0")
-    order = by_class.orderBy("doc", "pos")
+    if window - gram >= 2048:
+        raise ValueError("runs hold up to 2048 windows: take a longer gram")
+    frequent = _frequent(documents, kind, window, gram, earlier, reach, sample, least, most_frequent)
+    by_deal, by_class = W.partitionBy("deal"), W.partitionBy("deal", "full")
+    runs = _runs(documents, kind, window, gram, reach, frequent).withColumn("n", F.count("*").over(by_deal)).withColumn("lowest", F.min("full").over(by_deal)).withColumn("highest", F.max("full").over(by_deal)).where("n > 1 or state > 0")
+    order = by_class.orderBy("doc", "h", "pos")
     runs = runs.withColumn("rank", F.row_number().over(order)).withColumn("lead", F.first("doc").over(order)).withColumn("after", F.lead("doc").over(order))
     # a frequent class's first member in the sample is dealt by class, with all that are earlier still
     within = (F.col("doc") > F.col("lead")) if earlier else (F.col("rank") > 1) | F.col("after").isNotNull() | (F.col("state") == 2)
     repeat = (F.col("state") == 3) | within
-    compared = (F.col("low") != F.col("high")) | (F.col("state") > 0)
+    compared = (F.col("lowest") != F.col("highest")) | (F.col("state") > 0)
     stands = (F.col("state") != 3) & (F.col("rank") == 1) & compared
     # a class's other runs in its least document don't repeat its first one, but what that shares with other classes they share too
-    leader = F.when(~repeat & (F.col("rank") > 1) & compared, F.first("pos").over(order)) if earlier else F.lit(None).cast("long")
-    found = runs.select(F.when(F.col("gram") != 0, F.col("gram")).otherwise(F.col("deal")).alias("key"), "doc", F.shiftrightunsigned("pos", 40).alias("h"), F.shiftright("pos", 31).bitwiseAND(F.lit(511)).alias("count"), F.col("pos").bitwiseAND(F.lit((1 << 31) - 1)).alias("first"), repeat.alias("repeat"), stands.alias("stands"), leader.alias("leader")).where("repeat or stands or leader is not null")
-    found = stored(found, "runs")
+    led = ~repeat & (F.col("rank") > 1) & compared
+    leader = [F.when(led, F.first(c).over(order)) if earlier else F.lit(None).cast("long") for c in ("h", "pos")]
+    key = F.when(F.col("gram") != 0, F.col("gram")).otherwise(F.col("deal"))
+    found = runs.select(key.alias("key"), "doc", "h", *place_columns(), repeat.alias("repeat"), stands.alias("stands"), leader[0].alias("lead_h"), leader[1].alias("lead_pos"))
+    return stored(found.where("repeat or stands or lead_pos is not null"), "runs")
+
+
+def many_classes(open_runs: DataFrame, most: int) -> DataFrame | None:
+    """The keys with more than ``most`` classes, as a stored table; None if there are none."""
+    hot = stored(open_runs.groupBy("key").agg(F.count("*").alias("classes")).where(F.col("classes") > most).select("key"), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def find_repeats(documents: DataFrame, window: int, gram: int, most_classes: int = 20000, **sampling) -> DataFrame:
+    """doc, h and spans (array of first and last window start) of all documents with windows of words that an earlier document has.
+
+    Grams with more than ``most_classes`` classes are compared window by window.
+    """
+    found = find_classes(documents, "words", window, gram, True, window, **sampling)
     # a class that repeats as a whole still stands for it where others of its gram are compared with it
-    open_runs = found.where("stands").select("key", "doc", "h", "first", "count")
-    hot = open_runs.groupBy("key").agg(F.count("*").alias("classes")).where(F.col("classes") > most_classes).select("key")
-    some_hot = stored(hot, "hot")
-    out = found.where("repeat").select("doc", "h", "first", (F.col("first") + F.col("count") - 1).alias("last"))
+    open_runs = found.where("stands").select("key", "doc", "h", "first", "count", "low")
+    hot = many_classes(open_runs, most_classes)
     hits = None
-    if some_hot.head() is not None:
-        hits = _by_window(_samples(documents, open_runs.join(some_hot, "key", "left_semi"), kind, window, True), earlier)
-        open_runs = open_runs.join(some_hot, "key", "left_anti")
-    alike = _compare(_samples(documents, open_runs, kind, window, False), kind, window, earlier)
-    hits = alike if hits is None else hits.unionByName(alike)
-    if earlier:
-        hits = stored(hits, "hits")
-        led = found.where("leader is not null").select("doc", F.col("h").alias("own_h"), F.col("first").alias("own"), F.shiftrightunsigned("leader", 40).alias("h"), F.col("leader").bitwiseAND(F.lit((1 << 31) - 1)).alias("run"))
-        ahead = F.col("own") - F.col("run")
-        out = out.unionByName(led.join(hits, ["doc", "h", "run"]).select("doc", F.col("own_h").alias("h"), (F.col("first") + ahead).alias("first"), (F.col("last") + ahead).alias("last")))
+    if hot is not None:
+        hits = _by_window(_samples(documents, open_runs.join(hot, "key", "left_semi"), window, True))
+        open_runs = open_runs.join(hot, "key", "left_anti")
+    alike = _compare(_samples(documents, open_runs, window, False))
+    hits = stored(alike if hits is None else hits.unionByName(alike), "hits")
+    led = found.where("lead_pos is not null").select("doc", F.col("h").alias("own_h"), F.col("first").alias("own"), F.col("lead_h").alias("h"), F.col("lead_pos").bitwiseAND(F.lit((1 << 31) - 1)).alias("run"))
+    ahead = F.col("own") - F.col("run")
+    out = found.where("repeat").select("doc", "h", "first", (F.col("first") + F.col("count") - 1).alias("last"))
+    out = out.unionByName(led.join(hits, ["doc", "h", "run"]).select("doc", F.col("own_h").alias("h"), (F.col("first") + ahead).alias("first"), (F.col("last") + ahead).alias("last")))
     out = out.unionByName(hits.drop("run"))
     return out.groupBy("doc", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
-def _by_window(windows: DataFrame, earlier: bool) -> DataFrame:
+def _by_window(windows: DataFrame) -> DataFrame:
     """The comparison as a join on window hashes, pre-aggregated, for grams with very many classes."""
     table = stored(windows, "windows")
-    if earlier:
-        least = table.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
-        hits = table.join(least, "window").where("doc > least")
-    else:
-        hits = table.join(table.groupBy("window").agg(F.count("*").alias("n")).where("n > 1"), "window")
-    return hits.select("doc", "h", "run", "first", F.col("first").alias("last"))
+    least = table.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("window", "least")
+    return table.join(least, "window").where("doc > least").select("doc", "h", "run", "first", F.col("first").alias("last"))
 
 
-def _with_spans(documents: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
-    keyed = documents.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(columns)], F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 23) - 1)).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = keyed.join(spans, ["doc", "h"], "left")
-    return joined.select(*[f"own_{i}" for i in range(len(columns))], "text", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
+def with_spans(documents: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
+    """own_0, own_1, ... (the given columns), text (never null) and the arrays of each field of spans, null for documents without any."""
+    fields = spans.schema["spans"].dataType.elementType.names
+    joined = keyed(documents, *[F.col(c).alias(f"own_{i}") for i, c in enumerate(columns)]).join(spans, ["doc", "h"], "left")
+    return joined.select(*[f"own_{i}" for i in range(len(columns))], "text", *[F.col(f"spans.{f}").alias(f) for f in fields])
 
 
 def covered(n: int, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
@@ -353,7 +363,7 @@ def remove_earlier_words(documents: DataFrame, window: int = 13, gram: int = 3,
     rows repeated under one id don't count against each other; a null id is the
     smallest.  Further columns are ignored.
     """
-    spans = find_repeats(documents, "words", window, gram, True, most_classes, **sampling)
+    spans = find_repeats(documents, window, gram, most_classes, **sampling)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,67 +381,4 @@ def remove_earlier_words(documents: DataFrame, window: int = 13, gram: int = 3,
                 kept_text.append(kept.decode() if texts else None)
             yield pa.RecordBatch.from_arrays([batch.column("own_0"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept_text, pa.string())] if texts else [])], ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if texts else [])])
 
-    return _with_spans(documents, spans, ["doc_id"]).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else ""))
-
-
-def remove_repeated_bytes(documents: DataFrame, window: int = 400, gram: int = 100, most_classes: int = 20000, **sampling) -> DataFrame:
-    """Exact dedup by bytes: drop each byte covered by a window-long string that also starts anywhere else.
-
-    Returns doc_id, n_bytes, n_removed, n_spans and kept_sha256.  A null text is
-    empty; texts shorter than the window keep all; a repeated row repeats all
-    windows of its text.  Further columns are ignored.
-    """
-    spans = find_repeats(documents, "bytes", window, gram, False, most_classes, **sampling)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, off = column_bytes(batch.column("text"))
-            removed, pieces, digest = [], [], []
-            for i in range(batch.num_rows):
-                raw = buf[off[i] : off[i + 1]]
-                bounds = _bounds(batch, i)
-                if bounds is None:
-                    removed.append(0)
-                    pieces.append(0)
-                    digest.append(hashlib.sha256(raw.tobytes()).hexdigest())
-                    continue
-                gone = covered(len(raw), *bounds, window)
-                removed.append(int(gone.sum()))
-                pieces.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                digest.append(hashlib.sha256(raw[~gone].tobytes()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("own_0"), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(pieces, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return _with_spans(documents, spans, ["doc_id"]).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
-    """gone without the bytes of characters that it covers in part only."""
-    lead = np.flatnonzero((raw & 0xC0) != 0x80)
-    if not len(lead):
-        return gone
-    every = np.logical_and.reduceat(gone, lead)
-    return np.repeat(every, np.diff(np.append(lead, len(raw))))
-
-
-def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their repeated 400-byte strings, in whole characters; n_chars follows the text."""
-    columns, kinds = docs.columns, dict(docs.dtypes)
-    window = 400
-    spans = find_repeats(docs, "bytes", window, 100, False)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(f"own_{columns.index('text')}")
-            if batch.column("first").null_count < batch.num_rows:
-                buf, off = column_bytes(batch.column("text"))
-                new = text.to_pylist()
-                for i in range(batch.num_rows):
-                    if (bounds := _bounds(batch, i)) is not None:
-                        raw = buf[off[i] : off[i + 1]]
-                        gone = whole_characters(raw, covered(len(raw), *bounds, window))
-                        new[i] = raw[~gone].tobytes().decode()
-                text = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(f"own_{i}") for i, c in enumerate(columns)], columns)
-
-    out = _with_spans(docs, spans, columns).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
-    return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])).select(*columns) if "n_chars" in columns else out
+    return with_spans(documents, spans, ["doc_id"]).mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else ""))

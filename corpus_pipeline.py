@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from atrium.llm import bpe, jaccard, mixing, quality, repeats
+from atrium.llm import bpe, jaccard, mixing, quality, suffixes
 from atrium.llm.common import stored
 
 #: (name, function): functions take (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
     ("quality rules", quality.pipeline_stage),
     ("n-gram Jaccard join", jaccard.pipeline_stage),
-    ("suffix-array dedup", repeats.pipeline_stage),
+    ("suffix-array dedup", suffixes.pipeline_stage),
     ("mixing sources", mixing.pipeline_stage),
     ("byte-level BPE", bpe.pipeline_stage),
 ]

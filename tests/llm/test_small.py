@@ -11,7 +11,7 @@ import public_tokenizers as tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from atrium.llm import bpe, fingerprints, jaccard, licenses, mixing, quality, repair, repeats, warc
+from atrium.llm import bpe, fingerprints, jaccard, licenses, mixing, quality, repair, repeats, suffixes, warc
 from atrium.llm.common import new_path
 from atrium.llm.text import Words, column_bytes, window_hashes
 
@@ -308,36 +308,78 @@ def test_op8_passages_repeated_inside_a_document(spark, most, least):
     assert sorted(got) == sorted(want)
 
 
-@pytest.mark.parametrize("most", [20000, 1])
-def test_op9_bytes(spark, docs, rows, most):
-    more = spark.createDataFrame([(500, "z" * 1000, "en", "a", 0), (501, "q", "en", "a", 0)], SCHEMA)
-    got = by_id(repeats.remove_repeated_bytes(odd(docs.unionByName(more)), most_classes=most, least=2 if most == 1 else 8))
-    table = [*rows, (500, "z" * 1000), (501, "q")]
-    seen = Counter(b[i : i + 400] for b in ((r[1] or "").encode() for r in table) for i in range(len(b) - 399))
-    for doc, text, *_ in table:
-        b = (text or "").encode()
+def brute_strings(texts, length):
+    """For each text, which of its bytes lie in strings of a length that also start elsewhere."""
+    seen = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
+    every = []
+    for b in texts:
         gone = bytearray(len(b))
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        every.append(bytes(gone))
+    return every
+
+
+def brute_passages(b, gone, words=51):
+    """gone without the stretches that touch fewer words."""
+    out = bytearray(len(b))
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+    for m in re.finditer(b"\1+", gone):
+        if sum(x < m.end() and y > m.start() for x, y in at) >= words:
+            out[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    return bytes(out)
+
+
+@pytest.mark.parametrize(("most", "shorter"), [(20000, 200), (1, 200), (20000, 0)])
+def test_op9_bytes(spark, docs, rows, most, shorter):
+    r = random.Random(3)
+    kinds = ["".join(r.choice("ab ") for _ in range(700)) for _ in range(6)]
+    mixed = [(600 + i, "".join(r.choice(kinds)[r.randrange(300) :][: r.randrange(700)] for _ in range(5)), "en", "a", 0) for i in range(40)]
+    extra = [(500, "z" * 1000, "en", "a", 0), (501, "q", "en", "a", 0), *mixed]
+    got = by_id(suffixes.remove_repeated_bytes(odd(docs.unionByName(spark.createDataFrame(extra, SCHEMA))), shorter=shorter, most_classes=most, least=2 if most == 1 else 8))
+    table = [*rows, *extra]
+    texts = [(t[1] or "").encode() for t in table]
+    short = brute_strings(texts, shorter) if shorter else texts
+    for (doc, *_), b, gone, near in zip(table, texts, brute_strings(texts, 400), short, strict=True):
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        spans = len(re.findall(b"\1+", bytes(gone)))
         r = got[doc]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
-    assert repeats.remove_repeated_bytes(empty(spark)).count() == 0
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), sum(gone), len(re.findall(b"\1+", gone)), hashlib.sha256(kept).hexdigest())
+        if shorter:
+            assert r.n_passage_bytes == sum(brute_passages(b, near))
+    assert suffixes.remove_repeated_bytes(empty(spark), shorter=shorter).count() == 0
+
+
+def test_op9_ids_without_order(spark):
+    """Rows of a null or repeated id are documents of their own, however many."""
+    r = random.Random(2)
+    passage = "".join(r.choice("abcdef") for _ in range(500))
+    texts = ["".join(r.choice("abcdef") for _ in range(300)) + passage[: r.randrange(380, 430)] + "x" * r.randrange(9) for _ in range(300)]
+    table = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = sorted((len(t), sum(g)) for t, g in zip(texts, brute_strings([t.encode() for t in texts], 400), strict=True))
+    assert sorted((x.n_bytes, x.n_removed) for x in suffixes.remove_repeated_bytes(table).collect()) == want
 
 
-def test_op9_long_texts_in_pieces(spark, monkeypatch):
+def test_op9_long_texts_in_pieces(monkeypatch):
     r = random.Random(9)
     long = "".join(r.choice("abcdef") for _ in range(5000))
-    table = spark.createDataFrame([(1, long + long[100:900]), (2, long[3000:3600])], "doc_id long, text string")
-    want = {r.doc_id: r.asDict() for r in repeats.remove_repeated_bytes(table).collect()}
-    symbols = repeats._Symbols("bytes", np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))
+    symbols = repeats.Symbols("bytes", np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))
     monkeypatch.setattr(repeats, "PIECE", 700)
-    pieces = list(symbols.pieces(400))
-    starts = sorted(s for _, of, _, shift, n in pieces for s in range(shift, shift + max(0, n - 399)))
-    assert starts == list(range(len(long) - 399))
-    assert want[2]["n_removed"] == 600
+    pieces = list(symbols.pieces(200, 400))
+    starts = sorted(s for _, of, _, _, shift in pieces for s in range(shift, shift + max(0, int(of[-1]) - 199)))
+    assert starts == list(range(len(long) - 199))
+    assert all(int(ends[0]) == min(len(long) - shift, 700 + 399) for _, _, ends, _, shift in pieces)
+
+
+def test_op9_very_long_text(spark):
+    """A text of several pieces repeats a passage of its own far away, and one of another text across a piece's border."""
+    r = np.random.default_rng(5)
+    long = bytearray(r.integers(97, 123, 3 << 20, dtype=np.uint8).tobytes())
+    long[2_500_000:2_500_700] = long[1000:1700]
+    other = bytes(long[(1 << 20) - 300 : (1 << 20) + 300])
+    table = spark.createDataFrame([(1, long.decode()), (2, other.decode()), (3, None)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffixes.remove_repeated_bytes(table).collect()}
+    assert got == {1: (2000, 3), 2: (600, 1), 3: (0, 0)}
 
 
 def test_op10_mixing(spark, docs, rows):
