@@ -16,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -32,6 +34,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named own_0, own_1, ..., so that no name of theirs meets one of an operator's."""
+    return df.toDF(*[f"own_{i}" for i in range(len(df.columns))])
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import stored
+from .common import numbered, stored
 from .components import components
 from .text import SLICE, Words, column_bytes, doc_slices, mix, window_hashes
 
@@ -357,15 +357,19 @@ def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row of smallest id and, among rows of that id, the first by text; rows without shingles stay.
 
     An id is a row's key only if no two rows share it and none is null; else
-    rows are linked under a hash of all their columns.
+    rows are linked under a hash of all their columns, and of rows equal in all
+    of them one stays.  Null and empty texts stay, an empty table stays empty,
+    columns of any name are handed through.
     """
-    columns = docs.columns
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        return docs.join(jaccard_classes(docs).where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*columns)
-    keyed = docs.withColumn("__row", F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]))
-    classes = stored(jaccard_classes(keyed.select(F.col("__row").alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", "__row"), "classes")
-    alike = classes.where("n_shingles > 0").join(keyed.select("__row", "doc_id").distinct(), "__row").select("__row", "component_id", "doc_id")
-    least = alike.groupBy("component_id").agg(F.min(F.struct("doc_id")).alias("least"))
-    heads = alike.join(least, "component_id").where(F.col("doc_id").eqNullSafe(F.col("least.doc_id"))).select("__row", "component_id")
-    firsts = keyed.join(heads, "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", *[c for c in columns if c != "doc_id"])).alias("first")).select("first.*").select(*columns)
-    return firsts.unionByName(keyed.join(classes.where("n_shingles = 0"), "__row", "left_semi").select(*columns))
+        return docs.join(jaccard_classes(docs).where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    own = numbered(docs)
+    doc, text = (own.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rest = [text, *[c for c in own.columns if c not in (doc, text)]]
+    keyed = own.withColumn("row", F.xxhash64(*own.columns, *[F.col(c).isNull() for c in own.columns]))
+    classes = stored(jaccard_classes(keyed.select(F.col("row").alias("doc_id"), F.col(text).alias("text"))).distinct().withColumnRenamed("doc_id", "row"), "classes")
+    alike = classes.where("n_shingles > 0").join(keyed.select("row", doc).distinct(), "row").select("row", "component_id", doc)
+    least = alike.groupBy("component_id").agg(F.min(F.struct(doc)).alias("least"))
+    heads = alike.join(least, "component_id").where(F.col(doc).eqNullSafe(F.col(f"least.{doc}"))).select("row", "component_id")
+    firsts = keyed.join(heads, "row").groupBy("component_id").agg(F.min(F.struct(doc, *rest)).alias("first")).select("first.*").select(*own.columns)
+    return firsts.unionByName(keyed.join(classes.where("n_shingles = 0"), "row", "left_semi").select(*own.columns)).toDF(*docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, stored
+from .common import WORD, numbered, stored
 
 #: Hash slots of each source; a slot holds a 4096th of a source's documents.
 SLOT_DIGITS = 3
@@ -92,30 +92,37 @@ FROM placed
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix repeats them; a part of a document is its first words, cut in the text."""
-    columns = docs.columns
-    kinds = dict(docs.dtypes)
-    keyed = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
-    sized = keyed.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "__row")
-    mixed = _mixed(stored(sized, "mix-sizes"), 3, 7, ("__row",)).select("__row", "epochs", "part", F.col("size").alias("__size"))
-    rows = keyed.join(mixed, "__row").select(*columns, "epochs", "part", "__size")
+    """The documents as often as the mix repeats them; a part of a document is its first words, cut in the text.
+
+    Documents without words (null or empty texts) stay once; a null source is a
+    source of its own; repeated rows and rows without an id are taken one by
+    one; an empty table stays empty; columns of any name are handed through.
+    """
+    columns, kinds = docs.columns, dict(docs.dtypes)
+    own = numbered(docs)
+    named = {c: own.columns[columns.index(c)] for c in ("doc_id", "source", "text")}
+    text, kept = named["text"], own.columns
+    keyed = stored(own.withColumn("row", F.monotonically_increasing_id()), "mix-docs")
+    sized = keyed.select(F.col(named["doc_id"]).alias("doc_id"), F.col(named["source"]).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), "row")
+    mixed = _mixed(stored(sized, "mix-sizes"), 3, 7, ("row",)).select("row", "epochs", "part", "size")
+    rows = keyed.join(mixed, "row")
     # a document without words stays as it is: the mix has nothing to take from it
-    copies = F.sequence(F.lit(1), F.col("epochs").cast("int") + (F.col("part") > 0).cast("int"))
-    rows = rows.withColumn("__copies", F.when(F.col("__size") == 0, F.array(F.lit(1))).when((F.col("epochs") + (F.col("part") > 0).cast("int")) > 0, copies).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("__copy", F.explode("__copies")).withColumn("__cut", F.when((F.col("__copy") > F.col("epochs")) & (F.col("part") < F.col("__size")), F.col("part")).otherwise(F.lit(-1)))
+    parts = F.col("epochs").cast("int") + (F.col("part") > 0).cast("int")
+    copies = F.when(F.col("size") == 0, F.array(F.lit(1))).when(parts > 0, F.sequence(F.lit(1), parts)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("copy", F.explode(copies)).withColumn("cut", F.when((F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size")), F.col("part")).otherwise(F.lit(-1)))
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .text import Words, column_bytes
 
         for batch in batches:
-            at = batch.column("__cut").to_numpy()
+            at = batch.column("cut").to_numpy()
             if (at >= 0).any():
-                text = batch.column("text").to_pylist()
+                new = batch.column(text).to_pylist()
                 for i in (at >= 0).nonzero()[0]:
-                    w = Words(*column_bytes(pa.array([text[i]], pa.string())))
-                    text[i] = w.buf[: w.end[at[i] - 1]].tobytes().decode() if at[i] else ""
-                batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
-            yield batch.select(columns)
+                    w = Words(*column_bytes(pa.array([new[i]], pa.string())))
+                    new[i] = w.buf[: w.end[at[i] - 1]].tobytes().decode() if at[i] else ""
+                batch = batch.set_column(batch.schema.get_field_index(text), text, pa.array(new, pa.string()))
+            yield batch.select(kept)
 
-    out = rows.select(*columns, "__cut").mapInArrow(shorten, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    out = rows.select(*kept, "cut").mapInArrow(shorten, ", ".join(f"{c} {kind}" for c, kind in own.dtypes)).toDF(*columns)
     return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])).select(*columns) if "n_chars" in columns else out

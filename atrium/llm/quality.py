@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered
 from .text import SPACE, Words, column_bytes, doc_slices, window_hashes
 
 #: Hash bits of each family of features.
@@ -116,18 +117,16 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(index, pa.binary()), pa.array(value, pa.binary())], ["label", "at", "much"])
 
 
-def _fit(rows: list, rounds: int) -> QualityModel:
-    """Adaptive gradient descent on two thirds of the rows; calibration on the others."""
+def _nothing_learnt() -> QualityModel:
+    return QualityModel(np.zeros((FAMILIES, 1 << BITS), np.int64), 0.0, 1.0, 40.0)
+
+
+def _fit(label: np.ndarray, at: list[np.ndarray], much: list[np.ndarray], rounds: int) -> QualityModel:
+    """Adaptive gradient descent on two thirds of the rows, row by row within a round; calibration on the others."""
+    if len(set(label)) < 2:
+        return _nothing_learnt()
     width = FAMILIES << BITS
-    rows = [r for r in rows if len(r.at)]
-    if len({r.label for r in rows}) < 2:
-        return QualityModel(np.zeros((FAMILIES, 1 << BITS), np.int64), 0.0, 1.0, 40.0)
-    label = np.array([r.label for r in rows], float)
-    at = [np.frombuffer(r.at, "<i4") for r in rows]
-    size = np.array([len(x) for x in at])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), size)
-    col, val = np.concatenate(at), np.concatenate([np.frombuffer(r.much, "<f4") for r in rows])
-    train = np.arange(len(rows)) % 3 != 0
+    train = np.arange(len(label)) % 3 != 0
     if len(set(label[train])) < 2 or len(set(label[~train])) < 2:
         train[:] = True
     share = np.array([np.mean(label[train] == 0), np.mean(label[train] == 1)])
@@ -136,27 +135,24 @@ def _fit(rows: list, rounds: int) -> QualityModel:
     w, b = np.zeros(width), 0.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     rate = 0.5
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    by_col = np.argsort(col, kind="stable")
-    used, col_first = np.unique(col[by_col], return_index=True)
-    col_row, col_val = row[by_col], val[by_col]
-    del by_col
-    g = np.zeros(width)
+    rows = np.flatnonzero(train)
     for t in range(1, rounds + 1):
-        z = np.add.reduceat(val * w.astype(np.float32)[col], first) + b
-        err = sample_weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label)
-        g[used] = np.add.reduceat(col_val * err.astype(np.float32)[col_row], col_first)
-        gb = err.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        g, gb, short = np.zeros(width, np.float32), 0.0, w.astype(np.float32)
+        for i in rows:
+            z = float(much[i] @ short[at[i]]) + b
+            err = sample_weight[i] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label[i])
+            g[at[i]] += np.float32(err) * much[i]  # a row's buckets are distinct
+            gb += err
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * np.square(g, dtype=float)
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.99**t
         w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-6)
         b -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-6)
     fixed = np.round(w * SCALE).astype(np.int64)
-    held = ~train if not train.all() else train
-    z = (np.add.reduceat(val * (fixed / SCALE).astype(np.float32)[col], first) + b)[held]
-    y = label[held]
-    slope, offset = _calibrate(z, y)
+    held = np.flatnonzero(~train) if not train.all() else rows
+    short = (fixed / SCALE).astype(np.float32)
+    z = np.array([float(much[i] @ short[at[i]]) + b for i in held])
+    slope, offset = _calibrate(z, label[held])
     return QualityModel(fixed.reshape(FAMILIES, 1 << BITS), float(b), slope, offset)
 
 
@@ -189,8 +185,8 @@ def train_quality(documents: DataFrame, labels: DataFrame, rows_per_class: int =
     """Fit the classifier on labelled rows.
 
     rows_per_class bounds the training sample: of each class, the labelled rows
-    whose seeded hash of doc_id is smallest.  Rows without a doc_id, a label or
-    a text aren't used.  With fewer than two classes every text gets a
+    whose seeded hash of doc_id is smallest; of an id's rows that of least text.
+    Rows without a doc_id, a label or a text aren't used.  With fewer than two classes every text gets a
     probability near 1.
     """
     sample = labels.where("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") > 0).cast("int").alias("label")).groupBy("doc_id").agg(F.min("label").alias("label"))
@@ -199,9 +195,25 @@ def train_quality(documents: DataFrame, labels: DataFrame, rows_per_class: int =
     for label in (0, 1):  # at most rows_per_class ids of each class reach the driver
         part = sample.where(F.col("label") == label).orderBy(*order).limit(rows_per_class)
         picked = part if picked is None else picked.unionByName(part)
-    texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    rows = texts.select("label", "doc_id", "text").mapInArrow(_with_key, "label int, doc_id long, at binary, much binary").collect()
-    return _fit(sorted(rows, key=lambda r: (r.doc_id, bytes(r.at))), rounds)
+    texts = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    features = texts.select("label", "doc_id", "text").mapInArrow(_with_key, "label int, doc_id long, at binary, much binary")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, at, much = [], [], []
+        for batch in batches:
+            for y, a, v in zip(batch.column("label").to_pylist(), batch.column("at"), batch.column("much"), strict=True):
+                if len(a.as_buffer()):
+                    label.append(y)
+                    at.append(np.frombuffer(a.as_buffer(), "<i4"))
+                    much.append(np.frombuffer(v.as_buffer(), "<f4"))
+        m = _fit(np.array(label, float), at, much, rounds)
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([m.weights.tobytes()], pa.binary()), "bias": [m.bias], "slope": [m.slope], "offset": [m.offset]})
+
+    # the bounded sample meets in one task, and the model, of fixed size, reaches the driver
+    model = features.repartition(1).sortWithinPartitions("doc_id").mapInArrow(fit, "weights binary, bias double, slope double, offset double").head()
+    if model is None:
+        return _nothing_learnt()
+    return QualityModel(np.frombuffer(model.weights, np.int64).reshape(FAMILIES, 1 << BITS), model.bias, model.slope, model.offset)
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +250,12 @@ def quality_rules(documents: DataFrame, model: QualityModel, threshold: float =
 
 
 def pipeline_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep, with the columns of docs."""
+    """The documents that the quality rules keep, with the columns of docs, whatever their names.
+
+    A null or empty text goes (it has no words), repeated rows share a verdict,
+    a null id or source changes nothing, an empty table stays empty.
+    """
     model = train_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = docs.columns
-    return quality_rules(docs, model, passthrough=tuple(columns)).where("kept").select(*columns)
+    own = numbered(docs)
+    judged = quality_rules(own.withColumn("text", F.col(own.columns[docs.columns.index("text")])), model, passthrough=tuple(own.columns))
+    return judged.where("kept").select(*own.columns).toDF(*docs.columns)

@@ -16,7 +16,7 @@ STAGES = [
     ("byte-level BPE", bpe.pipeline_stage),
 ]
 
-#: SQL can't express the classifier and the tokenizer; tests hold the Jaccard stage against a brute-force version, run() as a whole against none.
+#: SQL can't express the classifier and the tokenizer: tests/llm/test_pipeline.py holds run() against a plain Python version, given the classifier's verdicts.
 ORACLE_SQL = None
 
 
