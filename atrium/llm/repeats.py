@@ -178,7 +178,9 @@ def _runs(documents: DataFrame, kind: str, window: int, gram: int, reach: int, f
 def texts_of(documents: DataFrame, runs: DataFrame) -> DataFrame:
     """doc, h, text and the arrays first, count, low and key of the given runs, once for each doc and h."""
     wanted = runs.groupBy("doc", "h").agg(F.sort_array(F.collect_list(F.struct("first", "count", "low", "key"))).alias("runs"))
-    found = keyed(documents).join(wanted, ["doc", "h"]).dropDuplicates(["doc", "h"])
+    found = keyed(documents).join(wanted, ["doc", "h"])
+    if not keyed(documents).groupBy("doc", "h").count().where("count > 1").isEmpty():
+        found = found.dropDuplicates(["doc", "h"])
     return found.select("doc", "h", "text", *[F.col(f"runs.{c}").alias(c) for c in ("first", "count", "low", "key")])
 
 
