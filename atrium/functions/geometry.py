@@ -75,6 +75,12 @@ def box_corners(cx: Column, cy: Column, cz: Column, dx: Column, dy: Column, dz:
     return F.array(*[F.struct((cx + i * dx / 2).alias("x"), (cy + j * dy / 2).alias("y"), (cz + k * dz / 2).alias("z")) for i in (-1, 1) for j in (-1, 1) for k in (-1, 1)])
 
 
+def box_centre(box: Column) -> tuple[tuple[Column, Column, Column], tuple[Column, Column, Column]]:
+    """Centre and dimensions of a box struct with x0, x1, y0, ..."""
+    ends = [(box[f"{a}0"], box[f"{a}1"]) for a in "xyz"]
+    return tuple((a + b) / 2 for a, b in ends), tuple(b - a for a, b in ends)
+
+
 def box_iou(a: str, b: str) -> Column:
     """IoU of boxes in struct columns a and b with x0, y0, z0, x1, y1, z1; 0 where the union is 0."""
     side = lambda axis: F.greatest(F.lit(0.0), F.least(F.col(f"{a}.{axis}1"), F.col(f"{b}.{axis}1")) - F.greatest(F.col(f"{a}.{axis}0"), F.col(f"{b}.{axis}0")))

@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 #: Number words of floors.
 NUMBER_WORDS = {"zero": 0, "ground": 0, "one": 1, "first": 1, "two": 2, "second": 2, "three": 3, "third": 3, "four": 4, "fourth": 4, "five": 5, "fifth": 5}
 
-#: Names of structure rather than of objects.
-STRUCTURAL = ("wall", "floor", "ceiling", "door", "window", "pillar", "beam", "stair")
+#: Parts of names of structure, left out when a room is named by its objects.
+ROOM_STRUCTURE = ("wall", "floor", "ceiling", "railing", "roof", "void", "unlabeled", "misc")
+#: Parts of names of structure, left out when a graph is drawn.
+DRAWN_STRUCTURE = ("wall", "floor", "ceiling", "paneling", "banner", "overhang")
+#: The room categories that long queries ask for, and the object categories that they never ask for.
+ASKED_ROOMS = ("living room", "kitchen", "bedroom", "bathroom")
+UNASKED_OBJECTS = ("wall", "floor", "ceiling", "door", "window", "stairs", "railing", "objects", "misc", "void", "")
 
 _FLOOR = r"(?i)\bon (?:the )?floor (\w+)|\bon the (\w+) floor"
 _TAIL = r"(?i)\s+on (?:the )?(?:floor \w+|\w+ floor)\s*$"
@@ -44,5 +49,10 @@ def id_numbers(scene_id: Column) -> Column:
     return F.transform(F.split(scene_id, "_"), lambda x: x.cast("int"))
 
 
-def is_structural(name: Column, names: tuple[str, ...] = STRUCTURAL) -> Column:
+def is_structural(name: Column, names: tuple[str, ...] = ROOM_STRUCTURE) -> Column:
     return F.lower(name).rlike("|".join(names))
+
+
+def asked_categories(room: Column, item: Column) -> Column:
+    """Whether long queries ask for an object of this category in a room of this category."""
+    return room.isin(*ASKED_ROOMS) & ~item.isin(*UNASKED_OBJECTS)

@@ -14,10 +14,6 @@ def confusion(df: DataFrame, pred: str, gt: str) -> DataFrame:
     return df.groupBy(F.col(pred).alias("pred"), F.col(gt).alias("gt")).agg(F.count("*").alias("n"))
 
 
-def _without(df: DataFrame, column: str, ignore: tuple) -> DataFrame:
-    return df.where(~F.col(column).isin(list(ignore))) if ignore else df
-
-
 def per_class(conf: DataFrame, ignore: tuple = ()) -> DataFrame:
     """class, tp, t (rows of the true class), p (rows predicted), iou; an ignored class has iou 0."""
     true = conf.groupBy(F.col("gt").alias("class")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("pred") == F.col("gt"), F.col("n")).otherwise(0)).alias("tp"))
@@ -98,11 +94,10 @@ def match(scores: DataFrame, keys: tuple[str, ...], a: str = "a", b: str = "b",
 
 
 def threshold_sweep(matched: DataFrame, n_pred: int, n_gt: int, steps: int = 11, value: str = "score") -> DataFrame:
-    """threshold, tp, precision, recall for thresholds 0, 1/(steps-1), ..., 1; a pair counts if its score reaches the threshold."""
-    spark = matched.sparkSession
-    levels = spark.range(steps).select((F.col("id") / (steps - 1)).alias("threshold"))
-    tp = levels.join(matched.select(value), F.col(value) >= F.col("threshold"), "left").groupBy("threshold").agg(F.count(value).alias("tp"))
-    return tp.withColumn("precision", F.col("tp") / F.lit(n_pred)).withColumn("recall", F.col("tp") / F.lit(n_gt))
+    """threshold, tp, precision, recall for thresholds 0, 1/(steps-1), ..., 1; a pair counts if its score exceeds the threshold."""
+    levels = [i / (steps - 1) for i in range(steps)]
+    row = matched.agg(F.array(*[F.struct(F.lit(t).alias("threshold"), F.coalesce(F.sum((F.col(value) > t).cast("long")), F.lit(0)).alias("tp")) for t in levels]).alias("rows"))
+    return row.select(F.inline("rows")).withColumn("precision", F.col("tp") / F.lit(n_pred)).withColumn("recall", F.col("tp") / F.lit(n_gt))
 
 
 def area_under(curve: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -112,12 +107,16 @@ def area_under(curve: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) ->
     return curve.withColumn("part", part).groupBy(*keys).agg(F.coalesce(F.sum("part"), F.lit(0.0)).alias("area"))
 
 
-def floor_evaluation(pred: DataFrame, gt: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """Floors aligned by rank of their lower bound; a predicted floor is right if both bounds are nearer than the tolerance."""
-    rank = lambda df, c: df.select(F.row_number().over(W.orderBy("low", "high")).alias("rank"), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
-    both = rank(pred, "pred").join(rank(gt, "gt"), "rank", "full")
+def floor_evaluation(pred: DataFrame, gt: DataFrame, tolerance: float = 0.5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, n_pred, n_gt, tp, precision, recall, accuracy: floors of a scene aligned by rank of their lower bound.
+
+    A predicted floor is right if both bounds are nearer than the tolerance.
+    """
+    w = W.partitionBy(*keys).orderBy("low", "high")
+    rank = lambda df, c: df.select(*keys, F.row_number().over(w).alias("rank"), F.col("low").alias(f"{c}_low"), F.col("high").alias(f"{c}_high"))
+    both = rank(pred, "pred").join(rank(gt, "gt"), [*keys, "rank"], "full")
     right = (F.abs(F.col("pred_low") - F.col("gt_low")) < tolerance) & (F.abs(F.col("pred_high") - F.col("gt_high")) < tolerance)
-    out = both.agg(F.count("pred_low").alias("n_pred"), F.count("gt_low").alias("n_gt"), F.coalesce(F.sum(right.cast("int")), F.lit(0)).alias("tp"))
+    out = both.groupBy(*keys).agg(F.count("pred_low").alias("n_pred"), F.count("gt_low").alias("n_gt"), F.coalesce(F.sum(right.cast("int")), F.lit(0)).alias("tp"))
     return out.withColumn("precision", F.col("tp") / F.col("n_pred")).withColumn("recall", F.col("tp") / F.col("n_gt")).withColumn("accuracy", F.col("tp") / F.greatest("n_pred", "n_gt"))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -109,7 +111,7 @@ def floor_intervals(peaks: DataFrame, bounds: DataFrame, at: str = "height", key
     return floors.unionByName(alone)
 
 
-def stair_segment(poses: DataFrame, low: float, high: float, order: str = "frame_id", height: str = "y", before: int = 5, after: int = 20, keys: tuple[str, ...] = ()) -> DataFrame:
+def stair_segment(poses: DataFrame, low: Column | float, high: Column | float, order: str = "frame_id", height: str = "y", before: int = 5, after: int = 20, keys: tuple[str, ...] = ()) -> DataFrame:
     """The frames from the last dip below ``low`` before the first rise above ``high``, with margins; none without a crossing."""
     w = W.partitionBy(*keys)
     seq = poses.withColumn("i", F.row_number().over(w.orderBy(order)))
@@ -131,19 +133,27 @@ def step_edges(poses: DataFrame, order: tuple[str, ...], axes: tuple[str, ...] =
 def resample_path(path: DataFrame, order: str, step: float, axes: tuple[str, ...] = ("x", "y", "z"), keys: tuple[str, ...] = ("path",)) -> DataFrame:
     """The first point of each path and each point at which more than ``step`` has been walked since the last one kept.
 
-    One path is streamed in order through a group function; its memory is one path.
+    Paths stream in order through Arrow batches; a task holds a batch and the
+    state of one path, however long paths are.  Rows of equal order follow each
+    other by their columns.
     """
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        xyz = pdf[list(axes)].to_numpy(float)
-        walked, kept = 0.0, [0] if len(pdf) else []
-        for i in range(1, len(pdf)):
-            walked += float(np.linalg.norm(xyz[i] - xyz[i - 1]))
-            if walked > step:
-                kept.append(i)
-                walked = 0.0
-        return pdf.iloc[kept]
-
-    return path.groupBy(*keys).applyInPandas(keep, path.schema)
-
+    names, columns = list(keys), path.columns
+    w = W.partitionBy(*keys).orderBy(order, *axes)
+    total = F.lit(0.0)
+    for a in axes:
+        d = F.col(a) - F.lag(a).over(w)
+        total = total + d * d
+    walk = path.withColumn("walked_", F.sqrt(total)).withColumn("first_", F.col("walked_").isNull())
+    rows = walk.repartition(*names).sortWithinPartitions(*names, order, *axes)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walked = 0.0
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for i, (first, length) in enumerate(zip(batch.column("first_").to_pylist(), batch.column("walked_").to_pylist(), strict=True)):
+                walked = 0.0 if first else walked + length
+                if first or walked > step:
+                    kept[i], walked = True, 0.0
+            yield batch.select(columns).filter(pa.array(kept))
+
+    return rows.mapInArrow(keep, path.schema)

@@ -71,15 +71,14 @@ def free_cells(region: DataFrame, poses: DataFrame, obstacles: DataFrame, pose_r
     return parts.join(best, [*keys, "component"], "left_semi").drop("component")
 
 
-def _cell_id(keys: tuple[str, ...]) -> Column:
-    """A long for each cell: hash of the keys above 21 bits of row and of column."""
-    base = F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) if keys else F.lit(0)
-    return base * F.lit(1 << 42) + (F.col("row") + (1 << 20)) * F.lit(1 << 21) + F.col("col") + (1 << 20)
+def cell_id(keys: tuple[str, ...]) -> Column:
+    """A text for each cell: its keys, row and column, so that cells of different keys never meet."""
+    return F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys], F.col("row").cast("string"), F.col("col").cast("string"))
 
 
 def cell_components(cells: DataFrame, keys: tuple[str, ...] = (), diagonal: bool = True) -> DataFrame:
-    """8- or 4-connected components of the cells of each key (rows and columns within 2**20 of 0)."""
-    rows = cut(cells.select(*keys, "row", "col").distinct().withColumn("id", _cell_id(keys)))
+    """keys, row, col, component: 8- or 4-connected components of the cells of each key, named by their least cell (as text, see cell_id)."""
+    rows = cut(cells.select(*keys, "row", "col").distinct().withColumn("id", cell_id(keys)))
     steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if diagonal else [])]
     next_cells = rows.select(*keys, F.col("id").alias("src"), "row", "col", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("o"))
     next_cells = next_cells.select(*keys, "src", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
@@ -87,7 +86,7 @@ def cell_components(cells: DataFrame, keys: tuple[str, ...] = (), diagonal: bool
     return rows.join(components(rows.select("id"), edges), "id").select(*keys, "row", "col", "component")
 
 
-def nearest_wall(cells: DataFrame, keys: tuple[str, ...] = (), rounds: int = 400) -> DataFrame:
+def nearest_wall(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """For each cell the nearest cell outside the region (wall_row, wall_col) and its squared distance.
 
     Walls spread inward: in each round a cell hears its 8 neighbours' walls and
@@ -98,7 +97,7 @@ def nearest_wall(cells: DataFrame, keys: tuple[str, ...] = (), rounds: int = 400
     known = None
     front = rim
     d2 = (F.col("row") - F.col("wall_row")) * (F.col("row") - F.col("wall_row")) + (F.col("col") - F.col("wall_col")) * (F.col("col") - F.col("wall_col"))
-    for _ in range(rounds):
+    while True:
         heard = _spread(front, 1, keys, False, "wall_row", "wall_col").join(own, [*keys, "row", "col"], "left_semi").withColumn("d2", d2)
         if known is not None:
             heard = heard.unionByName(known)
@@ -108,7 +107,6 @@ def nearest_wall(cells: DataFrame, keys: tuple[str, ...] = (), rounds: int = 400
         known = best
         if front.isEmpty():
             return known
-    raise RuntimeError(f"distances did not settle in {rounds} rounds")
 
 
 def otsu(hist: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -121,7 +119,7 @@ def otsu(hist: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return h.groupBy(*keys).agg(F.min_by("bin", F.struct(-F.col("between"), F.col("bin"))).alias("threshold"))
 
 
-def segment_rooms(region: DataFrame, seed_distance: float, keys: tuple[str, ...] = (), least_seed: int = 1, rounds: int = 400) -> DataFrame:
+def segment_rooms(region: DataFrame, seed_distance: float, keys: tuple[str, ...] = (), least_seed: int = 1) -> DataFrame:
     """Rooms of a floor's free cells: parts farther than ``seed_distance`` cells from any wall are seeds, other cells join the seed that reaches them first.
 
     keys, row, col, room.  Seeds grow by rounds over the free cells, as water
@@ -134,20 +132,19 @@ def segment_rooms(region: DataFrame, seed_distance: float, keys: tuple[str, ...]
     rooms = cut(seeds.join(size, "component", "left_semi").select(*keys, "row", "col", F.col("component").alias("room")))
     rest = cut(region.select(*keys, "row", "col").distinct().join(rooms, [*keys, "row", "col"], "left_anti"))
     front = rooms
-    for _ in range(rounds):
+    while True:
         reached = cut(_spread(front, 1, keys, False, "room").join(rest, [*keys, "row", "col"], "left_semi").groupBy(*keys, "row", "col").agg(F.min("room").alias("room")))
         if reached.isEmpty():
             return rooms
         rooms = cut(rooms.unionByName(reached))
         rest = cut(rest.join(reached, [*keys, "row", "col"], "left_anti"))
         front = reached
-    raise RuntimeError(f"rooms did not fill in {rounds} rounds")
 
 
 def medial_edges(walls: DataFrame, apart: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Edges of the medial axis: neighbouring cells both of which see walls that are ``apart`` cells from a neighbour's wall."""
     steps = [(0, 1), (1, 0), (1, 1), (1, -1)]
-    cells = cut(walls.withColumn("id", _cell_id(keys)))
+    cells = cut(walls.withColumn("id", cell_id(keys)))
     pairs = cells.select(*keys, F.col("id").alias("src"), F.col("wall_row").alias("wr"), F.col("wall_col").alias("wc"), "row", "col", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("o"))
     pairs = pairs.select(*keys, "src", "wr", "wc", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), F.sqrt((F.col("o.i") * F.col("o.i") + F.col("o.j") * F.col("o.j")).cast("double")).alias("dist"))
     met = pairs.join(cells.withColumnRenamed("id", "dst"), [*keys, "row", "col"])

@@ -60,82 +60,166 @@ def within_radius(left: DataFrame, right: DataFrame, radius: float, keys: tuple[
     return a.join(b, cond).where(d2 < radius * radius if strict else d2 <= radius * radius).select(F.struct(*[F.col(f"l.{c}") for c in left.columns]).alias("l"), F.struct(*[F.col(f"r.{c}") for c in right.columns]).alias("r"), d2.alias("d2"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, keys: tuple[str, ...] = (), axes: tuple[str, ...] = AXES, rings: int = 12) -> DataFrame:
+def _extent(left: DataFrame, right: DataFrame, axes: tuple[str, ...]) -> float:
+    """Length of the longest side of the box around both tables."""
+    both = left.select(*axes).unionByName(right.select(*axes))
+    row = both.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).head()
+    return max([0.0, *[float(x) for x in row if x is not None]])
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, keys: tuple[str, ...] = (), axes: tuple[str, ...] = AXES) -> DataFrame:
     """left_id, right_id and distance of the nearest right point of each left point; ties go to the smaller id.
 
-    Cells double from round to round, and only points that have found
-    nothing nearer than a cell's width go on, so the answer is exact.  What has
-    no partner within 2**rings cells (with equal keys) gets no row.
+    Cells double from round to round, and only points that have found nothing
+    nearer than a cell's width go on, so the answer is exact.  Rounds end when a
+    cell is wider than all data; only points without any right point of equal
+    keys get no row.
     """
-    todo, out, size = left, None, cell
-    for _ in range(rings):
+    todo, out, size, widest = left, None, cell, _extent(left, right, axes)
+    while True:
         near = within_radius(todo, right, size, keys, axes)
         best = near.groupBy(F.col(f"l.{left_id}").alias(left_id)).agg(F.min(F.struct("d2", F.col(f"r.{right_id}").alias("id"))).alias("best"))
         best = cut(best.select(left_id, F.col("best.id").alias(right_id), F.sqrt("best.d2").alias("distance")))
         out = best if out is None else out.unionByName(best)
-        todo = todo.join(best.select(left_id), left_id, "left_anti")
+        todo = cut(todo.join(best.select(left_id), left_id, "left_anti"))
+        if size > len(axes) * widest or todo.isEmpty():
+            return out
         size *= 2
-        if todo.isEmpty():
-            break
-    return out
 
 
-def k_nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, radius: float, keys: tuple[str, ...] = (), axes: tuple[str, ...] = AXES) -> DataFrame:
-    """The k nearest right points within a radius, ranked by distance and id."""
-    near = within_radius(left, right, radius, keys, axes).select(F.col(f"l.{left_id}").alias(left_id), F.col("r").alias("right"), "d2")
+def k_nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, cell: float, keys: tuple[str, ...] = (), axes: tuple[str, ...] = AXES) -> DataFrame:
+    """left_id, right (struct), d2, rank: the k nearest right points, ranked by distance and id; all of them where there are fewer.
+
+    As in nearest(): points with k neighbours nearer than a cell's width are
+    done, the others look as far again in the next round.
+    """
     order = W.partitionBy(left_id).orderBy("d2", F.col(f"right.{right_id}"))
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    todo, out, size, widest = left, None, cell, _extent(left, right, axes)
+    while True:
+        near = within_radius(todo, right, size, keys, axes).select(F.col(f"l.{left_id}").alias(left_id), F.col("r").alias("right"), "d2")
+        ranked = cut(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        last = size > len(axes) * widest
+        if last:
+            return ranked if out is None else out.unionByName(ranked)
+        full = ranked.where(F.col("rank") == k).select(left_id)
+        done = ranked.join(full, left_id, "left_semi")
+        out = done if out is None else out.unionByName(done)
+        todo = cut(todo.join(full, left_id, "left_anti"))
+        if todo.isEmpty():
+            return out
+        size *= 2
 
 
-def knn_vote(left: DataFrame, right: DataFrame, left_id: str, right_id: str, label: str, k: int, radius: float, axes: tuple[str, ...] = AXES) -> DataFrame:
+def knn_vote(left: DataFrame, right: DataFrame, left_id: str, right_id: str, label: str, k: int, cell: float, axes: tuple[str, ...] = AXES) -> DataFrame:
     """Majority label of the k nearest labelled points; ties go to the smallest label."""
-    votes = k_nearest(left, right, left_id, right_id, k, radius, (), axes).groupBy(left_id, F.col(f"right.{label}").alias(label)).agg(F.count("*").alias("votes"))
-    order = W.partitionBy(left_id).orderBy(F.desc("votes"), label)
-    return votes.withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+    near = k_nearest(left, right, left_id, right_id, k, cell, (), axes)
+    votes = near.groupBy(left_id, F.col(f"right.{label}").alias(label)).agg(F.count("*").alias("votes"))
+    best = F.min_by(F.struct(label, "votes"), F.struct(-F.col("votes"), F.col(label)))
+    return votes.groupBy(left_id).agg(best.alias("best")).select(left_id, F.col(f"best.{label}").alias(label), F.col("best.votes").alias("votes"))
 
 
-def overlap_ratio(points: DataFrame, pairs: DataFrame, segment: str, point: str, radius: float, how: str = "max", axes: tuple[str, ...] = AXES) -> DataFrame:
+def overlap_ratio(points: DataFrame, pairs: DataFrame, segment: str, point: str, radius: float, how: str = "max", axes: tuple[str, ...] = AXES, keys: tuple[str, ...] = ()) -> DataFrame:
     """For pairs (a, b) of segments the share of points with a neighbour of the other one within a radius.
 
     how: "max" of both shares, "sum" (matched of both over points of both), or
     "one_sided" (points of a near b over points of b, which may exceed 1).
+    keys: what points of a pair agree in, such as their scene.
     """
     sizes = points.groupBy(segment).agg(F.count("*").alias("n"))
-    matched = _matched(points, pairs, segment, point, radius, axes)
-    both = pairs.join(matched, ["a", "b"], "left").fillna(0, ["na", "nb"])
-    both = both.join(sizes.select(F.col(segment).alias("a"), F.col("n").alias("ta")), "a").join(sizes.select(F.col(segment).alias("b"), F.col("n").alias("tb")), "b")
+    matched = _matched(points, pairs, segment, point, radius, axes, keys)
+    near = lambda x, y, n: matched.select(F.col("segment").alias(x), F.col("other").alias(y), F.col("n").alias(n))
+    both = pairs.join(near("a", "b", "na"), ["a", "b"], "left").join(near("b", "a", "nb"), ["a", "b"], "left").fillna(0, ["na", "nb"])
+    total = lambda x, n: sizes.select(F.col(segment).alias(x), F.col("n").alias(n))
+    both = both.join(total("a", "ta"), "a").join(total("b", "tb"), "b")
     score = {"max": F.greatest(F.col("na") / F.col("ta"), F.col("nb") / F.col("tb")), "sum": (F.col("na") + F.col("nb")) / (F.col("ta") + F.col("tb")), "one_sided": F.col("na") / F.col("tb")}[how]
     return both.select("a", "b", score.alias("overlap"))
 
 
-def _matched(points: DataFrame, pairs: DataFrame, segment: str, point: str, radius: float, axes: tuple[str, ...]) -> DataFrame:
-    """a, b, na, nb: points of each side with a neighbour on the other."""
-    rows = points.select(F.col(segment).alias("segment"), F.col(point).alias("point"), *axes)
+def _matched(points: DataFrame, pairs: DataFrame, segment: str, point: str, radius: float, axes: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
+    """segment, other, n: points of a segment with a neighbour in another one.
+
+    Every two near points meet once, in the half of the neighbour cells that
+    follows a cell, and count for both; ids and cells alone go through the join.
+    """
+    rows = points.select(*keys, F.col(segment).alias("segment"), F.col(point).alias("point"), *axes)
     named = pairs.select(F.col("a").alias("segment")).union(pairs.select("b")).distinct()
-    rows = rows.join(named, "segment", "left_semi")
-    near = within_radius(rows, rows, radius, (), axes).select(F.col("l.segment").alias("a"), F.col("r.segment").alias("b"), F.col("l.point").alias("lp"), F.col("r.point").alias("rp"))
-    hits = near.join(pairs, ["a", "b"], "left_semi")
-    return hits.groupBy("a", "b").agg(F.countDistinct("lp").alias("na"), F.countDistinct("rp").alias("nb"))
+    rows = rows.join(named, "segment", "left_semi").select("*", *_cells(rows, radius, axes))
+    steps = [()]
+    for _ in axes:
+        steps = [(*s, i) for s in steps for i in (-1, 0, 1)]
+    ahead = F.array(*[F.struct(*[F.lit(i).alias(f"o{x}") for x, i in zip(axes, s, strict=True)]) for s in steps if s >= (0,) * len(axes)])
+    left = rows.select(*keys, "segment", "point", *axes, *[F.col(f"c{x}").alias(f"h{x}") for x in axes], F.explode(ahead).alias("o"))
+    left = left.select(*keys, "segment", "point", *axes, *[(F.col(f"h{x}") + F.col(f"o.o{x}")).alias(f"c{x}") for x in axes], F.array(*[F.col(f"o.o{x}") == 0 for x in axes]).alias("zero")).withColumn("own", F.forall("zero", lambda z: z)).drop("zero")
+    cond = (F.col("l.segment") != F.col("r.segment")) & (~F.col("l.own") | (F.col("l.segment") < F.col("r.segment"))) & (_distance2(axes, "l", "r") < radius * radius)
+    for x in axes:
+        cond = cond & (F.col(f"l.c{x}") == F.col(f"r.c{x}"))
+    for k in keys:
+        cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
+    met = left.alias("l").join(rows.alias("r"), cond)
+    side = lambda a, b: F.struct(F.col(f"{a}.segment").alias("segment"), F.col(f"{a}.point").alias("point"), F.col(f"{b}.segment").alias("other"))
+    hits = met.select(F.explode(F.array(side("l", "r"), side("r", "l"))).alias("hit")).select("hit.*").distinct()
+    return hits.groupBy("segment", "other").agg(F.count("*").alias("n"))
+
+
+def near_counts(left: DataFrame, right: DataFrame, a: str, b: str, point: str, radius: float, keys: tuple[str, ...] = (), axes: tuple[str, ...] = AXES) -> DataFrame:
+    """keys, a, b, na, nb: how many points of each group a of the left table have a neighbour in group b of the right one, and the other way."""
+    rows = lambda df, group: df.select(*keys, F.col(group).alias("side"), F.col(point).alias("point"), *axes)
+    near = within_radius(rows(left, a), rows(right, b), radius, keys, axes)
+    near = near.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.side").alias(a), F.col("r.side").alias(b), F.col("l.point").alias("lp"), F.col("r.point").alias("rp"))
+    one = lambda p, n: near.select(*keys, a, b, p).distinct().groupBy(*keys, a, b).agg(F.count("*").alias(n))
+    return one("lp", "na").join(one("rp", "nb"), [*keys, a, b])
+
+
+def _levels(boxes: DataFrame, cell: float) -> DataFrame:
+    """boxes with ``level``: the least doubling of the cell that is no shorter than the box's longest side."""
+    side = F.greatest(*[F.col(f"{x}1") - F.col(f"{x}0") for x in AXES])
+    return boxes.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(cell)) / cell))).cast("int"))
+
+
+def _covering(boxes: DataFrame, levels: list[int], cell: float, prefix: str, keys: tuple[str, ...]) -> DataFrame:
+    """Each box for every level from its own on, once for each cell of that level that it covers (at most two an axis)."""
+    own = F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x >= F.col("level"))
+    names = [*[f"{x}{i}" for x in AXES for i in (0, 1)], "level"]
+    cells = boxes.select(*keys, F.col("box").alias(f"{prefix}_box"), *[F.col(c).alias(f"{prefix}_{c}") for c in names], F.explode(own).alias("at"))
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("at"))
+    for x in AXES:
+        cells = cells.withColumn(f"c{x}", F.explode(F.sequence(F.floor(F.col(f"{prefix}_{x}0") / size).cast("long"), F.floor(F.col(f"{prefix}_{x}1") / size).cast("long"))))
+    return cells
 
 
-def iou_pairs(boxes: DataFrame, key: str, cell: float, least: float) -> DataFrame:
-    """Pairs a < b of boxes (x0..z1) whose IoU exceeds ``least``, met by the grid cells that they cover."""
-    cells = boxes
-    for axis in AXES:
-        cells = cells.withColumn(f"c{axis}", F.explode(F.sequence(voxel(F.col(f"{axis}0"), cell), voxel(F.col(f"{axis}1"), cell))))
-    names = [key, *[f"{x}{i}" for x in AXES for i in (0, 1)]]
-    left = cells.select(*[F.col(c).alias(f"l_{c}") for c in names], *[f"c{x}" for x in AXES])
-    right = cells.select(*[F.col(c).alias(f"r_{c}") for c in names], *[f"c{x}" for x in AXES])
-    met = left.join(right, [f"c{x}" for x in AXES]).where(F.col(f"l_{key}") < F.col(f"r_{key}"))
-    # a pair meets in several cells; it is kept where the overlap's lower corner lies
+def box_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cell: float, least: float, keys: tuple[str, ...] = (), once: bool = False) -> DataFrame:
+    """keys, a, b, iou: pairs of boxes (x0..z1) of two tables, of equal keys, whose IoU exceeds ``least``; once: a < b only.
+
+    Boxes are dealt to the cells of a grid as wide as the larger of both, so a
+    box of any size covers at most two cells an axis, and a pair is kept in the
+    cell where its overlap's lower corner lies.
+    """
+    left, right = (_levels(df.withColumn("box", F.col(c)), cell) for df, c in ((left, a), (right, b)))
+    # one number a doubling of size reaches the driver: some 60 at most
+    levels = sorted({r.level for df in (left, right) for r in df.select("level").distinct().collect()})
+    l, r = _covering(left, levels, cell, "l", keys), _covering(right, levels, cell, "r", keys)
+    size = F.lit(cell) * F.pow(F.lit(2.0), l["at"])
+    cond = (l["at"] == r["at"]) & (F.greatest(F.col("l_level"), F.col("r_level")) == l["at"])
+    for k in keys:
+        cond = cond & (l[k] == r[k])
     for x in AXES:
-        met = met.where(F.col(f"c{x}") == voxel(F.greatest(F.col(f"l_{x}0"), F.col(f"r_{x}0")), cell))
-    side = lambda x: F.greatest(F.lit(0.0), F.least(F.col(f"l_{x}1"), F.col(f"r_{x}1")) - F.greatest(F.col(f"l_{x}0"), F.col(f"r_{x}0")))
+        low, high = F.greatest(F.col(f"l_{x}0"), F.col(f"r_{x}0")), F.least(F.col(f"l_{x}1"), F.col(f"r_{x}1"))
+        cond = cond & (l[f"c{x}"] == r[f"c{x}"]) & (low <= high) & (l[f"c{x}"] == F.floor(low / size).cast("long"))
+    if once:
+        cond = cond & (F.col("l_box") < F.col("r_box"))
+    side = lambda x: F.least(F.col(f"l_{x}1"), F.col(f"r_{x}1")) - F.greatest(F.col(f"l_{x}0"), F.col(f"r_{x}0"))
     volume = lambda s: (F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{s}_y1") - F.col(f"{s}_y0")) * (F.col(f"{s}_z1") - F.col(f"{s}_z0"))
     inter = side("x") * side("y") * side("z")
     union = volume("l") + volume("r") - inter
     iou = F.when(union > 0, inter / union).otherwise(F.lit(0.0))
-    return met.select(F.col(f"l_{key}").alias("a"), F.col(f"r_{key}").alias("b"), iou.alias("iou")).where(F.col("iou") > least)
+    met = l.join(r, cond).select(*[l[k] for k in keys], F.col("l_box").alias(a), F.col("r_box").alias(b), iou.alias("iou"))
+    return met.where(F.col("iou") > least)
+
+
+def iou_pairs(boxes: DataFrame, key: str, cell: float, least: float) -> DataFrame:
+    """Pairs a < b of boxes (x0..z1) of one table whose IoU exceeds ``least``."""
+    one = lambda c: boxes.withColumnRenamed(key, c)
+    return box_pairs(one("a"), one("b"), "a", "b", cell, least, (), True)
 
 
 def extrude(cells: DataFrame, low: Column, high: Column, step: float) -> DataFrame:

@@ -4,42 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clustering, graph, raster
-from .tables import POINTS, Registry, objects, points, table
+from ..operators import clustering, graph, ordered, raster
+from .tables import POINTS, POSES, Registry, objects, points, poses, table
 
 REGISTRY = Registry()
-_ORDERS = "e AS (SELECT DISTINCT o_custkey AS src, 1000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 49)"
+_LINES = "e AS (SELECT DISTINCT o_custkey AS src, 1000000000000 + l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
 def _bipartite(spark, sf_dir):
-    """Customers and suppliers linked by their largest order lines: nodes and edges."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
-    edges = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst")).distinct()
-    return edges
+    """Customers and suppliers linked by order lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + 1000000000000).alias("dst")).distinct()
 
 
-@REGISTRY.add("g3_components", f"""WITH RECURSIVE {_ORDERS}, bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nodes AS (SELECT DISTINCT src AS id FROM bi),
-reach AS (SELECT id, id AS component FROM nodes UNION SELECT dst, component FROM reach JOIN bi ON id = src)
-SELECT id, min(component) AS component FROM reach GROUP BY id""")
+def _supplied(spark, sf_dir):
+    """Orders linked with their suppliers."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_suppkey") + 1000000000000).alias("dst"), F.lit(1.0).alias("dist")).distinct()
+
+
+@REGISTRY.add("g3_components", f"""WITH {POSES}, s AS (SELECT user_id, frame_id, ts, CASE WHEN abs(y - lag(y) OVER w) <= 60 THEN 0 ELSE 1 END AS starts FROM poses WINDOW w AS (PARTITION BY user_id ORDER BY ts, frame_id)),
+g AS (SELECT user_id, frame_id, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, frame_id) AS run FROM s) SELECT frame_id AS id, min(frame_id) OVER (PARTITION BY user_id, run) AS component FROM g""")
 def g3(spark, sf_dir):
-    edges = _bipartite(spark, sf_dir)
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return graph.components(nodes, edges)
+    # steps of a walk that change the height by at most 60 link its poses
+    p = poses(spark, sf_dir)
+    steps = ordered.step_edges(p, ("ts", "frame_id"), ("y",), ("user_id",)).where("dist <= 60")
+    return graph.components(p.select(F.col("frame_id").alias("id")), steps.select("src", "dst"))
 
 
-@REGISTRY.add("g11_degrees", f"WITH {_ORDERS}, bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT src AS id, count(*) AS degree FROM bi GROUP BY src")
+@REGISTRY.add("g11_degrees", f"WITH {_LINES}, bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e) SELECT src AS id, count(*) AS degree FROM bi GROUP BY src")
 def g11(spark, sf_dir):
     return graph.degrees(_bipartite(spark, sf_dir))
 
 
-@REGISTRY.add("g12_trimmed_graph")
+@REGISTRY.add("g12_trimmed_graph", """WITH e AS (SELECT DISTINCT l_orderkey AS src, 1000000000000 + l_suppkey AS dst FROM lineitem) SELECT src, dst, 1.0::DOUBLE AS dist FROM e WHERE src IN (SELECT src FROM e GROUP BY src HAVING count(*) > 1)""")
 def g12(spark, sf_dir):
-    return graph.trim(_bipartite(spark, sf_dir))
+    # an order of one supplier is a leaf; suppliers have so many orders that none becomes one
+    return graph.trim(_supplied(spark, sf_dir))
 
 
-@REGISTRY.add("g11_contracted_chains")
+@REGISTRY.add("g11_contracted_chains", """WITH e AS (SELECT DISTINCT l_orderkey AS src, 1000000000000 + l_suppkey AS dst FROM lineitem), d AS (SELECT src, count(*) AS n, min(dst) AS a, max(dst) AS b FROM e GROUP BY src)
+SELECT a AS src, b AS dst, 2.0::DOUBLE AS dist, 2::BIGINT AS hops FROM d WHERE n = 2 UNION ALL SELECT src, dst, 1.0, 1 FROM e JOIN d USING (src) WHERE n <> 2""")
 def g11_chains(spark, sf_dir):
-    return graph.contract_chains(_bipartite(spark, sf_dir).withColumn("dist", F.lit(1.0)))
+    # an order of two suppliers is the middle of a chain between them
+    return graph.contract_chains(_supplied(spark, sf_dir))
+
+
+@REGISTRY.add("g11_resampled_chains")
+def g11_resampled(spark, sf_dir):
+    steps = ordered.step_edges(poses(spark, sf_dir), ("ts", "frame_id"), keys=("user_id",))
+    return graph.resample_chains(steps.select("src", "dst", "dist"), 200.0).withColumn("dist", F.round("dist", 6))
 
 
 @REGISTRY.add("g2_point_clusters")
@@ -51,7 +65,7 @@ def g2(spark, sf_dir):
 
 @REGISTRY.add("g1_segment_features")
 def g1(spark, sf_dir):
-    return clustering.mask_features(objects(spark, sf_dir), "room_id", 0.5, 3)
+    return clustering.mask_features(objects(spark, sf_dir), "room_id", "vec_id", 0.5, 3)
 
 
 @REGISTRY.add("g7_room_views")
@@ -92,11 +106,11 @@ def w9_mean(spark, sf_dir):
     return raster.box_mean(cells, 1, "height", ("segment",)).select("segment", "row", "col", F.round("height", 6).alias("height"))
 
 
-@REGISTRY.add("s9_free_cells", f"""WITH {POINTS}, c AS (SELECT DISTINCT CAST(floor(x / 2) AS BIGINT) AS row, CAST(floor(z / 2) AS BIGINT) AS col, y < 5 AS low FROM points)
+@REGISTRY.add("s9_free_cells", f"""WITH {POINTS}, c AS (SELECT DISTINCT CAST(floor(x / 0.05) AS BIGINT) AS row, CAST(floor(z / 0.05) AS BIGINT) AS col, y < 9 AS low FROM points)
 SELECT row, col FROM c WHERE low EXCEPT SELECT row, col FROM c WHERE NOT low""")
 def s9(spark, sf_dir):
     p = points(spark, sf_dir)
-    low, high = (raster.occupied(p.where(c), 2.0).select("row", "col") for c in ("y < 5", "not y < 5"))
+    low, high = (raster.occupied(p.where(c), 0.05).select("row", "col") for c in ("y < 9", "not y < 9"))
     return raster.subtract(low, high)
 
 

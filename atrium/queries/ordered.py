@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import metrics, ordered
+from ..operators import ordered
 from .tables import POSES, Registry, poses, table
 
 REGISTRY = Registry()
@@ -66,17 +66,6 @@ def w4(spark, sf_dir):
     return ordered.floor_intervals(*_peaks(spark, sf_dir)).select("scene", F.col("floor").cast("int").alias("floor"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@REGISTRY.add("e1_floor_evaluation", f"""WITH {POSES}, g AS (SELECT row_number() OVER (ORDER BY min(y), max(y)) AS rank, min(y) AS low, max(y) AS high FROM poses GROUP BY user_id % 5), p AS (SELECT row_number() OVER (ORDER BY floor(min(y)), ceil(max(y))) AS rank, floor(min(y)) AS low, ceil(max(y)) AS high FROM poses GROUP BY user_id % 5),
-b AS (SELECT p.low AS pl, g.low AS gl, abs(p.low - g.low) < 0.5 AND abs(p.high - g.high) < 0.5 AS ok FROM p FULL JOIN g USING (rank))
-SELECT count(pl) AS n_pred, count(gl) AS n_gt, CAST(coalesce(sum(CAST(ok AS INTEGER)), 0) AS BIGINT) AS tp, round(sum(CAST(ok AS INTEGER)) / count(pl), 6) AS precision, round(sum(CAST(ok AS INTEGER)) / count(gl), 6) AS recall, round(sum(CAST(ok AS INTEGER)) / greatest(count(pl), count(gl)), 6) AS accuracy FROM b""")
-def e1(spark, sf_dir):
-    p = poses(spark, sf_dir).withColumn("f", F.col("user_id") % 5)
-    # predicted bounds are the true ones in whole units
-    floors = p.groupBy("f").agg(F.min("y").alias("low"), F.max("y").alias("high"))
-    one = metrics.floor_evaluation(floors.select(F.floor("low").cast("double").alias("low"), F.ceil("high").cast("double").alias("high")), floors)
-    return one.select("n_pred", "n_gt", F.col("tp").cast("long").alias("tp"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "accuracy")])
-
-
 @REGISTRY.add("w5_gap_sessions", f"""WITH {POSES}, g AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY user_id ORDER BY y, frame_id) > 1 THEN 1 ELSE 0 END AS starts FROM poses)
 SELECT frame_id, user_id, CAST(sum(starts) OVER (PARTITION BY user_id ORDER BY y, frame_id) AS BIGINT) AS cluster FROM g""")
 def w5(spark, sf_dir):

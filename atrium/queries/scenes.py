@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import phrases as P
-from ..operators import metrics, spatial
+from ..operators import spatial
 from ..plans import scene, search
 from .tables import OBJECTS, POINTS, POSES, PROTOTYPES, Registry, objects, points, poses, prototypes, table
 
@@ -50,8 +50,7 @@ def q7(spark, sf_dir):
 f AS (SELECT vec_id, unnest([name, name || ' in the ' || room_name, name || ' on floor ' || floor_no, name || ' in the ' || room_name || ' on floor ' || floor_no]) AS query FROM o) SELECT query, count(*) AS answers, min(vec_id) AS first, max(vec_id) AS last FROM f GROUP BY query""")
 def q9(spark, sf_dir):
     things = objects(spark, sf_dir).select(F.col("vec_id").alias("object_id"), F.concat(F.lit("class "), F.col("label").cast("string")).alias("object_name"), "room_name", (F.col("floor_id") + 1).alias("floor_no"))
-    out = search.long_queries(things)
-    return out.select("query", F.size("answers").cast("long").alias("answers"), F.col("answers")[0].alias("first"), F.element_at("answers", -1).alias("last"))
+    return search.long_queries(things).groupBy("query").agg(F.count("*").alias("answers"), F.min("object_id").alias("first"), F.max("object_id").alias("last"))
 
 
 @REGISTRY.add("s19_hierarchy_parents", f"""WITH {OBJECTS}, o AS (SELECT floor_id, room_id, row_number() OVER (PARTITION BY floor_id, room_id ORDER BY vec_id) - 1 AS n, label FROM objects)
@@ -61,10 +60,16 @@ def s19(spark, sf_dir):
     return named.select("object_id", P.parent_id(F.col("object_id")).alias("parent_id"), "label")
 
 
-@REGISTRY.add("e13_topology", f"""WITH {POINTS}, {OBJECTS} SELECT floor_id, room_id, count(DISTINCT vec_id) AS n_objects, count(*) AS n_points, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy, round(avg(z), 9) AS cz FROM objects JOIN points ON points.segment = objects.vec_id GROUP BY floor_id, room_id""")
+@REGISTRY.add("e13_topology", f"""WITH {POINTS}, {OBJECTS}, p AS (SELECT (point_id // 80000) % 100000 // 10 AS vec_id, x, y, z FROM points)
+SELECT floor_id, room_id, count(DISTINCT objects.vec_id) AS n_objects, count(x) AS n_points, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy, round(avg(z), 9) AS cz FROM objects LEFT JOIN p ON p.vec_id = objects.vec_id GROUP BY floor_id, room_id""")
 def e13(spark, sf_dir):
-    joined = objects(spark, sf_dir).join(points(spark, sf_dir), F.col("segment") == F.col("vec_id"))
-    return joined.groupBy("floor_id", "room_id").agg(F.countDistinct("vec_id").alias("n_objects"), F.count("*").alias("n_points"), F.round(F.avg("x"), 9).alias("cx"), F.round(F.avg("y"), 9).alias("cy"), F.round(F.avg("z"), 9).alias("cz"))
+    # an object's points are those of ten parts
+    part = F.floor(F.col("point_id") / 80000).cast("long") % 100000
+    p = points(spark, sf_dir).select(F.floor(part / 10).cast("long").alias("vec_id"), "x", "y", "z")
+    sums = p.groupBy("vec_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "xyz"])
+    joined = objects(spark, sf_dir).join(sums, "vec_id", "left")
+    n = F.sum("n")
+    return joined.groupBy("floor_id", "room_id").agg(F.countDistinct("vec_id").alias("n_objects"), F.coalesce(n, F.lit(0)).alias("n_points"), *[F.round(F.sum(c) / n, 9).alias(f"c{c}") for c in "xyz"])
 
 
 @REGISTRY.add("a18_graph_sizes", f"""WITH {OBJECTS} SELECT 'object' AS type, count(*) AS n FROM objects UNION ALL SELECT 'room', count(DISTINCT room_id) FROM objects UNION ALL SELECT 'floor', count(DISTINCT floor_id) FROM objects""")
@@ -106,34 +111,6 @@ def j12(spark, sf_dir):
     return scene.assign_cameras(poses(spark, sf_dir), _room_cells(spark, sf_dir), 10, 40)
 
 
-def _scores(spark, sf_dir):
-    """Overlap of each pair of segments of a room pair by shared part keys: predicted against true objects."""
-    p = points(spark, sf_dir)
-    a, b = p.select(F.col("segment").alias("a"), "frame_id", (F.col("segment") % 4).alias("scene")), p.select(F.col("segment").alias("b"), "frame_id", (F.col("segment") % 4).alias("scene"))
-    both = a.distinct().join(b.distinct(), ["scene", "frame_id"]).groupBy("scene", "a", "b").agg(F.count("*").alias("n"))
-    size = p.groupBy("segment").agg(F.countDistinct("frame_id").alias("size"))
-    return both.join(size.select(F.col("segment").alias("a"), F.col("size").alias("sa")), "a").join(size.select(F.col("segment").alias("b"), F.col("size").alias("sb")), "b").select("scene", "a", "b", (F.col("n") / (F.col("sa") + F.col("sb") - F.col("n"))).alias("score"))
-
-
-@REGISTRY.add("e3_score_matrix", """WITH p AS (SELECT DISTINCT l_partkey % 40 AS segment, l_orderkey AS frame_id FROM lineitem), s AS (SELECT segment, count(*) AS size FROM p GROUP BY 1), n AS (SELECT a.segment % 4 AS scene, a.segment AS a, b.segment AS b, count(*) AS n FROM p a JOIN p b ON a.frame_id = b.frame_id AND a.segment % 4 = b.segment % 4 GROUP BY 1, 2, 3)
-SELECT scene, a, b, round(n / (sa.size + sb.size - n), 6) AS score FROM n JOIN s sa ON sa.segment = a JOIN s sb ON sb.segment = b""")
-def e3(spark, sf_dir):
-    return _scores(spark, sf_dir).withColumn("score", F.round("score", 6))
-
-
-@REGISTRY.add("j24_matched_objects", "SELECT CAST(k % 4 AS BIGINT) AS scene, CAST(k AS BIGINT) AS a, CAST(k AS BIGINT) AS b, 1.0::DOUBLE AS score FROM range(40) t(k)")
-def j24(spark, sf_dir):
-    # a segment overlaps itself fully, so the best matching is the identity
-    return metrics.match(_scores(spark, sf_dir), ("scene",))
-
-
-@REGISTRY.add("e2_threshold_sweep")
-def e2(spark, sf_dir):
-    others = metrics.match(_scores(spark, sf_dir).where("a <> b"), ("scene",))
-    n = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 40).alias("s")).distinct().count()
-    return metrics.threshold_sweep(others, n, n).select(F.round("threshold", 6).alias("threshold"), "tp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
-
-
 @REGISTRY.add("p3_templates", f"WITH t AS (SELECT unnest(['a photo of a %', 'there is a % in the scene']) AS template), {OBJECTS} SELECT DISTINCT replace(template, '%', room_name) AS prompt, room_name FROM objects, t")
 def p3(spark, sf_dir):
     templates = spark.createDataFrame([("a photo of a %",), ("there is a % in the scene",)], "template string")

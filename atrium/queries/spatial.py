@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.phrases import is_structural
 from ..operators import raster, spatial
+from ..plans import scene
 from .tables import POINTS, POSES, Registry, points, poses, table
 
 REGISTRY = Registry()
@@ -91,7 +92,7 @@ def f2(spark, sf_dir):
     return points(spark, sf_dir).groupBy("segment").agg(F.avg("z").alias("depth"), F.count("*").alias("n")).where("depth <= 53 and n >= 100").select("segment", "n")
 
 
-@REGISTRY.add("f12_structural_names", "SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(lower(p_name), 'wall|floor|ceiling|door|window|pillar|beam|stair')")
+@REGISTRY.add("f12_structural_names", "SELECT p_partkey, p_name FROM part WHERE NOT regexp_matches(lower(p_name), 'wall|floor|ceiling|railing|roof|void|unlabeled|misc')")
 def f12(spark, sf_dir):
     return table(spark, sf_dir, "part").where(~is_structural(F.col("p_name"))).select("p_partkey", "p_name")
 
@@ -153,7 +154,7 @@ def j13(spark, sf_dir):
 
 @REGISTRY.add("j20_knn_label_vote", f"""WITH {_MAP}, a AS (SELECT c_custkey, c_acctbal / 200 AS x, CAST(c_nationkey % 11 AS DOUBLE) AS y, CAST(c_custkey % 100 AS DOUBLE) AS z FROM customer),
 d AS (SELECT c_custkey, map_id, label, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM a, map b),
-n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d2, map_id) AS rank FROM d WHERE d2 < 64.0), v AS (SELECT c_custkey, label, count(*) AS votes FROM n WHERE rank <= 5 GROUP BY c_custkey, label),
+n AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d2, map_id) AS rank FROM d), v AS (SELECT c_custkey, label, count(*) AS votes FROM n WHERE rank <= 5 GROUP BY c_custkey, label),
 r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY votes DESC, label) AS rank FROM v) SELECT c_custkey, label, votes FROM r WHERE rank = 1""")
 def j20(spark, sf_dir):
     left = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 200).alias("x"), (F.col("c_nationkey") % 11).cast("double").alias("y"), (F.col("c_custkey") % 100).cast("double").alias("z"))
@@ -161,7 +162,7 @@ def j20(spark, sf_dir):
 
 
 @REGISTRY.add("j22_height_interpolation", f"""WITH {POINTS}, cells AS (SELECT floor(x) AS x, floor(z) AS z, max(y) AS y FROM points GROUP BY 1, 2), e AS (SELECT DISTINCT x + i AS x, z + j AS z FROM cells, range(-1, 2) a(i), range(-1, 2) b(j)), gaps AS (SELECT * FROM e ANTI JOIN cells USING (x, z)),
-d AS (SELECT g.x, g.z, c.y, row_number() OVER (PARTITION BY g.x, g.z ORDER BY (g.x - c.x) * (g.x - c.x) + (g.z - c.z) * (g.z - c.z), c.x, c.z) AS rank FROM gaps g JOIN cells c ON (g.x - c.x) * (g.x - c.x) + (g.z - c.z) * (g.z - c.z) < 64.0)
+d AS (SELECT g.x, g.z, c.y, row_number() OVER (PARTITION BY g.x, g.z ORDER BY (g.x - c.x) * (g.x - c.x) + (g.z - c.z) * (g.z - c.z), c.x, c.z) AS rank FROM gaps g, cells c)
 SELECT CAST(x AS BIGINT) AS row, CAST(z AS BIGINT) AS col, round(avg(y), 9) AS height FROM d WHERE rank <= 10 GROUP BY x, z""")
 def j22(spark, sf_dir):
     cells = raster.occupied(points(spark, sf_dir), 1.0)
@@ -193,11 +194,13 @@ def j23(spark, sf_dir):
     return p.groupBy("p_partkey").agg(F.min_by("class", F.struct(d.alias("d"), "class")).alias("class"))
 
 
-@REGISTRY.add("a1_feature_fusion", f"""WITH {POINTS}, hits AS (SELECT frame_id, segment AS map_point, max(point_id) AS pixel FROM points GROUP BY frame_id, segment)
-SELECT map_point, count(*) AS frames, round(avg(y), 9) AS f0, round(avg(z), 9) AS f1 FROM hits JOIN points ON points.point_id = hits.pixel AND points.frame_id = hits.frame_id GROUP BY map_point""")
+@REGISTRY.add("a1_feature_fusion", f"""WITH {POINTS}, hits AS (SELECT frame_id, segment AS map_point, y, z, row_number() OVER (PARTITION BY frame_id, segment ORDER BY point_id DESC, y DESC, z DESC) AS rank FROM points)
+SELECT map_point, count(*) AS frames, round(avg(y), 9) AS f0, round(avg(z), 9) AS f1 FROM hits WHERE rank = 1 GROUP BY map_point""")
 def a1(spark, sf_dir):
-    one = points(spark, sf_dir).groupBy("frame_id", F.col("segment").alias("map_point")).agg(F.max_by(F.struct("y", "z"), "point_id").alias("feature"))
-    return one.groupBy("map_point").agg(F.count("*").alias("frames"), F.round(F.avg("feature.y"), 9).alias("f0"), F.round(F.avg("feature.z"), 9).alias("f1"))
+    # point_id is no key: of a frame's rows with the same one, that of largest feature counts
+    hits = points(spark, sf_dir).select(F.col("segment").alias("map_point"), "frame_id", F.col("point_id").alias("pixel_id"), F.array("y", "z").alias("embedding"))
+    mean = scene.fuse_features(hits)
+    return mean.select("map_point", "frames", F.round(F.col("mean_vector")[0], 9).alias("f0"), F.round(F.col("mean_vector")[1], 9).alias("f1"))
 
 
 @REGISTRY.add("s8_intrinsics", "SELECT p_partkey, round(w / (2 * tan(pi() / 4)), 6) AS fx, round(h / (2 * tan(atan(tan(pi() / 4) * h / w))), 6) AS fy, w / 2 AS cx, h / 2 AS cy FROM (SELECT p_partkey, CAST(p_size + 100 AS DOUBLE) AS w, CAST(p_size + 60 AS DOUBLE) AS h FROM part)")

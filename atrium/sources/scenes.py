@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vector import normalize
+
 _BOX = ", ".join(f"{p}_{c}:array<double>" for p in ("aabb", "obb") for c in ("center", "dims"))
 SCENE = (
     "levels array<struct<id:int,lower:double,upper:double,regions:array<int>,objects:array<int>>>, "
@@ -25,11 +27,19 @@ def read_scene(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return levels, regions, objects
 
 
-def write_scene(levels: DataFrame, regions: DataFrame, objects: DataFrame, path: str) -> None:
-    """One document of three arrays: a scene's metadata is small by nature."""
-    gather = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
-    one = gather(levels, "levels").crossJoin(gather(regions, "regions")).crossJoin(gather(objects, "objects"))
-    one.coalesce(1).write.mode("overwrite").json(path)
+def write_scene(levels: DataFrame, regions: DataFrame, objects: DataFrame, path: str, scene: str = "") -> None:
+    """A document of three arrays for each scene; without a scene column, one for all rows, which are then one scene's."""
+    by = [scene] if scene else []
+
+    def gather(df: DataFrame, name: str) -> DataFrame:
+        row = F.struct(*[c for c in df.columns if c not in by])
+        return df.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias(name))
+
+    parts = gather(levels, "levels"), gather(regions, "regions"), gather(objects, "objects")
+    if by:
+        parts[0].join(parts[1], by, "left").join(parts[2], by, "left").write.mode("overwrite").partitionBy(scene).json(path)
+    else:
+        parts[0].crossJoin(parts[1]).crossJoin(parts[2]).write.mode("overwrite").json(path)
 
 
 def write_graph(floors: DataFrame, rooms: DataFrame, objects: DataFrame, folder: str) -> None:
@@ -61,4 +71,73 @@ def read_class_counts(spark: SparkSession, path: str) -> DataFrame:
 def mesh_vertices(faces: DataFrame, vertices: DataFrame, classes: DataFrame) -> DataFrame:
     """Vertices of labelled faces with class ids: faces face_id, object_id, vertex_indices; an unknown object is class 0."""
     corners = faces.select("face_id", "object_id", F.explode("vertex_indices").alias("vertex_id"))
-    return corners.join(vertices, "vertex_id").join(F.broadcast(classes), "object_id", "left").withColumn("class_id", F.coalesce("class_id", F.lit(0)))
+    return corners.join(vertices, "vertex_id").join(classes, "object_id", "left").withColumn("class_id", F.coalesce("class_id", F.lit(0)))
+
+
+def read_classes(spark: SparkSession, path: str) -> DataFrame:
+    """class_id and name of a JSON document {"classes": [{"id": ..., "name": ...}, ...]}."""
+    doc = spark.read.schema("classes array<struct<id:int,name:string>>").json(path, multiLine=True)
+    return doc.select(F.inline("classes")).select(F.col("id").alias("class_id"), "name")
+
+
+def read_region_labels(spark: SparkSession, path: str, columns: tuple[str, str, str], scene: str | None = None) -> DataFrame:
+    """scene, region_id and category of a CSV with a header; columns: their names there.  With ``scene``, its rows alone."""
+    rows = spark.read.csv(path, header=True, quote='"', escape='"')
+    names = [F.trim(F.col(f"`{c}`")) for c in columns]
+    out = rows.select(names[0].alias("scene"), names[1].try_cast("int").alias("region_id"), names[2].alias("category"))
+    return out.where(F.col("scene") == scene) if scene is not None else out
+
+
+def label_regions(regions: DataFrame, labels: DataFrame) -> DataFrame:
+    """regions (scene, region_id) with their category, and labelled = false where the labels have none; of several labels the least counts."""
+    one = labels.groupBy("scene", "region_id").agg(F.min("category").alias("category"))
+    return regions.join(one, ["scene", "region_id"], "left").withColumn("labelled", F.col("category").isNotNull())
+
+
+def write_vocabulary(names: DataFrame, features: DataFrame, folder: str) -> None:
+    """Label vocabularies with their text embeddings (names: vocabulary, class, name; features: name, prompt), a folder each."""
+    names.join(features, "name", "left").write.mode("overwrite").partitionBy("vocabulary").parquet(folder)
+
+
+def read_vocabulary(spark: SparkSession, folder: str, vocabulary: str) -> DataFrame:
+    """class, name and prompt of one vocabulary; an unknown one raises."""
+    found = spark.read.parquet(folder).where(F.col("vocabulary") == vocabulary).select("class", "name", "prompt")
+    if found.isEmpty():
+        raise ValueError(f"there is no vocabulary {vocabulary}")
+    return found
+
+
+def write_cloud(points: DataFrame, features: DataFrame, folder: str) -> None:
+    """A map's points (point_id, x, y, z, r, g, b) and their features (point_id, embedding) as Parquet."""
+    points.write.mode("overwrite").parquet(f"{folder}/points")
+    features.write.mode("overwrite").parquet(f"{folder}/features")
+
+
+def read_cloud(spark: SparkSession, folder: str, unit: bool = False) -> tuple[DataFrame, DataFrame]:
+    """points and features; unit: features of length 1 (a vector of zeros stays)."""
+    points, features = spark.read.parquet(f"{folder}/points"), spark.read.parquet(f"{folder}/features")
+    return points, features.withColumn("embedding", normalize(F.col("embedding"))) if unit else features
+
+
+def read_masks(spark: SparkSession, clouds: str, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """mask points and features of the masks that have a cloud "pcd_<mask_id>.ply" in a folder; features of missing ones drop out.
+
+    The "ply" data source must be registered (see ply.register).
+    """
+    points = spark.read.format("ply").load(clouds).withColumn("mask_id", F.regexp_extract("cloud_id", r"^pcd_(\d+)$", 1).try_cast("int")).where("mask_id is not null")
+    return points, features.join(points.select("mask_id").distinct(), "mask_id", "left_semi")
+
+
+def write_room_views(views: DataFrame, folder: str) -> None:
+    """room_id, frame_id and embedding of the views that stand for rooms."""
+    views.select("room_id", "frame_id", "embedding").write.mode("overwrite").parquet(folder)
+
+
+def write_navigation(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """A navigation graph: nodes (id and columns) and edges (src, dst, dist) as Parquet."""
+    nodes.write.mode("overwrite").parquet(f"{folder}/nav_vertices")
+    edges.write.mode("overwrite").parquet(f"{folder}/nav_edges")
+
+
+def read_navigation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{folder}/nav_vertices"), spark.read.parquet(f"{folder}/nav_edges")
