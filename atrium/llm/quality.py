@@ -235,7 +235,7 @@ def quality_rules(documents: DataFrame, model: QualityModel, threshold: float =
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = column_bytes(batch.column("__text"))
-            for i, j in doc_slices(off, 4 << 20):
+            for i, j in doc_slices(off, 1 << 19):
                 w = Words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 counts = base_counts(w)
                 failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])

@@ -38,7 +38,7 @@ from .common import stored
 from .text import _TABLE, SLICE, Words, column_bytes, doc_slices, mix, powers
 
 #: Symbols that one numpy pass over a very long text handles.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes of windows that one pass of the comparison holds.
 CHUNK = 2 << 20
 

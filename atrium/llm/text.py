@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one numpy pass handles; bounds the memory of a task.
-SLICE = 1 << 20
+#: Bytes of text that one numpy pass handles; bounds the memory of a task and stays in the processor's cache.
+SLICE = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -116,8 +116,10 @@ class Words:
             while a < b:
                 stop = b
                 if b - a > 2 * SLICE:  # part of one very long text, cut at white space
-                    space = np.flatnonzero(SPACE[self.buf[a + SLICE : b]])
-                    stop = a + SLICE + int(space[0]) if len(space) else b
+                    stop = a + SLICE
+                    while stop < b and not (space := np.flatnonzero(SPACE[self.buf[stop : stop + SLICE]])).size:
+                        stop = min(b, stop + SLICE)
+                    stop = stop + int(space[0]) if stop < b else b
                 piece = self.buf[a:stop]
                 edges = np.clip(off[i : j + 1] - a, 0, len(piece))
                 s, e = _word_bounds(piece, edges)
