@@ -1,12 +1,16 @@
 """N-gram Jaccard join: documents whose 5-word shingle sets are alike, as classes.
 
-1. Equal sets collapse into one class each, named by its least doc_id.
+1. Equal sets collapse into one class each, named by its least doc_id; one set
+   stands for all from here on.
 2. In an order of shingles that puts frequent ones last, two sets that are alike
-   share a shingle among their first n - ceil(0.8 n) + 1.  Only these are dealt,
-   by shingle; what meets there, split by size band, is a tile.
-3. Each set carries a hashed parity bitmap as long as half its size.  A bitmap's
-   bits that differ are at most the shingles that differ, so their count bounds
-   the overlap from above; sizes and bitmaps rule out most pairs of a tile.
+   share a shingle among their first n - ceil(0.8 n) + 1.  Sets are dealt by
+   these shingles and by size band, a doubling of n: what meets is a tile.  A set
+   whose partners may be in the next band is a guest there.  A tile of many rows
+   is cut into blocks, and every two blocks are a tile.
+3. Each set carries a hashed parity bitmap of up to half as many bits as it has
+   shingles.  Bits of two bitmaps that differ are at most the shingles that
+   differ, so their count bounds the overlap from above; sizes and bitmaps rule
+   out most pairs of a tile.
 4. Pairs that are left are verified on the sorted shingle arrays.
 
 Sets that are alike in large numbers would make a number of pairs that grows with
@@ -34,9 +38,8 @@ SHINGLE = 5
 _LEAST = -(1 << 63)
 
 
-def _band():
-    """Size bands grow by 5/4: alike sets lie in one band or in neighbouring ones."""
-    return F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)) + F.lit(1e-9)).cast("int")
+#: Words of the bitmaps that go with a set's shingles, and of those that judge single pairs, at most.
+NARROW, WIDE = 64, 512
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
@@ -58,10 +61,10 @@ def least_prefix(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def parity_bitmap(shingles: np.ndarray, share: int = 1) -> np.ndarray:
-    """64-bit words of the bitmap in which each shingle flips a bit; its length is a power of two of at least 64 and share * n / 2 bits."""
+def parity_bitmap(shingles: np.ndarray, share: int = 1, most: int = NARROW) -> np.ndarray:
+    """64-bit words of the bitmap in which each shingle flips a bit: the power of two of at least 64 and share * n / 2 bits, or ``most`` words."""
     bits = 64
-    while 2 * bits < share * len(shingles):
+    while 2 * bits < share * len(shingles) and bits < 64 * most:
         bits *= 2
     place = (mix(shingles) & np.uint64(bits - 1)).astype(np.int64)
     odd = (np.bincount(place, minlength=bits) & 1).astype(np.uint8)
@@ -121,7 +124,7 @@ def _sets(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
                     s1.append(int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else 0)
                     s2.append(int(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))).view(np.int64)) if len(s) else 0)
                     bits.append(parity_bitmap(s).tobytes() if len(s) else b"")
-                    wide.append(parity_bitmap(s, 8).tobytes() if len(s) else b"")
+                    wide.append(parity_bitmap(s, 8, WIDE).tobytes() if len(s) else b"")
                     if len(often) and p:
                         i = np.searchsorted(often, s)
                         i[i == len(often)] = 0
@@ -135,7 +138,7 @@ def _sets(documents: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _dealt(sets: DataFrame) -> DataFrame:
-    """token, s1, doc, n: a row for each shingle of each prefix."""
+    """token, doc, n: a row for each shingle of each prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,25 +146,25 @@ def _dealt(sets: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1000)
                 raw, off = column_bytes(part.column("prefix"))
                 many = np.diff(off) // 8
-                repeat = lambda name: pa.array(np.repeat(part.column(name).to_numpy(), many))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), repeat("s1"), repeat("doc"), repeat("n")], ["token", "s1", "doc", "n"])
+                doc, n = (pa.array(np.repeat(part.column(c).to_numpy(), many)) for c in ("doc", "n"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), doc, n], ["token", "doc", "n"])
 
-    return sets.select("s1", "doc", "n", "prefix").mapInArrow(run, "token long, s1 long, doc long, n long")
+    return sets.select("doc", "n", "prefix").mapInArrow(run, "token long, doc long, n long")
 
 
 def _candidates(tiles: DataFrame, proposals: bool) -> DataFrame:
     """Pairs (a, b) of different components in a tile that sizes and bitmaps don't rule out.
 
-    tiles: key (token, low, i, high, j), side, doc, n, comp, bits.  Side 0 and 1
-    rows of a tile are compared with each other, side 2 rows with all.  All
-    pairs (a < b), or of each row of a tile proposals alone: a, b (the partner
+    tiles: key (token, band, i, j), side, guest, doc, n, comp, bits.  Side 0 and
+    1 rows of a tile are compared with each other, side 2 rows with all, and
+    guests with none of their kind.  All pairs (a < b), or of each row of a tile proposals alone: a, b (the partner
     whose bitmap is nearest), apart, and lead (the partner of least doc_id).
     """
-    key = ["token", "low", "i", "high", "j"]
+    key = ["token", "band", "i", "j"]
 
     def judge(rows: pa.Table) -> pa.RecordBatch | None:
         ks = [rows.column(c).to_numpy() for c in key]
-        side, doc, n, comp = (rows.column(c).to_numpy() for c in ("side", "doc", "n", "comp"))
+        side, guest, doc, n, comp = (rows.column(c).to_numpy() for c in ("side", "guest", "doc", "n", "comp"))
         raw, off = column_bytes(rows.column("bits"))
         words, off = np.frombuffer(raw.tobytes(), np.uint64), off // 8
         size = np.diff(off)
@@ -177,14 +180,15 @@ def _candidates(tiles: DataFrame, proposals: bool) -> DataFrame:
         while len(active):
             x, y = active, active + step
             near = 5 * n[x] >= 4 * n[y]
-            ok = near & (comp[x] != comp[y]) & ((side[x] != side[y]) | (side[x] == 2))
+            ok = near & (comp[x] != comp[y]) & ((side[x] != side[y]) | (side[x] == 2)) & (guest[x] + guest[y] < 2)
             x, y = x[ok], y[ok]
             for long in np.unique(size[y]):
                 for short in np.unique(size[x[size[y] == long]]):
                     at = np.flatnonzero((size[y] == long) & (size[x] == short))
                     least = min(long, short)
-                    for s in range(0, len(at), 1 << 14):
-                        u, v = x[at[s : s + (1 << 14)]], y[at[s : s + (1 << 14)]]
+                    many = max(1, (1 << 18) // max(long, short))
+                    for s in range(0, len(at), many):
+                        u, v = x[at[s : s + many]], y[at[s : s + many]]
                         bu = fold(words[off[u][:, None] + np.arange(short)], least)
                         bv = fold(words[off[v][:, None] + np.arange(long)], least)
                         apart = np.bitwise_count(bu ^ bv).sum(1, dtype=np.int64)
@@ -236,7 +240,7 @@ def _candidates(tiles: DataFrame, proposals: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verify_pairs(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+def verify_pairs(documents: DataFrame, pairs: DataFrame, most_pairs: int = 1024) -> DataFrame:
     """The pairs (a, b) whose sets are alike, by intersection of their sorted arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +257,16 @@ def verify_pairs(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
     left = documents.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     right = documents.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    columns = ["a", "b", "text_a", "text_b"]
+    often = pairs.groupBy("b").agg(F.ceil(F.count("*") / most_pairs).cast("int").alias("copies")).where("copies > 1")
+    texts = pairs.join(left, "a").join(right, "b").select(*columns)
+    if not often.isEmpty():
+        # a document that is the partner of very many is copied, and each copy gets a share of its pairs
+        rest = pairs.join(often, "b", "left_anti").join(left, "a").join(right, "b").select(*columns)
+        dealt = pairs.join(often, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
+        copies = right.join(often, "b").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+        texts = rest.unionByName(dealt.join(left, "a").join(copies, ["b", "copy"]).select(*columns))
+    return texts.mapInArrow(run, "a long, b long")
 
 
 def _near_labels(links: DataFrame, steps: int = 3) -> DataFrame:
@@ -274,26 +287,20 @@ def _open_rows(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _tiles(open_rows: DataFrame, bitmaps: DataFrame, most: int) -> DataFrame:
-    """Rows of tokens, with their bitmaps, as tiles for _candidates."""
-    open_rows = open_rows.join(bitmaps, ["doc", "n"])
-    zero = F.lit(0)
-    small = open_rows.where(F.col("size") <= most).select("token", F.lit(-1).alias("low"), zero.alias("i"), F.lit(-1).alias("high"), zero.alias("j"), F.lit(2).alias("side"), "doc", "n", "comp", "bits")
-    large = open_rows.where(F.col("size") > most).withColumn("band", _band())
-    # a token of many rows is cut by band and, in a band, into blocks; every two blocks of one or neighbouring bands are a tile
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    bands = large.groupBy("token", "band").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks"))
-    placed = large.join(bands, ["token", "band"]).withColumn("block", block)
-    above = bands.select("token", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = bands.select("token", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    placed = placed.join(above, ["token", "band"], "left").join(below, ["token", "band"], "left")
-    rest = ["doc", "n", "comp", "bits"]
-    numbers = lambda n: F.sequence(F.lit(0), n - 1)
-    tile = lambda low, i, high, j, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), side.cast("int").alias("side"))
-    own = F.transform(numbers(F.col("blocks")), lambda j: tile(F.col("band"), F.least(F.col("block"), j), F.col("band"), F.greatest(F.col("block"), j), F.when(F.col("block") < j, 0).when(F.col("block") > j, 1).otherwise(2)))
-    up = F.transform(F.when(F.col("above").isNotNull(), numbers(F.col("above"))).otherwise(F.array().cast("array<int>")), lambda j: tile(F.col("band"), F.col("block"), F.col("band") + 1, j, F.lit(0)))
-    down = F.transform(F.when(F.col("below").isNotNull(), numbers(F.col("below"))).otherwise(F.array().cast("array<int>")), lambda j: tile(F.col("band") - 1, j, F.col("band"), F.col("block"), F.lit(1)))
-    cut = placed.select("token", F.explode(F.concat(own, up, down)).alias("tile"), *rest).select("token", "tile.*", *rest)
-    return small.unionByName(cut)
+    """Rows of tokens, with their bitmaps, as tiles for _candidates: by token and size band, and by block where there are many."""
+    band = F.floor(F.log2("n") + F.lit(1e-9)).cast("int")
+    # 0.8 times a partner of the next band may be as small as this set
+    near_next = 5 * F.col("n") >= 4 * F.pow(F.lit(2.0), band + 1)
+    place = lambda up, guest: F.struct((band + up).alias("band"), F.lit(guest).alias("guest"))
+    placed = open_rows.select("token", "doc", "n", "comp", F.explode(F.when(near_next, F.array(place(0, 0), place(1, 1))).otherwise(F.array(place(0, 0)))).alias("p")).select("token", "doc", "n", "comp", "p.*")
+    tile = W.partitionBy("token", "band")
+    sized = placed.withColumn("size", F.count("*").over(tile)).withColumn("owners", F.sum(1 - F.col("guest")).over(tile)).where("size > 1 and owners > 0")
+    sized = sized.join(bitmaps, ["doc", "n"])
+    blocks = F.ceil(F.col("size") / most).cast("int")
+    sized = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    pair = lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j"), F.when(F.col("block") < j, 0).when(F.col("block") > j, 1).otherwise(2).alias("side"))
+    cut = sized.withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)))
+    return cut.select("token", "band", "tile.*", "guest", "doc", "n", "comp", "bits")
 
 
 def jaccard_classes(documents: DataFrame, sample: int = 4000, frequent_share: float = 0.004, most_frequent: int = 65536, most_rows: int = 1024, rounds: int = 2) -> DataFrame:
@@ -305,18 +312,21 @@ def jaccard_classes(documents: DataFrame, sample: int = 4000, frequent_share: fl
     """
     docs = _documents(documents)
     sets = stored(_sets(docs, _frequent(docs, sample, frequent_share, most_frequent)), "sets")
-    # of documents with one set, that of least id stands for all; it is in each token's group since their prefixes are the same
-    by_token, by_set = W.partitionBy("token"), W.partitionBy("token", "s1").orderBy("doc", "n")
-    dealt = _dealt(sets).withColumn("low", F.min("s1").over(by_token)).withColumn("high", F.max("s1").over(by_token)).where("low <> high")
-    rows = stored(dealt.withColumn("rank", F.row_number().over(by_set)).where("rank = 1").select("token", "doc", "n"), "tokens")
-    meta = stored(sets.where("n > 0").dropDuplicates(["doc", "n", "s1"]).select("doc", "n", "bits", "wide"), "bitmaps")
+    classes = stored(sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("class")), "classes")
+    # of documents with one set, that of least id stands for all
+    heads = sets.join(classes.withColumnRenamed("class", "doc"), ["doc", "s1", "s2", "n"], "left_semi")
+    meta = stored(heads.dropDuplicates(["doc", "n", "s1"]), "bitmaps")
+    dealt = _dealt(meta).withColumn("size", F.count("*").over(W.partitionBy("token"))).where("size > 1")
+    rows = stored(dealt.select("token", "doc", "n"), "tokens")
 
     links, comps = None, None
     for _ in range(rounds):
         open_rows = stored(_open_rows(rows, comps), "open")
         asked = stored(_candidates(_tiles(open_rows, meta.select("doc", "n", "bits"), most_rows), True).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best"), F.min("lead").alias("lead")), "proposals")
         pairs = asked.select("a", F.col("best.b").alias("b")).union(asked.select("a", F.col("lead").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = stored(verify_pairs(docs, _plausible(pairs, meta)).distinct(), "links")
+        # the partner that many share is of least id, so it is the pair's b that is copied
+        pairs = _plausible(pairs, meta).select(F.col("b").alias("a"), F.col("a").alias("b"))
+        found = stored(verify_pairs(docs, stored(pairs, "pairs")).distinct(), "links")
         # a row without a proposal has no possible partner in another component, now or later
         rows = stored(open_rows.join(asked.select(F.col("a").alias("doc")), "doc", "left_semi").select("token", "doc", "n"), "tokens")
         links = found if links is None else links.unionByName(found)
@@ -324,9 +334,9 @@ def jaccard_classes(documents: DataFrame, sample: int = 4000, frequent_share: fl
             break
         comps = stored(_near_labels(links), "labels")
     rest = _tiles(_open_rows(rows, comps), meta.select("doc", "n", F.col("wide").alias("bits")), most_rows)
-    links = links.unionByName(verify_pairs(docs, stored(_candidates(rest, False), "pairs")))
+    last = stored(_candidates(rest, False).select(F.col("b").alias("a"), F.col("a").alias("b")), "pairs")
+    links = links.unionByName(verify_pairs(docs, last))
 
-    classes = sets.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("class"))
     members = sets.select("doc", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
     final = components(links)
     out = members.join(final, members["class"] == final["node"], "left")
