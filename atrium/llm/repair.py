@@ -4,7 +4,8 @@ Documents are put in ascending doc_id order by range partitions.  A task
 tokenizes its range in order and cuts the ids into shards of about a million;
 each shard has a grammar of its own.  A round of Re-Pair counts all adjacent
 pairs, gives the frequent ones nonterminals and replaces their occurrences from
-left to right; further rounds pair up nonterminals.  A shard's row holds the
+left to right; further rounds pair up nonterminals, until no pair is frequent.
+A shard's row holds the
 final symbols, the rules and the rules' expansion lengths, so any range of ids
 is found by running sums of lengths and decoded without the rest.
 """
@@ -69,40 +70,60 @@ class Grammar:
         return self.expand(self.symbols[a:b])[start - skipped : start - skipped + n]
 
 
-def compress(ids: np.ndarray, rounds: int = 4, least: int = 24, most: int = 1 << 15) -> Grammar:
-    """Re-Pair in rounds: up to ``most`` pairs with at least ``least`` occurrences get nonterminals in each."""
+def _frequent_pairs(pairs: np.ndarray, least: int) -> np.ndarray:
+    """The pairs with at least ``least`` occurrences, counted exactly."""
+    ordered = np.sort(pairs)
+    head = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    return ordered[head[np.diff(np.append(head, len(ordered))) >= least]]
+
+
+def compress(ids: np.ndarray, least: int = 24) -> Grammar:
+    """Re-Pair in rounds, until no pair of neighbouring symbols occurs ``least`` times.
+
+    All frequent pairs of a round get nonterminals, and each of their
+    occurrences that does not overlap one taken before it is replaced.  After
+    that, only pairs with a symbol of the last round can have become frequent,
+    and pairs that shared a hash slot with another one wait for the next round.
+    """
     s = ids.astype(np.uint32)
     rules, lengths = [np.zeros((0, 2), np.uint32)], [np.zeros(0, np.int64)]
-    count = 0
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+    count, newest, waiting = 0, 0, False
+    while len(s) > 1:
         pair = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int32)
-        owner = np.zeros(1 << _TABLE_BITS, np.uint64)
-        owner[slot] = pair  # of the pairs that share a slot, one may be replaced in this round
-        own = owner[slot] == pair
-        often = np.bincount(slot[own], minlength=1 << _TABLE_BITS)
-        chosen = np.flatnonzero(often >= least)
-        if len(chosen) > most:
-            chosen = np.sort(chosen[np.argsort(-often[chosen], kind="stable")[:most]])
+        at = None
+        if newest and not waiting:
+            fresh = s >= newest
+            at = np.flatnonzero(fresh[:-1] | fresh[1:])
+            pair = pair[at]
+        chosen = _frequent_pairs(pair, least)
         if not len(chosen):
             break
-        symbol = np.zeros(1 << _TABLE_BITS, np.uint32)
-        symbol[chosen] = np.arange(len(chosen), dtype=np.uint32) + np.uint32(FIRST_RULE + count)
-        new = symbol[slot]
-        hit = np.flatnonzero(own & (new > 0))
+        slot_of = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int32)
+        table = np.full(1 << _TABLE_BITS, -1, np.int32)
+        own = slot_of(chosen)
+        table[own] = np.arange(len(chosen), dtype=np.int32)
+        kept = table[own] == np.arange(len(chosen))
+        waiting = not kept.all()
+        if waiting:
+            chosen = chosen[kept]
+            table[own[kept]] = np.arange(len(chosen), dtype=np.int32)
+        rule = table[slot_of(pair)]
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[chosen[rule[hit]] == pair[hit]]
+        rule, hit = rule[hit], hit if at is None else at[hit]
         # overlapping occurrences stand in stretches; every second one is taken, from the left
         head = np.append(True, hit[1:] != hit[:-1] + 1)
         since = np.arange(len(hit)) - np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
-        hit = hit[since % 2 == 0]
+        taken = since % 2 == 0
+        hit, rule = hit[taken], rule[taken]
         grammar = Grammar(s, np.concatenate(rules), np.concatenate(lengths))
-        both = np.stack([owner[chosen] >> np.uint64(32), owner[chosen] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        both = np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         rules.append(both)
         lengths.append(grammar.sizes(both[:, 0]) + grammar.sizes(both[:, 1]))
+        newest = FIRST_RULE + count
         count += len(chosen)
         s = s.copy()
-        s[hit] = new[hit]
+        s[hit] = (rule + newest).astype(np.uint32)
         stay = np.ones(len(s), bool)
         stay[hit + 1] = False
         s = s[stay]
@@ -188,7 +209,7 @@ def _tokens(file: str) -> WordTokens:
     return WordTokens(file)
 
 
-def tokenize_shards(documents: DataFrame, tokenizer_file: str, end: int = 1, shard_ids: int = SHARD_IDS, rounds: int = 4, parts: int | None = None) -> DataFrame:
+def tokenize_shards(documents: DataFrame, tokenizer_file: str, end: int = 1, shard_ids: int = SHARD_IDS, least: int = 24, parts: int | None = None) -> DataFrame:
     """Rows of FORMAT: the shards of all documents, in order of (part, shard).
 
     A null text is empty and has the end id alone; rows of one doc_id follow
@@ -206,7 +227,7 @@ def tokenize_shards(documents: DataFrame, tokenizer_file: str, end: int = 1, sha
         def close() -> pa.RecordBatch:
             nonlocal shard, start, docs, data, size
             ids = np.frombuffer(b"".join(data), "<u4")
-            g = compress(ids, rounds)
+            g = compress(ids, least)
             out = pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "start": pa.array([start], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()),
                 "doc_id": pa.array([docs], pa.list_(pa.int64())), "n_tokens": pa.array([[len(x) // 4 for x in data]], pa.list_(pa.int64())),
@@ -266,3 +287,37 @@ def read_shards(spark, path: str, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[i].values, pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(parts, pa.binary())] if ids else [])], ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if ids else [])])
 
     return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if ids else ""))
+
+
+def read_ranges(spark, path: str, ranges: DataFrame) -> DataFrame:
+    """range_id, start, n, ids of ranges (range_id, start, n) of the ids of all documents, decoded from the shards that hold them.
+
+    Only the symbols that cover a range are expanded.  A range meets the shards
+    it overlaps by their numbers, so neither side is gathered; a range over
+    several shards is joined in their order, what lies beyond the last id is cut.
+    """
+    table = spark.read.parquet(path)
+    totals = {r.part: r.n for r in table.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    before, so_far = [], 0
+    for part in sorted(totals):
+        before.append((part, so_far))
+        so_far += totals[part]
+    offsets = spark.createDataFrame(before, "part int, before long")
+    placed = table.select("part", "shard", "n_ids", "symbols", "rules", "lengths", "start").join(offsets, "part").withColumn("first", F.col("before") + F.col("start")).drop("before", "start")
+    # blocks of a shard's size: a shard and a range that overlap share one
+    block = lambda a, n: F.explode(F.sequence(F.floor(a / SHARD_IDS), F.floor((a + n - 1) / SHARD_IDS)))
+    asked = ranges.where("n > 0").select("range_id", F.col("start").alias("a"), F.col("n").alias("wanted")).withColumn("block", block(F.col("a"), F.col("wanted")))
+    held = placed.where("n_ids > 0").withColumn("block", block(F.col("first"), F.col("n_ids")))
+    low, high = F.greatest("a", "first"), F.least(F.col("a") + F.col("wanted"), F.col("first") + F.col("n_ids"))
+    met = held.join(asked, "block").where((low < high) & (F.col("block") == F.floor(low / SHARD_IDS)))
+    met = met.select("range_id", "a", (low - F.col("first")).alias("from"), (high - low).alias("n"), "first", "symbols", "rules", "lengths")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = ("from", "n", "symbols", "rules", "lengths")
+            parts = [grammar_of(dict(zip(names, x, strict=True))).slice(x[0], x[1]).astype("<u4").tobytes() for x in zip(*(batch.column(c).to_pylist() for c in names), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("range_id"), batch.column("a"), batch.column("first"), batch.column("n"), pa.array(parts, pa.binary())], ["range_id", "start", "first", "n", "ids"])
+
+    pieces = met.mapInArrow(cut, f"range_id {dict(ranges.dtypes)['range_id']}, start long, first long, n long, ids binary")
+    whole = pieces.groupBy("range_id", "start").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("first", "ids"))).alias("parts"))
+    return whole.select("range_id", "start", "n", F.aggregate("parts", F.lit(b""), lambda s, x: F.concat(s, x["ids"])).alias("ids"))
