@@ -2,11 +2,14 @@
 
 ``spark.read.format("warc")`` plans one partition for each archive file, takes
 record type and header predicates from Spark, parses a record's headers first
-and inflates a payload only if the record passed and payloads are wanted.  Each
-record is a gzip member of its own whose extra field holds skip-lengths, so an
-unwanted record costs its first bytes and a seek.  ``write.format("warc")``
-writes one archive a task under a name of its own and lists the committed files
-in a manifest, so that files of lost or repeated tasks are never read.
+and keeps a payload only if the record passed and payloads are wanted.  Archives
+may be plain (.warc), compressed as a whole, or by record (.warc.gz), by any
+writer and with records of any type.  The writer makes each record a gzip member
+of its own whose extra field holds skip-lengths, so that an unwanted record costs
+its first bytes and a seek; members without them are inflated and let go.
+``write.format("warc")`` writes one archive a task under a name of its own and
+lists the committed files in a manifest, so that files of lost or repeated tasks
+are never read.  A cut archive raises.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
-SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, record_id string"
 MANIFEST = "_manifest.json"
 #: Decoded payload bytes that one batch of the reader holds.
 BATCH_BYTES = 4 << 20
-_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("record_id", pa.string())])
 _HEADERS = [f.name for f in _ARROW if f.name != "payload"]
 
 
@@ -96,27 +99,117 @@ def record(page_id, url, record_type: str, refers_to, payload: bytes, size: int,
 
 
 def member(data: bytes, level: int = 1) -> bytes:
-    """A gzip member whose extra field holds the lengths of the member and of its data."""
+    """A gzip member whose extra field holds the lengths of the member and of its data, if both fit 32 bits."""
     packer = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = packer.compress(data) + packer.flush()
-    total = 24 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
-    return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    total, extra = 24 + len(body) + 8, b""
+    if max(total, len(data)) < 1 << 32:
+        extra = b"sl" + struct.pack("<HII", 8, total, len(data))
+    head = b"\x1f\x8b\x08" + (b"\x04" if extra else b"\0") + b"\0" * 4 + b"\0\xff" + (struct.pack("<H", len(extra)) if extra else b"")
+    return head + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
 def _page_of(urn: str | None):
-    value = urn[len("<urn:page:") : -1] if urn else "None"
-    return None if value == "None" else int(value)
-
-
-def parse_head(head: bytes) -> dict:
-    lines = head.decode().split("\r\n")
-    fields = dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
-    url = fields.get("WARC-Target-URI")
-    return {
-        "page_id": _page_of(fields.get("WARC-Record-ID")), "url": None if url is None else _unclean(url), "record_type": fields["WARC-Type"],
-        "refers_to": _page_of(fields.get("WARC-Refers-To")), "payload_digest": fields.get("WARC-Payload-Digest", "sha1:").removeprefix("sha1:"),
-    }
+    """The page of one of this writer's own record ids; other archives' ids are of no page."""
+    value = urn[len("<urn:page:") : -1] if urn and urn.startswith("<urn:page:") else ""
+    return int(value) if value.lstrip("-").isdigit() else None
+
+
+def parse_fields(head: bytes) -> dict[str, str]:
+    """Header fields by lowered name; of repeated fields the first counts."""
+    fields: dict[str, str] = {}
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            fields.setdefault(name.strip().lower(), value.strip())
+    return fields
+
+
+class _Plain:
+    """Bytes of an archive that isn't compressed."""
+
+    def __init__(self, file, size: int):
+        self.file, self.left = file, size
+
+    def read(self, n: int) -> bytes:
+        data = self.file.read(n)
+        self.left -= len(data)
+        return data
+
+    def skip(self, n: int) -> None:
+        if n > self.left:
+            raise ValueError("an archive is cut inside a record")
+        self.file.seek(n, 1)
+        self.left -= n
+
+
+class _Inflated:
+    """Bytes of an archive's gzip members from the file's position on, one after the other."""
+
+    def __init__(self, file):
+        self.file, self.packed, self.inflate, self.step = file, b"", None, 1024
+
+    def read(self, n: int) -> bytes:
+        out = b""
+        while len(out) < n:
+            if not self.packed:
+                self.packed = self.file.read(self.step)
+                self.step = min(2 * self.step, 1 << 16)
+                if not self.packed:
+                    if self.inflate is not None and not self.inflate.eof:
+                        raise ValueError("an archive is cut inside a record")
+                    return out
+            if self.inflate is None or self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+            out += self.inflate.decompress(self.packed, n - len(out))
+            self.packed = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+        return out
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            got = len(self.read(min(n, 1 << 16)))
+            if not got:
+                raise ValueError("an archive is cut inside a record")
+            n -= got
+
+
+class _Source:
+    """Reads ahead of a plain or inflated stream to find where a head ends."""
+
+    def __init__(self, stream):
+        self.stream, self.ahead = stream, b""
+
+    def head(self, most: int) -> bytes | None:
+        """The bytes before an empty line, which is passed over; None at the end of the archive."""
+        self.ahead = self.ahead.lstrip(b"\r\n")
+        while (at := self.ahead.find(b"\r\n\r\n")) < 0:
+            if len(self.ahead) > most:
+                raise ValueError("a head doesn't end")
+            more = self.stream.read(1024)
+            if not more:
+                if self.ahead.strip():
+                    raise ValueError("an archive is cut inside a head")
+                return None
+            self.ahead = (self.ahead + more).lstrip(b"\r\n") if not self.ahead else self.ahead + more
+        out, self.ahead = self.ahead[:at], self.ahead[at + 4 :]
+        return out
+
+    def read(self, n: int) -> bytes:
+        out, self.ahead = self.ahead[:n], self.ahead[n:]
+        parts = [out]
+        n -= len(out)
+        while n > 0:
+            parts.append(self.stream.read(min(n, 1 << 16)))
+            if not parts[-1]:
+                raise ValueError("an archive is cut inside a record")
+            n -= len(parts[-1])
+        return b"".join(parts)
+
+    def skip(self, n: int) -> None:
+        own = min(n, len(self.ahead))
+        self.ahead = self.ahead[own:]
+        if n > own:
+            self.stream.skip(n - own)
 
 
 def _passes(head: dict, filters: list) -> bool:
@@ -147,34 +240,76 @@ def _passes(head: dict, filters: list) -> bool:
     return True
 
 
+#: Bytes of a record's or a message's head, at most.
+HEAD = 1 << 20
+
+
+def _read_one(source: _Source, filters: list, payloads: bool) -> tuple[bool, dict | None]:
+    """(whether there was a record, the record if it passes)."""
+    raw = source.head(HEAD)
+    if raw is None:
+        return False, None
+    if not raw.startswith(b"WARC/"):
+        raise ValueError("not a WARC record")
+    fields = parse_fields(raw)
+    kind, left = fields.get("warc-type", ""), int(fields["content-length"])
+    url = fields.get("warc-target-uri")
+    out = {
+        "page_id": _page_of(fields.get("warc-record-id")), "url": None if url is None else _unclean(url.removeprefix("<").removesuffix(">")), "record_type": kind,
+        "refers_to": _page_of(fields.get("warc-refers-to")), "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:"),
+        "payload": None, "record_id": fields.get("warc-record-id"),
+    }
+    size = left
+    if fields.get("content-type", "").startswith("application/http"):
+        block = source.read(min(left, 4096))
+        left -= len(block)
+        while b"\r\n\r\n" not in block and left and len(block) < HEAD:
+            more = source.read(min(left, 4096))
+            left -= len(more)
+            block += more
+        http, _, body = block.partition(b"\r\n\r\n")
+        source.ahead, left = body + source.ahead, left + len(body)
+        stated = parse_fields(http).get("content-length", "")
+        size = int(stated) if kind == "revisit" and stated.isdigit() else left
+    out["payload_bytes"] = size
+    passes = _passes(out, filters)
+    if passes and payloads and kind != "revisit":
+        out["payload"] = source.read(left)
+    else:
+        source.skip(left)
+    return True, out if passes else None
+
+
 def read_records(file, filters: list, payloads: bool) -> Iterator[dict]:
-    """The records of an archive that pass, headers first."""
-    while len(start := file.read(24)) == 24:
-        total = struct.unpack("<I", start[16:20])[0]
-        rest = total - 24
-        first = file.read(min(rest, 1024))
-        inflate = zlib.decompressobj(-15)
-        data, used = inflate.decompress(first), len(first)
-        while b"\r\n\r\n" not in data or b"\r\n\r\n" not in data.split(b"\r\n\r\n", 1)[1]:
-            more = file.read(min(rest - used, 4096))
-            if not more:
-                break
-            used += len(more)
-            data += inflate.decompress(more)
-        raw, block = data.split(b"\r\n\r\n", 1)
-        http, body = block.split(b"\r\n\r\n", 1)
-        head = parse_head(raw)
-        head["payload_bytes"] = int(http.rsplit(b"Content-Length: ", 1)[1])
-        if not _passes(head, filters):
-            file.seek(rest - used, 1)
+    """The records of an archive that pass, headers first; file: open for reading bytes, at its start."""
+    size = file.seek(0, 2)
+    file.seek(0)
+    first = file.read(2)
+    file.seek(0)
+    at = 0
+    while first == b"\x1f\x8b" and at < size:
+        start = file.read(24)
+        if len(start) == 24 and start[3] == 4 and start[10:16] == b"\x0c\0sl\x08\0":
+            total = struct.unpack("<I", start[16:20])[0]
+            if at + total > size:
+                raise ValueError("an archive is cut inside a record")
+            file.seek(at)
+            _, out = _read_one(_Source(_Inflated(file)), filters, payloads)
+            if out is not None:
+                yield out
+            at += total
+            file.seek(at)
             continue
-        head["payload"] = None
-        if payloads and head["record_type"] == "response":
-            body += inflate.decompress(file.read(rest - used)) + inflate.flush()
-            head["payload"] = body[: head["payload_bytes"]]
-        else:
-            file.seek(rest - used, 1)
-        yield head
+        break
+    if at >= size:
+        return
+    file.seek(at)
+    source = _Source(_Inflated(file) if first == b"\x1f\x8b" else _Plain(file, size))
+    there = True
+    while there:
+        there, out = _read_one(source, filters, payloads)
+        if out is not None:
+            yield out
 
 
 class WarcReader(DataSourceReader):
@@ -195,7 +330,7 @@ class WarcReader(DataSourceReader):
         if MANIFEST in names:
             with folder.open(MANIFEST, "rb") as f:
                 names = json.loads(f.read())
-        return [InputPartition(n) for n in names if n.endswith(".warc.gz")]
+        return [InputPartition(n) for n in names if n.endswith((".warc.gz", ".warc"))]
 
     def read(self, partition):
         with Folder(self.path).open(partition.value, "rb") as f:
