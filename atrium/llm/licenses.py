@@ -26,16 +26,49 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 BASE = {(b"mit", b"license"): "mit", (b"apache", b"license"): "apache", (b"general", b"public", b"license"): "gpl"}
 
-#: Label -> templates.
+#: Label -> templates, notices and whole license texts with their copyright lines and numbering left open.
 TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2.0 [[ the license ]]", "spdx license identifier apache 2.0"],
+    "apache-2.0": [
+        "licensed under the apache license version 2.0 [[ the license ]]",
+        "spdx license identifier apache 2.0",
+        "you may not use this file except in compliance with the license [[ you may obtain a copy of the license at {0,10} ]] unless required by applicable law or agreed to in writing software "
+        "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+    ],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "bsd-2-clause": [
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[ 2 ]] redistributions in binary form must reproduce the above "
+        "copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ],
+    "bsd-3-clause": [
+        "neither the name of {1,12} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
     "cc-by": ["licensed under [[ the ]] cc by 4.0 [[ international ]]", "licensed under a creative commons attribution {0,1} international license"],
     "cc-by-nc": ["licensed under [[ the ]] cc by nc [[ 4.0 ]]", "licensed under a creative commons attribution noncommercial {0,3} license"],
-    "gpl-3.0": ["licensed under the gnu general public license [[ as published by the free software foundation ]] version 3 [[ or [[ at your option ]] any later version ]]", "spdx license identifier gpl 3.0 [[ or later ]]"],
+    "gpl-3.0": [
+        "licensed under the gnu general public license [[ as published by the free software foundation ]] version 3 [[ or [[ at your option ]] any later version ]]",
+        "spdx license identifier gpl 3.0 [[ or later ]]",
+    ],
     "gpl-notice": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"],
+    "isc": [
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice "
+        "appear in all copies the software is provided as is and {1,8} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no "
+        "event shall {1,8} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+        "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ],
     "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
     "mit-notice": ["released under the [[ terms of the ]] mit license [[ copyright c {0,8} ]]"],
+    "mit-text": [
+        "[[ mit license ]] [[ copyright [[ c ]] {0,12} ]] permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to "
+        "deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[ including the next paragraph ]] shall be "
+        "included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall {1,8} be liable for any claim damages or other liability whether in an action of contract tort or "
+        "otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ],
+    "zlib": [
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is "
+        "granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    ],
 }
 
 
