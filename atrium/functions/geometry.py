@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def pose_values(text: Column) -> Column:
     """The 16 numbers of a pose text (one line or four), row-major."""
-    return F.transform(F.split(F.trim(text), r"[\s,]+"), lambda x: x.cast("double"))
+    return F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"[\s,]+"), lambda x: x.cast("double"))
 
 
 def flip_yz(pose: Column) -> Column:

@@ -29,13 +29,13 @@ def read_poses(spark: SparkSession, folder: str, flip: bool = False) -> DataFram
 
 def read_trajectory(spark: SparkSession, file: str) -> DataFrame:
     """frame_id (line number from 0), pose of a file with one pose a line; lines are numbered as they stand in the file."""
-    lines = spark.read.text(file, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("frame_id", "line"))
+    lines = spark.read.text(file, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("frame_id", "line"))
     return lines.select("frame_id", G.pose_values(F.col("line")).alias("pose"))
 
 
 def read_matrix_intrinsics(spark: SparkSession, file: str) -> DataFrame:
     """fx, fy, cx, cy of a text file with a camera matrix of three or four columns, a row a line."""
-    values = spark.read.text(file, wholetext=True).select(F.split(F.trim(F.element_at(F.split(F.trim("value"), r"\r?\n"), 1)), r"\s+").alias("head"), G.pose_values(F.col("value")).alias("k"))
+    values = spark.read.text(file, wholetext=True).select(F.split(F.trim(F.element_at(F.split(F.trim("value"), r"[ \t]*\r?\n"), 1)), r"\s+").alias("head"), G.pose_values(F.col("value")).alias("k"))
     width = F.size("head")
     at = lambda row, col: F.element_at("k", (width * row + col + 1).cast("int"))
     return values.select(at(0, 0).alias("fx"), at(1, 1).alias("fy"), at(0, 2).alias("cx"), at(1, 2).alias("cy"))

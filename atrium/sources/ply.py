@@ -8,6 +8,7 @@ partition each.  ``write_ply`` writes one binary file a cloud.
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -15,19 +16,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import Folder
+
 SCHEMA = "cloud_id string, point_id long, x double, y double, z double, r double, g double, b double, label long"
 _KINDS = {"char": "i1", "uchar": "u1", "short": "<i2", "ushort": "<u2", "int": "<i4", "uint": "<u4", "float": "<f4", "double": "<f8", "int8": "i1", "uint8": "u1", "int16": "<i2", "uint16": "<u2", "int32": "<i4", "uint32": "<u4", "float32": "<f4", "float64": "<f8"}
 #: Vertices that one partition reads.
 RANGE = 1 << 20
 
 
+def _line(f) -> bytes:
+    """A line of a file that may have no readline of its own."""
+    if hasattr(f, "readline") and not hasattr(f, "read_at"):
+        return f.readline()
+    out = b""
+    while not out.endswith(b"\n") and (c := f.read(1)):
+        out += c
+    return out
+
+
 def read_header(f) -> tuple[str, int, list[tuple[str, str]], int]:
     """Format, number of vertices, their properties (name, numpy kind), and where the vertex table starts."""
-    if f.readline().strip() != b"ply":
+    if _line(f).strip() != b"ply":
         raise ValueError("not a PLY file")
     form, n, fields, element = "", 0, [], ""
     while True:
-        line = f.readline()
+        line = _line(f)
         words = line.decode("ascii").split()
         if not line or words[:1] == ["end_header"]:
             return form, n, fields, f.tell()
@@ -41,13 +54,14 @@ def read_header(f) -> tuple[str, int, list[tuple[str, str]], int]:
 
 class PlyReader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://").removeprefix("file:")
+        one = path.endswith(".ply")
+        self.path, self.only = (os.path.dirname(path) or ".", os.path.basename(path)) if one else (path, None)
 
     def partitions(self):
-        names = [self.path] if self.path.endswith(".ply") else sorted(os.path.join(self.path, n) for n in os.listdir(self.path) if n.endswith(".ply"))
+        folder = Folder(self.path)
         out = []
-        for name in names:
-            with open(name, "rb") as f:
+        for name in [self.only] if self.only else [n for n in folder.names() if n.endswith(".ply")]:
+            with folder.open(name, "rb") as f:
                 form, n, _, _ = read_header(f)
             step = RANGE if form == "binary_little_endian" else max(n, 1)
             out += [InputPartition((name, a, min(n, a + step))) for a in range(0, n, step)]
@@ -57,14 +71,14 @@ class PlyReader(DataSourceReader):
         if partition.value is None:
             return
         name, first, last = partition.value
-        with open(name, "rb") as f:
+        with Folder(self.path).open(name, "rb") as f:
             form, _, fields, start = read_header(f)
             if form == "binary_little_endian":
                 kind = np.dtype(fields)
                 f.seek(start + first * kind.itemsize)
                 rows = np.frombuffer(f.read((last - first) * kind.itemsize), kind)
             elif form == "ascii":
-                table = np.array([f.readline().split() for _ in range(last)], float).reshape(last, len(fields))
+                table = np.array([_line(f).split() for _ in range(last)], float).reshape(last, len(fields))
                 rows = {c: table[:, i] for i, (c, _) in enumerate(fields)}
             else:
                 raise ValueError(f"PLY format {form} isn't read")
@@ -95,22 +109,22 @@ def register(spark) -> None:
 
 def write_ply(points: DataFrame, folder: str, cloud: str = "cloud_id") -> DataFrame:
     """One binary file a cloud under a shared folder; returns cloud, path and number of points. An export: Parquet is the working format."""
-    folder = folder.removeprefix("file://").removeprefix("file:")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(folder, exist_ok=True)
         name = pdf[cloud].iloc[0]
-        path = os.path.join(folder, f"{name}.ply")
+        to = Folder(folder)
         head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(pdf)}\nproperty double x\nproperty double y\nproperty double z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header\n"
         rows = np.zeros(len(pdf), [("x", "<f8"), ("y", "<f8"), ("z", "<f8"), ("r", "u1"), ("g", "u1"), ("b", "u1")])
         for c in "xyz":
             rows[c] = pdf[c]
         for c in "rgb":
             rows[c] = np.clip(np.nan_to_num(pdf[c].to_numpy(float)) * 255, 0, 255).round()
-        with open(f"{path}.part", "wb") as f:
+        # a lost or repeated task leaves no half of a file under the cloud's name
+        part = f"{name}.{uuid.uuid4().hex}.part"
+        with to.open(part, "wb") as f:
             f.write(head.encode() + rows.tobytes())
-        os.replace(f"{path}.part", path)
-        return pd.DataFrame({"cloud_id": [str(name)], "path": [path], "n_points": [len(pdf)]})
+        to.rename(part, f"{name}.ply")
+        return pd.DataFrame({"cloud_id": [str(name)], "path": [f"{folder}/{name}.ply"], "n_points": [len(pdf)]})
 
     return points.select(cloud, "x", "y", "z", "r", "g", "b").groupBy(cloud).applyInPandas(run, "cloud_id string, path string, n_points long")
 

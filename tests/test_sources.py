@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from atrium import streaming
@@ -84,3 +85,79 @@ def test_pose_windows_close_by_watermark(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.low, r.high, r.n) for r in spark.table("w").collect()] == [(1.0, 3.0, 2)]
+
+
+def _png16(image, kinds):
+    """A 16-bit greyscale PNG file whose lines take the given filters in turn."""
+    import struct
+    import zlib
+
+    h, w = image.shape
+    raw = np.zeros((h + 1, 2 * w + 2), np.int64)
+    raw[1:, 2::2], raw[1:, 3::2] = image >> 8, image & 255
+    lines = b""
+    for y in range(h):
+        kind, line, above = kinds[y % len(kinds)], raw[y + 1], raw[y]
+        a, b, c = line[:-2], above[2:], above[:-2]
+        p = a + b - c
+        pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
+        paeth = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        guess = [0 * b, a, b, (a + b) // 2, paeth][kind]
+        lines += bytes([kind]) + ((line[2:] - guess) & 255).astype(np.uint8).tobytes()
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 16, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_depth_files(spark):
+    image = np.random.default_rng(1).integers(0, 65536, (7, 5))
+    image[2:4] = image[1]
+    rows = spark.createDataFrame([(4, bytearray(_png16(image, [0, 1, 2, 3, 4]))), (9, bytearray(_png16(image + 0, [4, 3])))], "frame_id int, depth binary")
+    for frame in (4, 9):
+        got = {(r.row, r.col): r.depth_raw for r in frames.decode_depth(rows).where(f"frame_id = {frame}").collect()}
+        assert got == {(r, c): int(image[r, c]) for r in range(7) for c in range(5)}
+
+
+def test_camera_files_and_pose_lists(spark, tmp_path):
+    (tmp_path / "k.txt").write_text("577.5 0 318.9 0\n0 578.7 242.6 0\n0 0 1 0\n0 0 0 1\n")
+    (tmp_path / "k3.txt").write_text("577.5 0 318.9\n0 578.7 242.6\n0 0 1\n")
+    for name in ("k.txt", "k3.txt"):
+        assert tuple(frames.read_matrix_intrinsics(spark, str(tmp_path / name)).head()) == (577.5, 578.7, 318.9, 242.6)
+    (tmp_path / "cam_params.json").write_text(json.dumps({"camera": {"w": 1200, "h": 680, "fx": 600.0, "fy": 600.0, "cx": 599.5, "cy": 339.5, "scale": 6553.5}}, indent=1))
+    assert frames.read_camera_file(spark, str(tmp_path / "cam_params.json")).head().depth_scale == 6553.5
+    (tmp_path / "results").mkdir()
+    (tmp_path / "results" / "frame000000.jpg").write_bytes(b"a")
+    (tmp_path / "results" / "depth000000.png").write_bytes(b"b")
+    eye = "1 0 0 2 0 1 0 3 0 0 1 4 0 0 0 1"
+    (tmp_path / "traj.txt").write_text(eye + "\n")
+    one = frames.read_frames(spark, str(tmp_path), "results").head()
+    assert (one.frame_id, one.depth_scale, one.pose[3]) == (0, 6553.5, 2.0)
+    (tmp_path / "list.tsv").write_text(eye.replace(" ", "\t") + "\n")
+    pose = frames.read_pose_list(spark, str(tmp_path / "list.tsv")).head()
+    assert (pose.x, pose.y, pose.z, pose.quaternion) == (2.0, 3.0, 4.0, [1.0, 0.0, 0.0, 0.0])
+
+
+def test_dimension_files_and_stores(spark, tmp_path):
+    (tmp_path / "classes.json").write_text(json.dumps({"classes": [{"id": 3, "name": "sofa"}, {"id": 7, "name": "lamp"}]}, indent=1))
+    assert [tuple(r) for r in scenes.read_classes(spark, str(tmp_path / "classes.json")).orderBy("class_id").collect()] == [(3, "sofa"), (7, "lamp")]
+    (tmp_path / "labels.csv").write_text('Scene Name,Region #,"Weighted Votes, all",Label\ns1,0,9,kitchen\ns1,1,2,"hall, wide"\ns2,0,1,bath\n')
+    labels = scenes.read_region_labels(spark, str(tmp_path / "labels.csv"), ("Scene Name", "Region #", "Label"), "s1")
+    regions = spark.createDataFrame([("s1", 1), ("s1", 5)], "scene string, region_id int")
+    assert {(r.region_id, r.category, r.labelled) for r in scenes.label_regions(regions, labels).collect()} == {(1, "hall, wide", True), (5, None, False)}
+    names = spark.createDataFrame([("small", 0, "sofa"), ("small", 1, "lamp"), ("other", 0, "wall")], "vocabulary string, class int, name string")
+    scenes.write_vocabulary(names, spark.createDataFrame([("sofa", [1.0, 0.0]), ("lamp", [0.0, 1.0])], "name string, prompt array<double>"), str(tmp_path / "v"))
+    assert {(r["class"], r.name, tuple(r.prompt)) for r in scenes.read_vocabulary(spark, str(tmp_path / "v"), "small").collect()} == {(0, "sofa", (1.0, 0.0)), (1, "lamp", (0.0, 1.0))}
+    with pytest.raises(ValueError):
+        scenes.read_vocabulary(spark, str(tmp_path / "v"), "none")
+    points = spark.createDataFrame([(0, 1.0, 2.0, 3.0)], "point_id long, x double, y double, z double")
+    scenes.write_cloud(points, spark.createDataFrame([(0, [3.0, 4.0])], "point_id long, embedding array<float>"), str(tmp_path / "c"))
+    assert scenes.read_cloud(spark, str(tmp_path / "c"), True)[1].head().embedding == pytest.approx([0.6, 0.8])
+    scenes.write_navigation(points.withColumnRenamed("point_id", "id"), spark.createDataFrame([(0, 1, 2.5)], "src long, dst long, dist double"), str(tmp_path / "n"))
+    assert scenes.read_navigation(spark, str(tmp_path / "n"))[1].head().dist == 2.5
+    ply.register(spark)
+    cloud = spark.createDataFrame([("pcd_2", 1.0, 2.0, 3.0, 0.0, 0.0, 0.0), ("full", 1.0, 2.0, 3.0, 0.0, 0.0, 0.0)], "cloud_id string, x double, y double, z double, r double, g double, b double")
+    ply.write_ply(cloud, str(tmp_path / "m")).collect()
+    masks, features = scenes.read_masks(spark, str(tmp_path / "m"), spark.createDataFrame([(1, [0.0]), (2, [1.0])], "mask_id int, embedding array<double>"))
+    assert [r.mask_id for r in masks.collect()] == [2] and [r.mask_id for r in features.collect()] == [2]
+    level = spark.createDataFrame([("s1", 0, 0.0), ("s2", 0, 1.0)], "scene string, id int, lower double")
+    scenes.write_scene(level, level.select("scene", "id"), level.select("scene", "id"), str(tmp_path / "docs"), "scene")
+    assert {r.lower for r in scenes.read_scene(spark, str(tmp_path / "docs/scene=s2"))[0].collect()} == {1.0}
