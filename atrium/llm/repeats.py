@@ -7,9 +7,10 @@
    are repeats at once, however many members it has; one member stands for it.
 3. Classes of one anchor gram that cover different text may still share some
    windows, where texts agree around the anchor but not as far as both runs
-   reach.  Their members are extended from the anchor both ways: all windows of
-   a gram's classes are compared by hash.  Grams with very many classes are
-   dealt out by window instead, so that no task gets them whole.
+   reach.  Their matches are extended from the anchor both ways, word by word
+   (extension.py): forwards as common prefixes of the sorted texts, backwards as
+   long as texts agree.  Grams with very many classes are dealt out by window
+   instead, so that no task gets them whole.
    The class's other runs in its least document then get what was found for the
    one that stands.
    Grams and classes that are frequent in a sample are known beforehand, so that
@@ -18,8 +19,8 @@
    dealt by class.  The sample decides where runs go, never what they are.
 4. A document's repeated windows, merged, are its maximal repeats.
 
-Windows count as equal if the 64-bit hashes of both their anchor gram and their
-whole text are equal.  suffixes.py does steps 1 and 2 for bytes as well.
+Words count as equal if their 64-bit hashes are, classes if those of anchor gram
+and text are.  suffixes.py does steps 1 and 2 for bytes as well.
 """
 
 from __future__ import annotations
@@ -35,11 +36,12 @@ from pyspark.sql.window import Window as W
 
 from .anchors import anchor_runs
 from .common import stored
+from .extension import by_key, common_prefixes, extend_back, stretches
 from .text import _TABLE, SLICE, Words, column_bytes, doc_slices, mix, powers
 
 #: Symbols that one numpy pass over a very long text handles.
 PIECE = 1 << 18
-#: Bytes of windows that one pass of the comparison holds.
+#: Bytes of word hashes after anchors that one pass of the extension holds.
 CHUNK = 2 << 20
 
 _LEAST = -(1 << 63)
@@ -184,93 +186,68 @@ def texts_of(documents: DataFrame, runs: DataFrame) -> DataFrame:
     return found.select("doc", "h", "text", *[F.col(f"runs.{c}").alias(c) for c in ("first", "count", "low", "key")])
 
 
-def _samples(documents: DataFrame, runs: DataFrame, window: int, by_window: bool) -> DataFrame:
-    """The windows of the given runs: a row with all that is needed to compare them, or one row a window."""
-    texts = texts_of(documents, runs)
+def _around(documents: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """key, doc, h, run (its first window), low, back and ahead: hashes of the words before a run's anchor and from it on, as far as its windows reach."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = column_bytes(batch.column("text"))
             for i in range(batch.num_rows):
-                first = batch.column("first")[i].values.to_numpy()
-                count = batch.column("count")[i].values.to_numpy()
-                key = batch.column("key")[i].values.to_numpy(zero_copy_only=False)
-                raw = buf[off[i] : off[i + 1]]
-                hashes = Words(raw, np.array([0, len(raw)])).hash
-                data = []
-                for a, n in zip(first, count, strict=True):
-                    total = prefix(hashes[a : a + n + window - 1])
-                    at = np.arange(n)
-                    data.append(span(total, at, at + window))
-                if by_window:
-                    place = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count, strict=True)])
-                    h = mix(np.concatenate(data) ^ np.repeat(key, count).view(np.uint64))
-                    own = np.full(len(h), batch.column("doc")[i].as_py(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(np.full(len(h), batch.column("h")[i].as_py(), np.int64)), pa.array(np.repeat(first, count)), pa.array(place)], ["window", "doc", "h", "run", "first"])
-                    continue
-                size = 8 * count
-                ends = np.zeros(len(size) + 1, np.int32)
-                np.cumsum(size, out=ends[1:])
-                blob = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.concatenate(data).tobytes())])
-                n = len(size)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(n, batch.column("doc")[i].as_py(), np.int64)), pa.array(np.full(n, batch.column("h")[i].as_py(), np.int64)), pa.array(first), blob], ["key", "doc", "h", "first", "data"])
-
-    return texts.mapInArrow(cut, "window long, doc long, h long, run long, first long" if by_window else "key long, doc long, h long, first long, data binary")
-
-
-def _compare(samples: DataFrame) -> DataFrame:
-    """doc, h, run (its first window), first, last: stretches of windows that a smaller doc has too, among the sampled runs, by key."""
-
-    def judge(key, doc, h, first, data) -> pa.RecordBatch | None:
-        count = np.array([len(x) for x in data]) // 8
-        row = np.repeat(np.arange(len(count)), count)
-        windows = mix(np.frombuffer(b"".join(data), np.uint64) ^ key[row].view(np.uint64))
-        order = np.lexsort((doc[row], windows))
-        ordered = windows[order]
-        head = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        least = np.repeat(doc[row][order][head], np.diff(np.append(head, len(order))))
-        repeat = np.zeros(len(row), bool)
-        repeat[order] = doc[row][order] > least
-        hit = np.flatnonzero(repeat)
-        if not len(hit):
-            return None
-        place = first[row] + np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        new = np.append(True, (hit[1:] != hit[:-1] + 1) | (row[hit[1:]] != row[hit[:-1]]))
-        a = hit[np.flatnonzero(new)]
-        b = hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(h[row[a]]), pa.array(first[row[a]]), pa.array(place[a]), pa.array(place[b])], ["doc", "h", "run", "first", "last"])
+                first, count, low, key = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("first", "count", "low", "key"))
+                raw = Words(buf[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]])).hash.tobytes()
+                at = 8 * (first + count - 1 + low)
+                back = [raw[a:b] for a, b in zip((8 * first).tolist(), at.tolist(), strict=True)]
+                ahead = [raw[a:b] for a, b in zip(at.tolist(), (8 * (first + count - 1 + window)).tolist(), strict=True)]
+                own = [pa.array(np.full(len(first), batch.column(c)[i].as_py(), np.int64)) for c in ("doc", "h")]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *own, pa.array(first), pa.array(low), pa.array(back, pa.binary()), pa.array(ahead, pa.binary())], ["key", "doc", "h", "run", "low", "back", "ahead"])
+
+    return texts_of(documents, runs).mapInArrow(cut, "key long, doc long, h long, run long, low long, back binary, ahead binary")
+
+
+def _extended(rows: DataFrame, window: int) -> DataFrame:
+    """doc, h, run (its first window), first, last: stretches of windows that a smaller doc has too, among the given runs, by key."""
+
+    def judge(table: pa.Table) -> pa.RecordBatch:
+        key, doc, h, run, low = (table.column(c).to_numpy() for c in ("key", "doc", "h", "run", "low"))
+        raw, off = column_bytes(table.column("back"))
+        size = np.diff(off) // 8
+        hit = np.zeros((len(doc), int(size.max(initial=0)) + 1), bool)
+
+        def report(d: int, order: np.ndarray, same: np.ndarray, lcp: np.ndarray) -> None:
+            # neighbours that share a whole window at this distance form a block; runs that end before it share too little
+            head = np.flatnonzero(np.append(True, ~(same & (lcp[1:] + d >= window))))
+            own = doc[order]
+            least = np.repeat(np.minimum.reduceat(own, head), np.diff(np.append(head, len(order))))
+            hit[order[(own > least) & (low[order] <= d)], d] = True
+
+        group = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        extend_back(group, np.frombuffer(raw.tobytes(), np.uint64), off // 8, common_prefixes(*column_bytes(table.column("ahead"))) // 8, report)
+        row, near, far = stretches(hit)
+        at = run + size
+        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(h[row]), pa.array(run[row]), pa.array(at[row] - far), pa.array(at[row] - near)], ["doc", "h", "run", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_key(batches, "data", CHUNK):
-            if len(rows) > 1:
-                out = judge(*(rows.column(c).to_numpy() for c in ("key", "doc", "h", "first")), rows.column("data").to_pylist())
-                if out is not None:
-                    yield out
-
-    parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return samples.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, h long, run long, first long, last long")
-
-
-def by_key(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.Table]:
-    """Rows in order of key as tables of about so many bytes of a column; the rows of a key stay together."""
-    held: list[pa.RecordBatch] = []
-    held_bytes = 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            held.append(part)
-            held_bytes += part.column(column).nbytes
-            if held_bytes < size:
-                continue
-            table = pa.Table.from_batches(held)
-            key = table.column("key").to_numpy()
-            n = int((key != key[-1]).sum())  # the last key may go on
-            if n:
-                yield table.slice(0, n).combine_chunks()
-                held = table.slice(n).to_batches()
-                held_bytes = sum(x.column(column).nbytes for x in held)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        for table in by_key(batches, "ahead", CHUNK):
+            if len(table) > 1:
+                yield judge(table)
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "ahead").mapInArrow(run, "doc long, h long, run long, first long, last long")
+
+
+def _windows(rows: DataFrame, window: int) -> DataFrame:
+    """window (a hash), doc, h, run, first: a row for each window of the given runs."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, doc, h, run, low, back, ahead in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "h", "run", "low", "back", "ahead")), strict=True):
+                total = prefix(np.frombuffer(back + ahead, np.uint64))
+                start = np.arange(len(back) // 8 - low + 1)
+                own = mix(span(total, start, start + window) ^ np.uint64(key & (1 << 64) - 1)).view(np.int64)
+                same = [pa.array(np.full(len(start), x, np.int64)) for x in (doc, h, run)]
+                yield pa.RecordBatch.from_arrays([pa.array(own), *same, pa.array(start + run)], ["window", "doc", "h", "run", "first"])
+
+    return rows.mapInArrow(hashes, "window long, doc long, h long, run long, first long")
 
 
 def find_classes(documents: DataFrame, kind: str, window: int, gram: int, earlier: bool, reach: int, sample: int = 4000, least: int = 8, most_frequent: int = 65536) -> DataFrame:
@@ -317,9 +294,9 @@ def find_repeats(documents: DataFrame, window: int, gram: int, most_classes: int
     hot = many_classes(open_runs, most_classes)
     hits = None
     if hot is not None:
-        hits = _by_window(_samples(documents, open_runs.join(hot, "key", "left_semi"), window, True))
+        hits = _by_window(_windows(_around(documents, open_runs.join(hot, "key", "left_semi"), window), window))
         open_runs = open_runs.join(hot, "key", "left_anti")
-    alike = _compare(_samples(documents, open_runs, window, False))
+    alike = _extended(_around(documents, open_runs, window), window)
     hits = stored(alike if hits is None else hits.unionByName(alike), "hits")
     led = found.where("lead_pos is not null").select("doc", F.col("h").alias("own_h"), F.col("first").alias("own"), F.col("lead_h").alias("h"), F.col("lead_pos").bitwiseAND(F.lit((1 << 31) - 1)).alias("run"))
     ahead = F.col("own") - F.col("run")

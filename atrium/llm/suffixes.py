@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .repeats import by_key, covered, find_classes, many_classes, prefix, span, texts_of, with_spans
+from .extension import by_key, common_prefixes, extend_back, stretches
+from .repeats import covered, find_classes, many_classes, prefix, span, texts_of, with_spans
 from .text import _TABLE, SPACE, column_bytes, mix
 
 #: Bytes of text around anchors that one pass of the induction holds.
@@ -59,26 +60,6 @@ def _around(documents: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
     return texts_of(documents, runs).mapInArrow(cut, "key long, doc long, h long, at long, low long, back binary, ahead binary")
 
 
-def common_prefixes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each string with the one before it (0 for the first)."""
-    size = np.diff(off)
-    out = np.zeros(len(size), np.int64)
-    for a in range(0, len(size) - 1, 1024):
-        n = np.minimum(size[a : a + 1025][:-1], size[a + 1 : a + 1025])
-        width = int(n.max(initial=0))
-        if not width:
-            continue
-        step = np.arange(width)
-        most = len(raw) - 1
-        left = raw[np.minimum(off[a : a + len(n)][:, None] + step, most)]
-        right = raw[np.minimum(off[a + 1 : a + 1 + len(n)][:, None] + step, most)]
-        unlike = left != right
-        at = unlike.argmax(1)
-        at[~unlike[np.arange(len(n)), at]] = width
-        out[a + 1 : a + 1 + len(n)] = np.minimum(at, n)
-    return out
-
-
 def induce(group: np.ndarray, low: np.ndarray, back: tuple[np.ndarray, np.ndarray], lcp: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
     """hit[k, row, d]: the suffix d bytes before a row's anchor has a common prefix of lengths[k] bytes with another one.
 
@@ -87,33 +68,15 @@ def induce(group: np.ndarray, low: np.ndarray, back: tuple[np.ndarray, np.ndarra
     ``low`` are sorted but not reported, they belong to the next run.
     """
     raw, off = back
-    size, end = np.diff(off), off[1:]
-    deepest = int(size.max(initial=0))
-    hit = np.zeros((len(lengths), len(size), deepest + 1), bool)
-    order = np.arange(len(size))
-    for d in range(deepest + 1):
-        if d:
-            stay = np.flatnonzero(size[order] >= d)
-            mark = (group[stay] << 8) | raw[end[order[stay]] - d]
-            if (mark[1:] < mark[:-1]).any():
-                by = np.argsort(mark, kind="stable")
-                stay, mark = stay[by], mark[by]
-            group = np.cumsum(np.append(False, mark[1:] != mark[:-1])[: len(mark)])
-            between = np.append(lcp, 0)
-            bounds = np.stack([np.append(0, stay[:-1] + 1)[: len(stay)], stay + 1], 1).ravel()
-            lcp = np.minimum.reduceat(between, bounds)[::2] if len(stay) else lcp[:0]
-            order = order[stay]
-        same = group[1:] == group[:-1]
-        lone = ~(np.append(False, same) | np.append(same, False))[: len(order)]
-        if lone.any():  # nothing is left to compare these with
-            group, order, lcp = group[~lone], order[~lone], lcp[~lone]
-            same = group[1:] == group[:-1]
-        if not len(order):
-            break
+    hit = np.zeros((len(lengths), len(low), int(np.diff(off).max(initial=0)) + 1), bool)
+
+    def report(d: int, order: np.ndarray, same: np.ndarray, lcp: np.ndarray) -> None:
         active = low[order] <= d
         for k, length in enumerate(lengths):
             pair = same & (lcp[1:] + d >= length)
             hit[k, order[active & (np.append(False, pair) | np.append(pair, False))], d] = True
+
+    extend_back(group, raw, off, lcp, report)
     return hit
 
 
@@ -125,9 +88,7 @@ def _induced(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
         group = np.cumsum(np.append(False, key[1:] != key[:-1]))
         hit = induce(group, low, column_bytes(table.column("back")), common_prefixes(*column_bytes(table.column("ahead"))), lengths)
         for k, length in enumerate(lengths):
-            edge = np.diff(np.pad(hit[k], ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            row, near = np.nonzero(edge == 1)
-            far = np.nonzero(edge == -1)[1] - 1
+            row, near, far = stretches(hit[k])
             yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(h[row]), pa.array(at[row] - far), pa.array(at[row] - near), pa.array(np.full(len(row), length))], ["doc", "h", "first", "last", "length"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
