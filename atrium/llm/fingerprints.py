@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import SLICE, doc_slices, mix, powers
@@ -128,21 +128,51 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
+def _ranges(cuts: list[int]) -> Column:
+    """The number of the range of (key, th) that a row lies in, in their order.
+
+    cuts: quantiles of key.  One that occurs m times is a key of very many rows:
+    these are cut into m ranges by th, a hash, and come before the keys above it.
+    """
+    values = sorted(set(cuts))
+    if not values:
+        return F.lit(0)
+    many = [cuts.count(v) for v in values]
+    first = [1]
+    for m in many:
+        first.append(first[-1] + (m + 1 if m > 1 else 1))
+    # the last cut that isn't above the key, in two steps of at most 64 or so comparisons each
+    low = lambda array: F.size(F.filter(array, lambda c: c <= F.col("key")))
+    array = lambda x: F.array(*map(F.lit, x))
+    step = max(1, round(len(values) ** 0.5))
+    block = low(array(values[::step]))
+    at = F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + low(F.slice(array(values), (block - 1) * step + 1, F.lit(step))))
+    pick = lambda x: F.element_at(array(x), at)
+    share = F.least(F.floor((F.col("th") / F.lit(2.0**64) + 0.5) * pick(many)).cast("int"), pick(many) - 1)
+    own = F.when(pick(many) == 1, 0).when(F.col("key") == pick(values), share).otherwise(pick(many))
+    return F.when(at == 0, F.lit(0)).otherwise(pick(first[:-1]) + own)
+
+
 def _in_order(documents: DataFrame, parts: int) -> DataFrame:
-    """The documents by range of doc_id, each range followed by the first document of the next (tail = 1)."""
+    """The documents by range of (doc_id, hash of the text), each range followed by the first document of the next (tail = 1)."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    docs = documents.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = documents.select(key.alias("key"), F.xxhash64(text).alias("th"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     cuts = docs.select(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10000)).head()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>"), lambda c: c <= F.col("key")))
-    firsts = sorted((r.bucket, r.first) for r in docs.groupBy(bucket.alias("bucket")).agg(F.min("key").alias("first")).collect())  # one row a range
-    rows = docs.select(bucket.alias("bucket"), F.lit(0).alias("tail"), "key", "doc_id", "text")
+    bucket = _ranges(list(cuts)).cast("int")
+    # one row a range reaches the driver
+    firsts = sorted((r.bucket, r.head.key, r.head.th) for r in docs.groupBy(bucket.alias("bucket")).agg(F.min(F.struct("key", "th")).alias("head")).collect())
+    rows = docs.select(bucket.alias("bucket"), F.lit(0).alias("tail"), "key", "th", "doc_id", "text")
     if firsts:
-        before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-        at = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        heads = docs.where(F.col("key").isin(list(before))).select(at[F.col("key")].alias("bucket"), F.lit(1).alias("tail"), "key", "doc_id", "text")
-        rows = rows.unionByName(heads)
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "key", "text")
+        before = spark_rows(documents, [(firsts[i - 1][0], k, t) for i, (_, k, t) in enumerate(firsts)])
+        heads = docs.join(before, ["key", "th"]).dropDuplicates(["bucket"])
+        rows = rows.unionByName(heads.select("bucket", F.lit(1).alias("tail"), "key", "th", "doc_id", "text"))
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "key", "th", "text")
+
+
+def spark_rows(like: DataFrame, rows: list[tuple]) -> DataFrame:
+    """bucket, key, th: a small table, one row a range."""
+    return like.sparkSession.createDataFrame(rows, "bucket int, key long, th long")
 
 
 def fingerprint_documents(documents: DataFrame, parts: int | None = None) -> DataFrame:
@@ -151,7 +181,7 @@ def fingerprint_documents(documents: DataFrame, parts: int | None = None) -> Dat
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.  The next document is the one of the next larger
     doc_id, after the last one the first; rows of equal doc_id follow each other
-    by text, a null doc_id comes first.  A null text is empty; empty texts are
+    by a hash of their text, a null doc_id comes first.  A null text is empty; empty texts are
     like each other and unlike any other.  Further columns are ignored.
     """
     spark = documents.sparkSession

@@ -97,6 +97,28 @@ def test_op1_fingerprints(spark, docs, rows):
     assert fingerprints.fingerprint_documents(empty(spark)).count() == 0
 
 
+def test_op1_many_rows_of_one_id(spark):
+    """A third of the rows without an id, a third of one id: each is followed by the next one in order of (id, hash of the text)."""
+    r = random.Random(4)
+    rows = [([None, 7, i][i % 3], "".join(r.choice("abcd ") for _ in range(r.randint(0, 90)))) for i in range(300)] + [(7, "same text")] * 40
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ordered = [(x.doc_id, x.text) for x in table.withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "h", "text").collect()]
+    want = []
+    for (doc, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        e = fingerprints.edited(text, following)
+        want.append((doc, len(text), hashlib.sha256(e.encode()).hexdigest()))
+    for parts in (1, 8, 40):
+        got = [(x.doc_id, x.n_chars, x.edited_sha256) for x in fingerprints.fingerprint_documents(table, parts).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_op1_likeness_tells_edits_from_other_texts(spark):
+    r = random.Random(6)
+    prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(300))
+    got = fingerprints.fingerprint_documents(spark.createDataFrame([(i, prose()) for i in range(60)], "doc_id long, text string")).collect()
+    assert min(x.near_edited for x in got) > 0.3 and max(x.near_next for x in got) < 0.2 and np.mean([x.near_edited for x in got]) > 0.5
+
+
 def test_op1_interiors_agree_at_any_offset():
     r = random.Random(1)
     core = bytes(r.randrange(97, 123) for _ in range(3000))
