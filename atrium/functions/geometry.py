@@ -18,6 +18,11 @@ def flip_yz(pose: Column) -> Column:
     return F.transform(pose, lambda x, i: F.when((i % 4 == 1) | (i % 4 == 2), -x).otherwise(x))
 
 
+def swap_flip(x: Column, y: Column, z: Column, swap: bool = True) -> tuple[Column, Column, Column]:
+    """A cloud's axes turned: y and z change places (if ``swap``), then z changes its sign."""
+    return (x, z, -y) if swap else (x, y, -z)
+
+
 def position(pose: Column) -> tuple[Column, Column, Column]:
     """The translation of a row-major pose."""
     return pose[3], pose[7], pose[11]

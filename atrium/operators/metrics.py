@@ -14,6 +14,14 @@ def confusion(df: DataFrame, pred: str, gt: str) -> DataFrame:
     return df.groupBy(F.col(pred).alias("pred"), F.col(gt).alias("gt")).agg(F.count("*").alias("n"))
 
 
+def check_sizes(pred: DataFrame, gt: DataFrame, keys: tuple[str, ...]) -> None:
+    """Raise if a key (an image, a scene) has other numbers of predicted and of true rows."""
+    count = lambda df, n: df.groupBy(*keys).agg(F.count("*").alias(n))
+    unlike = count(pred, "n_pred").join(count(gt, "n_gt"), list(keys), "full").where("not n_pred <=> n_gt").head()
+    if unlike is not None:
+        raise ValueError(f"predicted and true sizes differ: {unlike.asDict()}")
+
+
 def per_class(conf: DataFrame, ignore: tuple = ()) -> DataFrame:
     """class, tp, t (rows of the true class), p (rows predicted), iou; an ignored class has iou 0."""
     true = conf.groupBy(F.col("gt").alias("class")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("pred") == F.col("gt"), F.col("n")).otherwise(0)).alias("tp"))

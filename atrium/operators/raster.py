@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..session import cut
 from .graph import components
+from .spatial import nearest
 
 
 def occupied(points: DataFrame, cell: float, keys: tuple[str, ...] = (), axes: tuple[str, str] = ("x", "z")) -> DataFrame:
@@ -37,6 +38,11 @@ def dilate(cells: DataFrame, radius: int, keys: tuple[str, ...] = (), disc: bool
     return _spread(cells, radius, keys, disc).distinct()
 
 
+def dilate_max(cells: DataFrame, radius: int, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Cells and their neighbours with the largest value around."""
+    return _spread(cells, radius, keys, False, value).groupBy(*keys, "row", "col").agg(F.max(value).alias(value))
+
+
 def erode(cells: DataFrame, radius: int, keys: tuple[str, ...] = (), disc: bool = False) -> DataFrame:
     """Cells whose whole neighbourhood is there."""
     n = sum(1 for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if not disc or i * i + j * j <= radius * radius)
@@ -53,6 +59,26 @@ def box_mean(cells: DataFrame, radius: int, value: str, keys: tuple[str, ...] =
     return cells.select(*keys, "row", "col").join(around, [*keys, "row", "col"])
 
 
+def weighted_mean(cells: DataFrame, radius: int, sigma: float, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Gaussian blur: mean of a value over each cell's neighbours that are there, weighted by distance."""
+    near = cells.select(*keys, "row", "col", value, F.explode(_offsets(radius, False)).alias("o"))
+    weight = F.exp(-(F.col("o.i") * F.col("o.i") + F.col("o.j") * F.col("o.j")) / (2.0 * sigma * sigma))
+    spread = near.select(*keys, (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), weight.alias("weight"), value)
+    blurred = spread.groupBy(*keys, "row", "col").agg((F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias(value))
+    return cells.select(*keys, "row", "col").join(blurred, [*keys, "row", "col"])
+
+
+def median(cells: DataFrame, radius: int, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Median of a value over each cell's neighbours that are there (the mean of both middle ones)."""
+    around = _spread(cells, radius, keys, False, value).groupBy(*keys, "row", "col").agg(F.median(value).alias(value))
+    return cells.select(*keys, "row", "col").join(around, [*keys, "row", "col"])
+
+
+def top_down(points: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Points seen from above: their distinct places in x and z."""
+    return points.select(*keys, "x", "z").distinct()
+
+
 def subtract(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return a.join(b, [*keys, "row", "col"], "left_anti")
 
@@ -86,6 +112,26 @@ def cell_components(cells: DataFrame, keys: tuple[str, ...] = (), diagonal: bool
     return rows.join(components(rows.select("id"), edges), "id").select(*keys, "row", "col", "component")
 
 
+def ranked_component(cells: DataFrame, rank: int = 1, keys: tuple[str, ...] = (), diagonal: bool = True) -> DataFrame:
+    """keys, row, col of each key's component that is ``rank``-th by size; of equal sizes the least name comes first."""
+    parts = cut(cell_components(cells, keys, diagonal))
+    sizes = parts.groupBy(*keys, "component").agg(F.count("*").alias("size"))
+    order = W.partitionBy(*keys).orderBy(F.desc("size"), "component")
+    chosen = sizes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == rank).select(*keys, "component")
+    return parts.join(chosen, [*keys, "component"], "left_semi").drop("component")
+
+
+def signed_distance(cells: DataFrame, reach: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, row, col, distance: of a region's cells to the nearest cell outside it, of cells around it (within ``reach``) to the nearest inside, negative."""
+    own = cut(cells.select(*keys, "row", "col").distinct())
+    inside = nearest_wall(own, keys).select(*keys, "row", "col", F.sqrt("d2").alias("distance"))
+    at = lambda df, name: df.select(*keys, "row", "col", F.col("row").cast("double").alias("x"), F.col("col").cast("double").alias("z"), cell_id(keys).alias(name))
+    around = cut(at(subtract(dilate(own, reach, keys), own, keys), "cell"))
+    near = nearest(around.select(*keys, "cell", "x", "z"), at(own, "inner").select(*keys, "inner", "x", "z"), "cell", "inner", 2.0, keys, ("x", "z"))
+    outside = around.join(near, "cell").select(*keys, "row", "col", (-F.col("distance")).alias("distance"))
+    return inside.unionByName(outside)
+
+
 def nearest_wall(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """For each cell the nearest cell outside the region (wall_row, wall_col) and its squared distance.
 

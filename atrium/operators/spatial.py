@@ -118,6 +118,13 @@ def knn_vote(left: DataFrame, right: DataFrame, left_id: str, right_id: str, lab
     return votes.groupBy(left_id).agg(best.alias("best")).select(left_id, F.col(f"best.{label}").alias(label), F.col("best.votes").alias("votes"))
 
 
+def transfer_labels(left: DataFrame, right: DataFrame, left_id: str, right_id: str, labels: tuple[str, ...], cell: float, keys: tuple[str, ...] = (), axes: tuple[str, ...] = AXES, within: float | None = None) -> DataFrame:
+    """left_id and the labels of the nearest right point; with ``within``, null if that is farther."""
+    near = nearest(left, right, left_id, right_id, cell, keys, axes).join(right.select(right_id, *labels), right_id)
+    far = F.lit(False) if within is None else F.col("distance") > within
+    return near.select(left_id, *[F.when(~far, F.col(c)).alias(c) for c in labels])
+
+
 def overlap_ratio(points: DataFrame, pairs: DataFrame, segment: str, point: str, radius: float, how: str = "max", axes: tuple[str, ...] = AXES, keys: tuple[str, ...] = ()) -> DataFrame:
     """For pairs (a, b) of segments the share of points with a neighbour of the other one within a radius.
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.geometry import rgb_hex
+from ..functions.phrases import ASKED_ROOMS, UNASKED_OBJECTS, parent_id
 from ..functions.vector import mean_vectors
-from ..operators import ordered, spatial
+from ..operators import graph, ordered, spatial
 from ..operators.masks import match_colours
 
 
@@ -139,6 +140,20 @@ def objects_by(truth: DataFrame, wanted: DataFrame, by: str = "object_id") -> Da
     return truth.join(wanted.select("scene", by).distinct(), ["scene", by], "left_semi")
 
 
+def asked_tree(regions: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the rooms and objects that long queries ask for, linked by the prefixes of their ids.
+
+    regions: room_id "f_r" and category; objects: object_id "f_r_o" and
+    category.  Rooms of other categories, their objects, and objects of
+    structure are left out; floors and the building stand above.
+    """
+    rooms = regions.where(F.col("category").isin(*ASKED_ROOMS)).select("room_id", F.col("category").alias("name"), parent_id(F.col("room_id")).alias("floor_id"))
+    things = objects.where(~F.col("category").isin(*UNASKED_OBJECTS)).select("object_id", F.col("category").alias("name"), parent_id(F.col("object_id")).alias("room_id"))
+    kept = things.join(rooms.select("room_id"), "room_id", "left_semi")
+    floors = regions.select(parent_id(F.col("room_id")).alias("floor_id")).distinct().withColumn("name", F.col("floor_id"))
+    return graph.assemble(floors, rooms, kept)
+
+
 def hierarchy_ids(objects: DataFrame) -> DataFrame:
     """object_id "f_r_o": numbers in order of id within the room."""
     w = W.partitionBy("floor_id", "room_id").orderBy("object_no")

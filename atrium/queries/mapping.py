@@ -348,3 +348,104 @@ def g8(spark, sf_dir):
     p = _framed(spark, sf_dir)
     names = p.select("segment", F.col("scene").alias("room_id"), (F.col("segment") % 64 % 5).cast("string").alias("name")).distinct()
     return clustering.merge_same_name(p, names, "segment", "point_id", 1.0, 0.2, 32.0)
+
+
+@REGISTRY.add("p3_turned_clouds", f"WITH {POINTS} SELECT point_id, round(x, 9) AS x, round(z, 9) AS y, round(-y, 9) AS z FROM points")
+def p3(spark, sf_dir):
+    x, y, z = G.swap_flip(F.col("x"), F.col("y"), F.col("z"))
+    return points(spark, sf_dir).select("point_id", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"), F.round(z, 9).alias("z"))
+
+
+@REGISTRY.add("p4_top_down", f"WITH {POINTS} SELECT DISTINCT segment, x, z FROM points")
+def p4(spark, sf_dir):
+    return raster.top_down(points(spark, sf_dir), ("segment",))
+
+
+_NEAR = f"""{POINTS}, around AS (SELECT *, floor(x) + i AS cx, floor(y) + j AS cy, floor(z) + k AS cz FROM points, range(-1, 2) t(i), range(-1, 2) u(j), range(-1, 2) v(k)),
+h AS (SELECT a.segment AS a, b.segment AS b, a.point_id AS pa, b.point_id AS pb FROM around a JOIN points b ON a.cx = floor(b.x) AND a.cy = floor(b.y) AND a.cz = floor(b.z) AND a.segment < b.segment AND {_D2} < 1.0),
+m AS (SELECT a, b, count(DISTINCT pa) AS na, count(DISTINCT pb) AS nb FROM h GROUP BY a, b), s AS (SELECT segment, count(*) AS n FROM points GROUP BY segment)"""
+
+
+def _overlaps(spark, sf_dir, how):
+    p = points(spark, sf_dir)
+    ids = p.select("segment").distinct()
+    pairs = ids.select(F.col("segment").alias("a")).join(ids.select(F.col("segment").alias("b")), F.col("a") < F.col("b"))
+    return spatial.overlap_ratio(p, pairs, "segment", "point_id", 1.0, how).select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
+@REGISTRY.add("j5_one_sided_overlap", f"WITH {_NEAR} SELECT a.segment AS a, b.segment AS b, round(coalesce(na, 0) / b.n, 6) AS overlap FROM s a JOIN s b ON a.segment < b.segment LEFT JOIN m ON m.a = a.segment AND m.b = b.segment")
+def j5(spark, sf_dir):
+    return _overlaps(spark, sf_dir, "one_sided")
+
+
+@REGISTRY.add("j7_symmetric_overlap", f"WITH {_NEAR} SELECT a.segment AS a, b.segment AS b, round((coalesce(na, 0) + coalesce(nb, 0)) / (a.n + b.n), 6) AS overlap FROM s a JOIN s b ON a.segment < b.segment LEFT JOIN m ON m.a = a.segment AND m.b = b.segment")
+def j7(spark, sf_dir):
+    return _overlaps(spark, sf_dir, "sum")
+
+
+_CUSTOMERS = "px AS (SELECT c_custkey, c_acctbal / 200 AS x, CAST(c_nationkey % 11 AS DOUBLE) AS y, CAST(c_custkey % 100 AS DOUBLE) AS z FROM customer)"
+
+
+@REGISTRY.add("j19_label_transfer", f"WITH {_MAP}, {_CUSTOMERS}, n AS (SELECT c_custkey, arg_min(b.map_id, ({_D2}, b.map_id)) AS map_id, min({_D2}) AS d2 FROM px a, map b GROUP BY c_custkey) SELECT c_custkey, CASE WHEN d2 <= 400 THEN p_brand END AS p_brand, CASE WHEN d2 <= 400 THEN p_size END AS p_size FROM n JOIN part ON p_partkey = map_id")
+def j19(spark, sf_dir):
+    left = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 200).alias("x"), (F.col("c_nationkey") % 11).cast("double").alias("y"), (F.col("c_custkey") % 100).cast("double").alias("z"))
+    right = _map(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point_id"), "p_brand", "p_size"), "point_id")
+    return spatial.transfer_labels(left, right, "c_custkey", "point_id", ("p_brand", "p_size"), 4.0, within=20.0)
+
+
+@REGISTRY.add("j3_mask_point_features", f"WITH {_MAP}, {_CUSTOMERS}, n AS (SELECT c_custkey, arg_min(b.map_id, ({_D2}, b.map_id)) AS map_id FROM px a, map b GROUP BY c_custkey) SELECT c_nationkey AS segment, c_custkey AS mask_point, map_id AS point_id, round(CAST(embedding[1] AS DOUBLE), 6) AS e0 FROM n JOIN customer USING (c_custkey) JOIN embeddings ON vec_id = map_id")
+def j3(spark, sf_dir):
+    masked = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("segment"), F.col("c_custkey").alias("mask_point"), (F.col("c_acctbal") / 200).alias("x"), (F.col("c_nationkey") % 11).cast("double").alias("y"), (F.col("c_custkey") % 100).cast("double").alias("z"))
+    features = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding")
+    found = scene.gather_mask_features(masked, _map(spark, sf_dir), features, 4.0)
+    return found.select("segment", "mask_point", "point_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("e0"))
+
+
+_HEIGHTS = f"{POINTS}, c AS (SELECT segment, CAST(floor(x / 2) AS BIGINT) AS row, CAST(floor(z / 2) AS BIGINT) AS col, max(y) AS height FROM points GROUP BY 1, 2, 3), p AS (SELECT a.segment, a.row, a.col, b.height, exp(-((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col)) / 2.0) AS w FROM c a JOIN c b ON a.segment = b.segment AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1)"
+
+
+@REGISTRY.add("w9_gaussian_blur", f"WITH {_HEIGHTS} SELECT segment, row, col, round(sum(w * height) / sum(w), 6) AS height FROM p GROUP BY 1, 2, 3")
+def w9_gaussian(spark, sf_dir):
+    cells = raster.occupied(points(spark, sf_dir), 2.0, ("segment",))
+    return raster.weighted_mean(cells, 1, 1.0, "height", ("segment",)).select("segment", "row", "col", F.round("height", 6).alias("height"))
+
+
+@REGISTRY.add("w9_median", f"WITH {_HEIGHTS} SELECT segment, row, col, round(median(height), 6) AS height FROM p GROUP BY 1, 2, 3")
+def w9_median(spark, sf_dir):
+    cells = raster.occupied(points(spark, sf_dir), 2.0, ("segment",))
+    return raster.median(cells, 1, "height", ("segment",)).select("segment", "row", "col", F.round("height", 6).alias("height"))
+
+
+@REGISTRY.add("t9_second_component")
+def t9_second(spark, sf_dir):
+    return raster.ranked_component(raster.occupied(points(spark, sf_dir), 2.0, ("segment",)).select("segment", "row", "col"), 2, ("segment",))
+
+
+_REGION = f"{POINTS}, r AS (SELECT DISTINCT segment, CAST(floor(x / 4) AS BIGINT) AS row, CAST(floor(z / 8) * 2 AS BIGINT) AS col FROM points), band AS (SELECT DISTINCT segment, row + i AS row, col + j AS col FROM r, range(-2, 3) a(i), range(-2, 3) b(j))"
+
+
+@REGISTRY.add("g19_signed_distances", f"""WITH {_REGION}, o AS (SELECT * FROM band ANTI JOIN r USING (segment, row, col)),
+i AS (SELECT a.segment, a.row, a.col, min((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col)) AS d2 FROM r a JOIN o b ON a.segment = b.segment GROUP BY 1, 2, 3), e AS (SELECT a.segment, a.row, a.col, min((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col)) AS d2 FROM o a JOIN r b ON a.segment = b.segment GROUP BY 1, 2, 3)
+SELECT segment, row, col, round(sqrt(d2), 6) AS distance FROM i UNION ALL SELECT segment, row, col, round(-sqrt(d2), 6) FROM e""")
+def g19(spark, sf_dir):
+    cells = points(spark, sf_dir).select("segment", F.floor(F.col("x") / 4).cast("long").alias("row"), (F.floor(F.col("z") / 8) * 2).cast("long").alias("col")).distinct()
+    return raster.signed_distance(cells, 2, ("segment",)).select("segment", "row", "col", F.round("distance", 6).alias("distance"))
+
+
+@REGISTRY.add("g15_stairs_object_graph")
+def g15(spark, sf_dir):
+    stairs = points(spark, sf_dir).select((F.col("segment") % 4).alias("scene"), "x", "y", "z")
+    _, edges = navigation.stairs_object_graph(stairs, 1.0, 2, 1, 2.0)
+    return edges.select("src", "dst", F.round("dist", 6).alias("dist"))
+
+
+@REGISTRY.add("s18_asked_tree", f"""WITH c AS (SELECT p_size % 3 || '_' || p_size AS room_id, p_size % 3 || '_' || p_size || '_' || p_partkey AS object_id, [{', '.join(f"'{x}'" for x in (*ASKED_ROOMS, 'hall', 'office'))}][p_size % 6 + 1] AS room, [{', '.join(f"'{x}'" for x in (*UNASKED_OBJECTS, 'lamp', 'sofa'))}][p_partkey % 13 + 1] AS item FROM part),
+k AS (SELECT DISTINCT room_id FROM c WHERE room IN ({', '.join(f"'{x}'" for x in ASKED_ROOMS)})) SELECT 'building' AS src, split_part(room_id, '_', 1) AS dst FROM c UNION SELECT split_part(room_id, '_', 1), room_id FROM k UNION SELECT room_id, object_id FROM c SEMI JOIN k USING (room_id) WHERE item NOT IN ({', '.join(f"'{x}'" for x in UNASKED_OBJECTS)})""")
+def s18(spark, sf_dir):
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), i.cast("int") + 1)
+    size = F.col("p_size")
+    room = F.concat_ws("_", (size % 3).cast("string"), size.cast("string"))
+    part = table(spark, sf_dir, "part")
+    regions = part.select(room.alias("room_id"), pick((*ASKED_ROOMS, "hall", "office"), size % 6).alias("category")).distinct()
+    things = part.select(F.concat_ws("_", room, F.col("p_partkey").cast("string")).alias("object_id"), pick((*UNASKED_OBJECTS, "lamp", "sofa"), F.col("p_partkey") % 13).alias("category"))
+    return scene.asked_tree(regions, things)[1]

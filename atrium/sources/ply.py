@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.spatial import crop
 from .files import Folder
 
 SCHEMA = "cloud_id string, point_id long, x double, y double, z double, r double, g double, b double, label long"
@@ -128,3 +129,7 @@ def write_ply(points: DataFrame, folder: str, cloud: str = "cloud_id") -> DataFr
 
     return points.select(cloud, "x", "y", "z", "r", "g", "b").groupBy(cloud).applyInPandas(run, "cloud_id string, path string, n_points long")
 
+
+def write_crop(points: DataFrame, low: tuple[float, float, float], high: tuple[float, float, float], folder: str, cloud: str = "cloud_id") -> DataFrame:
+    """write_ply of the points in a box."""
+    return write_ply(crop(points, low, high), folder, cloud)
