@@ -32,6 +32,11 @@ def _cells(df: DataFrame, size: float, axes: tuple[str, ...]) -> list[Column]:
     return [voxel(F.col(a), size).alias(f"c{a}") for a in axes]
 
 
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df over as many partitions as the session's shuffles have, however few bytes it has before it is exploded."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _around(df: DataFrame, size: float, axes: tuple[str, ...], reach: int = 1) -> DataFrame:
     """Each row once for every cell within reach of its own."""
     out = df.select("*", *_cells(df, size, axes))
@@ -150,13 +155,18 @@ def _matched(points: DataFrame, pairs: DataFrame, segment: str, point: str, radi
     """
     rows = points.select(*keys, F.col(segment).alias("segment"), F.col(point).alias("point"), *axes)
     named = pairs.select(F.col("a").alias("segment")).union(pairs.select("b")).distinct()
-    rows = rows.join(named, "segment", "left_semi").select("*", *_cells(rows, radius, axes))
+    # dealt by point, so that what follows isn't done by as few tasks as there are segments
+    rows = _dealt(rows.join(named, "segment", "left_semi"), "point")
+    rows = rows.select("*", *_cells(rows, radius, axes))
     steps = [()]
     for _ in axes:
         steps = [(*s, i) for s in steps for i in (-1, 0, 1)]
     ahead = F.array(*[F.struct(*[F.lit(i).alias(f"o{x}") for x, i in zip(axes, s, strict=True)]) for s in steps if s >= (0,) * len(axes)])
     left = rows.select(*keys, "segment", "point", *axes, *[F.col(f"c{x}").alias(f"h{x}") for x in axes], F.explode(ahead).alias("o"))
-    left = left.select(*keys, "segment", "point", *axes, *[(F.col(f"h{x}") + F.col(f"o.o{x}")).alias(f"c{x}") for x in axes], F.array(*[F.col(f"o.o{x}") == 0 for x in axes]).alias("zero")).withColumn("own", F.forall("zero", lambda z: z)).drop("zero")
+    own = F.lit(True)
+    for x in axes:
+        own = own & (F.col(f"o.o{x}") == 0)
+    left = left.select(*keys, "segment", "point", *axes, *[(F.col(f"h{x}") + F.col(f"o.o{x}")).alias(f"c{x}") for x in axes], own.alias("own"))
     cond = (F.col("l.segment") != F.col("r.segment")) & (~F.col("l.own") | (F.col("l.segment") < F.col("r.segment"))) & (_distance2(axes, "l", "r") < radius * radius)
     for x in axes:
         cond = cond & (F.col(f"l.c{x}") == F.col(f"r.c{x}"))
@@ -201,7 +211,8 @@ def box_pairs(left: DataFrame, right: DataFrame, a: str, b: str, cell: float, le
     box of any size covers at most two cells an axis, and a pair is kept in the
     cell where its overlap's lower corner lies.
     """
-    left, right = (_levels(df.withColumn("box", F.col(c)), cell) for df, c in ((left, a), (right, b)))
+    # few bytes of boxes make very many pairs, so they are dealt over all tasks first
+    left, right = (_dealt(_levels(df.withColumn("box", F.col(c)), cell), "box") for df, c in ((left, a), (right, b)))
     # one number a doubling of size reaches the driver: some 60 at most
     levels = sorted({r.level for df in (left, right) for r in df.select("level").distinct().collect()})
     l, r = _covering(left, levels, cell, "l", keys), _covering(right, levels, cell, "r", keys)

@@ -416,3 +416,39 @@ def test_evaluation_of_known_scores(spark):
     area = sum((r2 - r1) * (p1 + p2) / 2 for (r1, p1), (r2, p2) in itertools.pairwise(curve))
     assert (got["s"].tp, got["s"].fp, got["s"].fn) == (1, 2, 1) and got["s"].ap == pytest.approx(area) and got["s"].prec == pytest.approx(1 / 3)
     assert (got["t"].ap, got["t"].acc, got["u"].recall, got["u"].fp) == (0.0, 0.0, 0.0, 2)
+
+
+def test_second_component_and_sizes(spark):
+    cells = [("a", 0, c) for c in range(5)] + [("a", 5, c) for c in range(3)] + [("a", 9, 9)] + [("b", 0, 0)]
+    got = raster.ranked_component(spark.createDataFrame(cells, "scene string, row long, col long"), 2, ("scene",)).collect()
+    assert {tuple(r) for r in got} == {("a", 5, c) for c in range(3)}
+    pixels = lambda n: spark.createDataFrame([(i % 2,) for i in range(n)], "image long")
+    metrics.check_sizes(pixels(6), pixels(6), ("image",))
+    with pytest.raises(ValueError):
+        metrics.check_sizes(pixels(6), pixels(5), ("image",))
+
+
+def test_peaks_keep_their_distance(spark):
+    rng = np.random.default_rng(14)
+    n = {k: rng.integers(0, 50, 80).tolist() for k in ("a", "b")}
+    rows = [(k, i, v) for k, values in n.items() for i, v in enumerate(values)]
+    got = {}
+    for r in ordered.local_peaks(spark.createDataFrame(rows, "scene string, bin long, n long"), "n", 20, 6, ("scene",)).collect():
+        got.setdefault(r.scene, set()).add(r.bin)
+    for k, v in n.items():
+        peaks = [i for i in range(1, 79) if v[i] > v[i - 1] and v[i] > v[i + 1] and v[i] >= 20]
+        kept = []
+        for i in sorted(peaks, key=lambda i: (-v[i], i)):
+            if all(abs(i - j) >= 6 for j in kept):
+                kept.append(i)
+        assert got[k] == set(kept)
+
+
+def test_stairs_of_objects_make_a_loop_or_nothing(spark):
+    ring = [("s", float(r), 0.1 * r, float(c)) for r in range(40) for c in range(40) if 8 <= max(abs(r - 20), abs(c - 20)) <= 16]
+    bar = [("t", float(r), 0.0, float(c)) for r in range(5) for c in range(30)]
+    points = spark.createDataFrame(ring + bar, "scene string, x double, y double, z double")
+    nodes, edges = navigation.stairs_object_graph(points, 1.0, 1, 1, 4.0)
+    scenes = {r.scene for r in nodes.collect()}
+    assert scenes == {"s"} and edges.count() > 30 and nodes.where("height is null").count() == 0
+    assert graph.degrees(edges).where("degree < 2").count() == 0

@@ -35,19 +35,13 @@ def test_query_equals_sql(spark, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     theirs = [tuple(_plain(float(r[i]) if r[i].__class__.__name__ == "Decimal" else r[i]) for i in order) for r in cur.fetchall()]
-    assert len(ours) == len(theirs)
+    assert len(ours) == len(theirs) > 0  # a comparison of nothing shows nothing
     for a, b in zip(sorted(ours, key=_key), sorted(theirs, key=_key), strict=True):
         for x, y in zip(a, b, strict=True):
             assert x == y or (isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-9, abs_tol=2e-6)), (name, a, b)
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(SQL)))
-def test_query_runs(spark, name):
-    """Those without SQL find rows, and the same ones again; test_operators.py holds their operators against plain Python."""
-    first, second = (sorted(map(str, queries()[name](spark, DATA).collect())) for _ in range(2))
-    assert first and first == second
-
-
-def test_no_comparison_is_of_nothing(spark):
-    empty = {name for name in SQL if queries()[name](spark, DATA).isEmpty()}
-    assert not empty, empty
+def test_query_finds_rows(spark, name):
+    """Those without SQL; test_operators.py holds their operators against plain Python."""
+    assert not queries()[name](spark, DATA).isEmpty()
