@@ -165,7 +165,8 @@ def _in_order(documents: DataFrame, parts: int) -> DataFrame:
     rows = docs.select(bucket.alias("bucket"), F.lit(0).alias("tail"), "key", "th", "doc_id", "text")
     if firsts:
         before = spark_rows(documents, [(firsts[i - 1][0], k, t) for i, (_, k, t) in enumerate(firsts)])
-        heads = docs.join(before, ["key", "th"]).dropDuplicates(["bucket"])
+        # one row of 20 bytes a range, whose number the session's partitions bound
+        heads = docs.join(F.broadcast(before), ["key", "th"]).dropDuplicates(["bucket"])
         rows = rows.unionByName(heads.select("bucket", F.lit(1).alias("tail"), "key", "th", "doc_id", "text"))
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "key", "th", "text")
 
