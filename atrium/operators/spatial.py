@@ -139,8 +139,7 @@ def overlap_ratio(points: DataFrame, pairs: DataFrame, segment: str, point: str,
     """
     sizes = points.groupBy(segment).agg(F.count("*").alias("n"))
     matched = _matched(points, pairs, segment, point, radius, axes, keys)
-    near = lambda x, y, n: matched.select(F.col("segment").alias(x), F.col("other").alias(y), F.col("n").alias(n))
-    both = pairs.join(near("a", "b", "na"), ["a", "b"], "left").join(near("b", "a", "nb"), ["a", "b"], "left").fillna(0, ["na", "nb"])
+    both = pairs.join(matched, ["a", "b"], "left").fillna(0, ["na", "nb"])
     total = lambda x, n: sizes.select(F.col(segment).alias(x), F.col("n").alias(n))
     both = both.join(total("a", "ta"), "a").join(total("b", "tb"), "b")
     score = {"max": F.greatest(F.col("na") / F.col("ta"), F.col("nb") / F.col("tb")), "sum": (F.col("na") + F.col("nb")) / (F.col("ta") + F.col("tb")), "one_sided": F.col("na") / F.col("tb")}[how]
@@ -148,34 +147,13 @@ def overlap_ratio(points: DataFrame, pairs: DataFrame, segment: str, point: str,
 
 
 def _matched(points: DataFrame, pairs: DataFrame, segment: str, point: str, radius: float, axes: tuple[str, ...], keys: tuple[str, ...]) -> DataFrame:
-    """segment, other, n: points of a segment with a neighbour in another one.
-
-    Every two near points meet once, in the half of the neighbour cells that
-    follows a cell, and count for both; ids and cells alone go through the join.
-    """
+    """a, b, na, nb: points of each side with a neighbour on the other."""
     rows = points.select(*keys, F.col(segment).alias("segment"), F.col(point).alias("point"), *axes)
     named = pairs.select(F.col("a").alias("segment")).union(pairs.select("b")).distinct()
-    # dealt by point, so that what follows isn't done by as few tasks as there are segments
-    rows = _dealt(rows.join(named, "segment", "left_semi"), "point")
-    rows = rows.select("*", *_cells(rows, radius, axes))
-    steps = [()]
-    for _ in axes:
-        steps = [(*s, i) for s in steps for i in (-1, 0, 1)]
-    ahead = F.array(*[F.struct(*[F.lit(i).alias(f"o{x}") for x, i in zip(axes, s, strict=True)]) for s in steps if s >= (0,) * len(axes)])
-    left = rows.select(*keys, "segment", "point", *axes, *[F.col(f"c{x}").alias(f"h{x}") for x in axes], F.explode(ahead).alias("o"))
-    own = F.lit(True)
-    for x in axes:
-        own = own & (F.col(f"o.o{x}") == 0)
-    left = left.select(*keys, "segment", "point", *axes, *[(F.col(f"h{x}") + F.col(f"o.o{x}")).alias(f"c{x}") for x in axes], own.alias("own"))
-    cond = (F.col("l.segment") != F.col("r.segment")) & (~F.col("l.own") | (F.col("l.segment") < F.col("r.segment"))) & (_distance2(axes, "l", "r") < radius * radius)
-    for x in axes:
-        cond = cond & (F.col(f"l.c{x}") == F.col(f"r.c{x}"))
-    for k in keys:
-        cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
-    met = left.alias("l").join(rows.alias("r"), cond)
-    side = lambda a, b: F.struct(F.col(f"{a}.segment").alias("segment"), F.col(f"{a}.point").alias("point"), F.col(f"{b}.segment").alias("other"))
-    hits = met.select(F.explode(F.array(side("l", "r"), side("r", "l"))).alias("hit")).select("hit.*").distinct()
-    return hits.groupBy("segment", "other").agg(F.count("*").alias("n"))
+    rows = rows.join(named, "segment", "left_semi")
+    near = within_radius(rows, rows, radius, keys, axes).select(F.col("l.segment").alias("a"), F.col("r.segment").alias("b"), F.col("l.point").alias("lp"), F.col("r.point").alias("rp"))
+    hits = near.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
+    return hits.groupBy("a", "b").agg(F.countDistinct("lp").alias("na"), F.countDistinct("rp").alias("nb"))
 
 
 def near_counts(left: DataFrame, right: DataFrame, a: str, b: str, point: str, radius: float, keys: tuple[str, ...] = (), axes: tuple[str, ...] = AXES) -> DataFrame:
