@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 #: Words as the SQL functions see them; text.Words finds the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +49,22 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"own_{i}" for i in range(len(df.columns))])
 
 
+def placed(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """rows with ``at``, their place from 0 among those of equal key (not null) by ``order``, and ``total``, the key's rows.
+
+    Rows are sorted over all tasks; a row's place is its place within its task
+    plus the rows of its key in the tasks before, so no key is gathered in one.
+    """
+    by = [F.col(key), *order]
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = stored(ranged.withColumn("place", F.monotonically_increasing_id()), "placed").withColumn("part", F.shiftright("place", 33))
+    runs = ranged.groupBy(key, "part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    # a key has at most one run a task
+    before = F.sum("n").over(W.partitionBy(key).orderBy("part")) - F.col("n")
+    runs = runs.select(key, "part", "first", before.alias("before"), F.sum("n").over(W.partitionBy(key)).alias("total"))
+    return ranged.join(runs, [key, "part"]).withColumn("at", F.col("before") + F.col("place") - F.col("first")).drop("part", "place", "first", "before")
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a stored() table that nothing reads any more."""
     jvm = df.sparkSession._jvm

@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, fingerprints, jaccard, licenses, mixing, quality, repair, repeats, suffixes, warc
+from . import bpe, common, fingerprints, jaccard, lexical, licenses, merkle, mixing, neighbours, quality, repair, repeats, suffixes, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(_documents(spark, sf_dir))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_items(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _documents(spark, sf_dir))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_items(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -74,8 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_mixing": op10_mixing,
+        "op11_merkle": op11_merkle,
+        "op12_lexical": op12_lexical,
+        "op13_neighbours": op13_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.WARC_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op2_warc": warc.WARC_SQL, "op10_mixing": mixing.MIX_SQL, "op11_merkle": merkle.MERKLE_SQL, "op12_lexical": lexical.LEXICAL_SQL}

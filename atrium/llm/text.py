@@ -89,9 +89,9 @@ def doc_slices(off: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
-def _word_bounds(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _word_bounds(buf: np.ndarray, off: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of buf; a document's edge ends a word."""
-    word = ~SPACE[buf]
+    word = ~gap[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[off] = True
     first = word.copy()
@@ -105,24 +105,25 @@ class Words:
     """The words of a batch of texts.
 
     start, end: byte positions in buf; hash: 64-bit hash of each word's bytes;
-    of: index of the first word of each document (n + 1 entries).
+    of: index of the first word of each document (n + 1 entries).  gap: which
+    byte values stand between words.
     """
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False):
+    def __init__(self, buf: np.ndarray, off: np.ndarray, lower: bool = False, gap: np.ndarray = SPACE):
         self.buf, self.off = (LOWER[buf] if lower else buf), off
         starts, ends, hashes = [], [], []
         for i, j in doc_slices(off):
             a, b = int(off[i]), int(off[j])
             while a < b:
                 stop = b
-                if b - a > 2 * SLICE:  # part of one very long text, cut at white space
+                if b - a > 2 * SLICE:  # part of one very long text, cut between words
                     stop = a + SLICE
-                    while stop < b and not (space := np.flatnonzero(SPACE[self.buf[stop : stop + SLICE]])).size:
+                    while stop < b and not (space := np.flatnonzero(gap[self.buf[stop : stop + SLICE]])).size:
                         stop = min(b, stop + SLICE)
                     stop = stop + int(space[0]) if stop < b else b
                 piece = self.buf[a:stop]
                 edges = np.clip(off[i : j + 1] - a, 0, len(piece))
-                s, e = _word_bounds(piece, edges)
+                s, e = _word_bounds(piece, edges, gap)
                 hashes.append(spans_hash(prefix_hash(piece), s, e))
                 starts.append(s + a)
                 ends.append(e + a)
