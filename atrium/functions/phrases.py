@@ -5,26 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Number words of floors.
-NUMBER_WORDS = {"zero": 0, "ground": 0, "one": 1, "first": 1, "two": 2, "second": 2, "three": 3, "third": 3, "four": 4, "fourth": 4, "five": 5, "fifth": 5}
+#: Cardinals up to nineteen and the tens, their irregular ordinals, and the word for the lowest floor.
+CARDINALS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+GROUND = {"ground": 0}
+
+
+def _number_words() -> dict[str, int]:
+    """Cardinals and ordinals: an ordinal is the cardinal and "th", a final y turned into "ie", but for the irregular ones."""
+    values = {w: i for i, w in enumerate(CARDINALS)} | {w: 20 + 10 * i for i, w in enumerate(TENS)}
+    return values | {IRREGULAR.get(w, (w[:-1] + "ie" if w.endswith("y") else w) + "th"): n for w, n in values.items()} | GROUND
+
+
+NUMBER_WORDS = _number_words()
+#: What parse_floor gives where a floor is named by no number that it knows; no floor has it.
+UNKNOWN_FLOOR = -1
 
 #: Parts of names of structure, left out when a room is named by its objects.
 ROOM_STRUCTURE = ("wall", "floor", "ceiling", "railing", "roof", "void", "unlabeled", "misc")
-#: Parts of names of structure, left out when a graph is drawn.
-DRAWN_STRUCTURE = ("wall", "floor", "ceiling", "paneling", "banner", "overhang")
 #: The room categories that long queries ask for, and the object categories that they never ask for.
 ASKED_ROOMS = ("living room", "kitchen", "bedroom", "bathroom")
 UNASKED_OBJECTS = ("wall", "floor", "ceiling", "door", "window", "stairs", "railing", "objects", "misc", "void", "")
 
-_FLOOR = r"(?i)\bon (?:the )?floor (\w+)|\bon the (\w+) floor"
-_TAIL = r"(?i)\s+on (?:the )?(?:floor \w+|\w+ floor)\s*$"
+_NAME = rf"(?:(?:{'|'.join(TENS)})[ -]\w+|\w+)"
+_FLOOR = rf"(?i)\bon (?:the )?floor ({_NAME})|\bon the ({_NAME}) floor"
+_TAIL = rf"(?i)\s+on (?:the )?(?:floor {_NAME}|{_NAME} floor)\s*$"
 
 
 def parse_floor(text: Column) -> Column:
-    """The floor number in a phrase, from digits or a number word; null without one."""
-    word = F.lower(F.coalesce(F.nullif(F.regexp_extract(text, _FLOOR, 1), F.lit("")), F.nullif(F.regexp_extract(text, _FLOOR, 2), F.lit(""))))
+    """The floor number in a phrase, from digits ("2", "2nd") or number words up to ninety-nine; null where no floor is named, -1 where its name is no number."""
+    name = F.lower(F.coalesce(F.nullif(F.regexp_extract(text, _FLOOR, 1), F.lit("")), F.nullif(F.regexp_extract(text, _FLOOR, 2), F.lit(""))))
     words = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
-    return F.coalesce(F.try_element_at(words, word), word.try_cast("int"))
+    digits = lambda w: F.regexp_extract(w, r"^(\d+)(?:st|nd|rd|th)?$", 1).try_cast("int")
+    value = lambda w: F.coalesce(F.try_element_at(words, w), digits(w))
+    # a word that is no number makes the sum null
+    total = F.aggregate(F.split(name, "[ -]"), F.lit(0), lambda s, w: s + value(w))
+    return F.when(name.isNotNull(), F.coalesce(total, F.lit(UNKNOWN_FLOOR)))
 
 
 def parse_room(text: Column) -> Column:

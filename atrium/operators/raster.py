@@ -127,7 +127,7 @@ def signed_distance(cells: DataFrame, reach: int, keys: tuple[str, ...] = ()) ->
     inside = nearest_wall(own, keys).select(*keys, "row", "col", F.sqrt("d2").alias("distance"))
     at = lambda df, name: df.select(*keys, "row", "col", F.col("row").cast("double").alias("x"), F.col("col").cast("double").alias("z"), cell_id(keys).alias(name))
     around = cut(at(subtract(dilate(own, reach, keys), own, keys), "cell"))
-    near = nearest(around.select(*keys, "cell", "x", "z"), at(own, "inner").select(*keys, "inner", "x", "z"), "cell", "inner", 2.0, keys, ("x", "z"))
+    near = nearest(around.select(*keys, "cell", "x", "z"), at(own, "inner").select(*keys, "inner", "x", "z"), "cell", "inner", 2.0, keys, ("x", "z")).drop(*keys)
     outside = around.join(near, "cell").select(*keys, "row", "col", (-F.col("distance")).alias("distance"))
     return inside.unionByName(outside)
 

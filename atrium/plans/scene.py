@@ -67,25 +67,26 @@ def assign_cameras(cameras: DataFrame, rooms: DataFrame, low: Column | float, hi
     return first.select(*names, "room_id", "frame_id").unionByName(filled.select(*names, "room_id", "frame_id"))
 
 
-def fuse_features(hits: DataFrame, point: str = "map_point", frame: str = "frame_id", pixel: str = "pixel_id", vector: str = "embedding") -> DataFrame:
-    """point, mean_vector, frames: the mean over frames of the feature of a map point's last pixel in each; of equal pixels the largest feature."""
-    once = hits.groupBy(point, frame).agg(F.max(F.struct(pixel, vector)).alias("last")).select(point, frame, F.col(f"last.{vector}").alias(vector))
-    return mean_vectors(once, [point], vector, extra=(F.count("*").alias("frames"),))
+def fuse_features(hits: DataFrame, point: str = "map_point", frame: str = "frame_id", pixel: str = "pixel_id", vector: str = "embedding", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, point, mean_vector, frames: the mean over frames of the feature of a map point's last pixel in each; of equal pixels the largest feature."""
+    once = hits.groupBy(*keys, point, frame).agg(F.max(F.struct(pixel, vector)).alias("last")).select(*keys, point, frame, F.col(f"last.{vector}").alias(vector))
+    return mean_vectors(once, [*keys, point], vector, extra=(F.count("*").alias("frames"),))
 
 
 def fuse_pixels(pixels: DataFrame, cloud: DataFrame, cell: float, keys: tuple[str, ...] = ()) -> DataFrame:
-    """point_id, mean_vector, frames: pixels (pixel_id, frame_id, x, y, z, embedding) snapped to their nearest map point and fused."""
+    """keys, point_id, mean_vector, frames: pixels (keys, pixel_id, frame_id, x, y, z, embedding) snapped to their nearest map point and fused."""
     at = spatial.nearest(pixels.select(*keys, "pixel_id", *spatial.AXES), cloud.select(*keys, "point_id", *spatial.AXES), "pixel_id", "point_id", cell, keys)
-    return fuse_features(pixels.join(at.select("pixel_id", "point_id"), "pixel_id"), "point_id")
+    return fuse_features(pixels.join(at.select(*keys, "pixel_id", "point_id"), [*keys, "pixel_id"]), "point_id", keys=keys)
 
 
-def gather_mask_features(masks: DataFrame, cloud: DataFrame, features: DataFrame, cell: float, segment: str = "segment") -> DataFrame:
-    """segment, point_id, embedding: for each point of a mask the feature of its nearest map point; points of no feature drop out.
+def gather_mask_features(masks: DataFrame, cloud: DataFrame, features: DataFrame, cell: float, segment: str = "segment", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, segment, point_id, embedding: for each point of a mask the feature of its nearest map point; points of no feature drop out.
 
-    masks: segment, mask_point, x, y, z; cloud: point_id, x, y, z; features: point_id, embedding.
+    masks: keys, segment, mask_point, x, y, z; cloud: keys, point_id, x, y, z; features: keys, point_id, embedding.
     """
-    at = spatial.nearest(masks.select("mask_point", *spatial.AXES), cloud.select("point_id", *spatial.AXES), "mask_point", "point_id", cell)
-    return masks.select(segment, "mask_point").join(at, "mask_point").join(features, "point_id").select(segment, "mask_point", "point_id", "embedding")
+    at = spatial.nearest(masks.select(*keys, "mask_point", *spatial.AXES), cloud.select(*keys, "point_id", *spatial.AXES), "mask_point", "point_id", cell, keys)
+    named = masks.select(*keys, segment, "mask_point").join(at, [*keys, "mask_point"]).join(features, [*keys, "point_id"])
+    return named.select(*keys, segment, "mask_point", "point_id", "embedding")
 
 
 def room_points(cells: DataFrame, cloud: DataFrame, low: Column, high: Column, step: float, radius: float) -> DataFrame:

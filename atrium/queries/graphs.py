@@ -60,7 +60,7 @@ def g11_resampled(spark, sf_dir):
 def g2(spark, sf_dir):
     p = points(spark, sf_dir)
     found = clustering.dbscan(p, "point_id", 1.5, 4, ("segment",))
-    return p.join(found, "point_id").select("point_id", "segment", "cluster")
+    return p.join(found, ["segment", "point_id"]).select("point_id", "segment", "cluster")
 
 
 @REGISTRY.add("g1_segment_features")

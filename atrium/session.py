@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,12 +18,25 @@ def local_session(cores: int = 8, partitions: int = 8, memory: str = "8g") -> Sp
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder of spark.checkpoint.dir; a temporary one is set only where that is unset, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one is set only where that is unset, as in tests."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again.
+
+    That cuts its lineage, computes it once, and gives the planner its true size:
+    a checkpoint keeps the estimates of the plan before, which loops of joins
+    multiply up to numbers of very many digits.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from atrium.functions import geometry, phrases, vector
 from atrium.operators import clustering, graph, metrics, ordered, ranking, raster, spatial
 from atrium.plans import evaluation, navigation, scene, search
+from atrium.session import cut
 
 
 def _points(spark, xyz, **extra):
@@ -452,3 +453,79 @@ def test_stairs_of_objects_have_no_dead_ends(spark):
     scenes = {r.scene for r in nodes.collect()}
     assert "s" in scenes and edges.count() > 30 and nodes.where("height is null").count() == 0
     assert graph.degrees(edges).where("degree < 2").count() == 0
+
+
+def _two_scenes(df):
+    """The rows as scene A and, turned upside down, as scene B, with equal ids."""
+    return df.withColumn("scene", F.lit("A")).unionByName(df.withColumn("scene", F.lit("B")).withColumn("x", -F.col("x")))
+
+
+def test_scenes_of_equal_ids_dont_mix(spark):
+    rng = np.random.default_rng(21)
+    xyz = np.concatenate([rng.normal(0, 0.3, (30, 3)), rng.normal(4, 0.3, (20, 3)), rng.uniform(-9, 9, (10, 3))])
+    p = cut(_points(spark, xyz, segment=[i % 4 for i in range(60)], frame=[i % 2 for i in range(60)]))
+    other = _points(spark, rng.uniform(-5, 5, (40, 3))).withColumnRenamed("point_id", "map_id")
+    both, both_other = cut(_two_scenes(p)), cut(_two_scenes(other))
+    alone = lambda f, *tables: sorted(("A", *r) for r in map(tuple, f(*tables, ()).collect()))
+    within = lambda f, *tables: sorted(map(tuple, f(*tables, ("scene",)).where("scene = 'A'").collect()))
+    for f in (
+        lambda a, keys: clustering.dbscan(a, "point_id", 0.6, 4, keys).select(*keys, "point_id", F.coalesce("cluster", F.lit(-1))),
+        lambda a, keys: clustering.merge_masks(a, "segment", "point_id", 0.1, 0.2, 0.5, 1e-6, 1.0, keys),
+        lambda a, keys: clustering.hierarchical_merge(a, "frame", "segment", "point_id", 0.4, 0.1, 0.1, 0.5, 1e-6, 0.75, keys),
+    ):
+        assert within(f, both) == alone(f, p)
+    near = lambda a, b, keys: spatial.nearest(a, b, "point_id", "map_id", 1.0, keys)
+    assert within(near, both, both_other) == alone(near, p, other)
+    two = spark.createDataFrame([("A", 0, 1), ("B", 0, 1)], "scene string, a long, b long")
+    got = spatial.overlap_ratio(both, two, "segment", "point_id", 0.5, keys=("scene",)).collect()
+    (want,) = spatial.overlap_ratio(p, two.where("scene = 'A'").drop("scene"), "segment", "point_id", 0.5).collect()
+    assert sorted((r.scene, r.overlap) for r in got) == [("A", want.overlap), ("B", want.overlap)]
+
+
+def test_points_without_finite_coordinates_are_near_nothing(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 100.0, 0.0, 0.0), (3, None, 0.0, 0.0), (4, float("inf"), 0.0, 0.0)], "id long, x double, y double, z double")
+    right = spark.createDataFrame([(7, 50.0, 0.0, 0.0), (8, float("nan"), 0.0, 0.0)], "map_id long, x double, y double, z double")
+    got = sorted((r.id, r.map_id, r.distance) for r in spatial.nearest(left, right, "id", "map_id", 1.0).collect())
+    assert got == [(1, 7, 50.0), (2, 7, 50.0)]
+    assert spatial.nearest(left, right.where("map_id = 8"), "id", "map_id", 1.0).count() == 0
+    assert spatial.k_nearest(left.limit(0), right, "id", "map_id", 3, 1.0).columns == ["id", "right", "d2", "rank"]
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_k_nearest_at_any_density(spark, k):
+    rng = np.random.default_rng(22)
+    goals = np.concatenate([rng.normal(0, 0.01, (120, 3)), rng.uniform(-50, 50, (60, 3)), np.tile([[3.0, 3.0, 3.0]], (40, 1)), [[4000.0, 0, 0]]])
+    probes = np.concatenate([rng.normal(0, 0.01, (30, 3)), rng.uniform(-60, 60, (40, 3)), [[3.0, 3.0, 3.0], [-9000.0, 5, 5], [2000.0, 1, 1]]])
+    got = {}
+    for r in spatial.k_nearest(_points(spark, probes), _points(spark, goals).withColumnRenamed("point_id", "map_id"), "point_id", "map_id", k, 1.0).collect():
+        got.setdefault(r.point_id, {})[r["rank"]] = r.right.map_id
+    d2 = ((probes[:, None] - goals[None]) ** 2)
+    d2 = d2[..., 0] + d2[..., 1] + d2[..., 2]
+    want = {i: dict(enumerate(np.lexsort((np.arange(len(goals)), d2[i]))[:k].tolist(), 1)) for i in range(len(probes))}
+    assert got == want
+
+
+def test_contacts_equal_all_distances(spark):
+    rng = np.random.default_rng(23)
+    xyz = np.concatenate([rng.uniform(0, 3, (70, 3)), rng.integers(0, 3, (50, 3)), [[1.0, 1.0, 1.0]] * 3])
+    seg = [i % 5 for i in range(len(xyz))]
+    for radius in (0.3, 1.0, 2.5):
+        got = {(r.a, r.point, r.b) for r in spatial.contacts(_points(spark, xyz, segment=seg), "segment", "point_id", radius).collect()}
+        d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+        assert got == {(seg[i], i, seg[j]) for i in range(len(xyz)) for j in range(len(xyz)) if seg[i] != seg[j] and d2[i, j] < radius * radius}
+
+
+def test_box_around_very_many_small_ones(spark):
+    n = 3000
+    row = lambda i, low, side: (i, low, low + side, 0.0, side, 0.0, side)
+    boxes = spark.createDataFrame([row(i, 2.0 * i, 1.0) for i in range(n)] + [row(n, 0.5, 2.0 * n), row(n + 1, 0.25, 1.0)], ["id", "x0", "x1", "y0", "y1", "z0", "z1"])
+    got = {(r.a, r.b) for r in spatial.iou_pairs(boxes, "id", 1.0, 0.0).collect()}
+    assert got == {(i, n) for i in range(n)} | {(0, n + 1), (n, n + 1)}
+
+
+def test_floors_named_by_any_number_word(spark):
+    asked = {"lamp on floor six": 6, "lamp on the sixth floor": 6, "lamp on the twelfth floor": 12, "bed on floor twenty one": 21, "bed on the twenty-first floor": 21, "bed on the 22nd floor": 22, "bed on the ninetieth floor": 90,
+             "sofa on the ground floor": 0, "sofa on floor 3": 3, "sofa on the upper floor": -1, "sofa on the kitchen": None, "sofa": None, "sofa on the second floor": 2}
+    rows = spark.createDataFrame([(q,) for q in asked], "query string").select("query", phrases.parse_floor(F.col("query")).alias("n"), phrases.parse_object(F.col("query")).alias("o")).collect()
+    assert {r["query"]: r.n for r in rows} == asked
+    assert {r.o for r in rows if r.n is not None} == {"lamp", "bed", "sofa"}
