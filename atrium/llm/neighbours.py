@@ -70,19 +70,21 @@ def top_links(node: np.ndarray, link: np.ndarray, like: np.ndarray, fresh: np.nd
     return node[best], link[best], like[best], fresh[best]
 
 
-_LINK_ROWS = "node long, tile long, links array<long>, likes array<float>, fresh array<boolean>"
+_LINK_ROWS = "node long, cell long, links array<long>, likes array<float>, fresh array<boolean>"
+#: What a merge reads: links of many nodes of a cell in a row.
+_FOUND_ROWS = "cell long, nodes array<long>, links array<long>, likes array<float>, fresh array<boolean>"
+#: Cells of a tile; candidates go from a tile to a cell as one row.
+_CELLS = 16
 
 
-def _link_table(node, link, like, fresh, tile: np.ndarray | None = None, every: np.ndarray | None = None) -> pa.Table:
-    """Rows of _LINK_ROWS from links ordered by node; every: nodes that get a row even without links, ascending; tile: of those."""
-    every = np.unique(node) if every is None else every
+def _link_table(node, link, like, fresh, cell: np.ndarray, every: np.ndarray) -> pa.Table:
+    """Rows of _LINK_ROWS from links ordered by node; every: the nodes, ascending, with or without links; cell: theirs."""
     offsets = np.r_[np.searchsorted(node, every, "left"), len(node)]
-    tiles = pa.array(tile) if tile is not None else pa.nulls(len(every), pa.int64())
-    return pa.Table.from_arrays([pa.array(every), tiles, *_lists(offsets, link, like.astype(np.float32), fresh)], ["node", "tile", "links", "likes", "fresh"])
+    return pa.Table.from_arrays([pa.array(every), pa.array(cell), *_lists(offsets, link, like.astype(np.float32), fresh)], ["node", "cell", "links", "likes", "fresh"])
 
 
 def _tiled(nodes: DataFrame, width: int, longest: float, tile: int, seed: int) -> DataFrame:
-    """node, v, tile: tiles of the order by signs of projections on random directions, then by one more projection."""
+    """node, v, tile, cell: tiles, and cells of these, of the order by signs of projections on random directions, then by one more projection."""
     kind = dict(nodes.dtypes)["v"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +96,8 @@ def _tiled(nodes: DataFrame, width: int, longest: float, tile: int, seed: int) -
 
     signed = stored(nodes.mapInArrow(sign, f"node long, v {kind}, code long, along double").withColumn("one", F.lit(1)), "ann-signs")
     at = placed(signed, "one", [F.col("code"), F.col("along"), F.col("node")])
-    return stored(at.select("node", "v", F.floor(F.col("at") / tile).cast("long").alias("tile")), "ann-nodes")
+    cell = F.floor(F.col("at") / max(1, tile // _CELLS)).cast("long")
+    return stored(at.select("node", "v", F.floor(cell / _CELLS).cast("long").alias("tile"), cell.alias("cell")), "ann-nodes")
 
 
 def _first_links(nodes: DataFrame, longest: float, k: int) -> DataFrame:
@@ -110,13 +113,13 @@ def _first_links(nodes: DataFrame, longest: float, k: int) -> DataFrame:
         near = np.argpartition(-like, m - 1, axis=1)[:, :m] if m else np.zeros((len(node), 0), np.int64)
         i = np.repeat(np.arange(len(node)), m)
         links = top_links(node[i], node[near.ravel()], np.take_along_axis(like, near, 1).ravel(), np.ones(len(i), bool), k)
-        return _link_table(*links, np.repeat(table.column("tile")[0].as_py(), len(node)), node)
+        return _link_table(*links, table.column("cell").to_numpy()[order], node)
 
     return stored(nodes.groupBy("tile").applyInArrow(within, _LINK_ROWS), "ann-links")
 
 
 def _around(graph: DataFrame, back: int, seed: int) -> DataFrame:
-    """node, tile, likes' least (``least``), members and fresh: each node's links and a sample of ``back`` of the nodes that link to it."""
+    """node, tile, members and fresh: each node's links and a sample of ``back`` of the nodes that link to it."""
     there = graph.select("node", F.explode(F.arrays_zip("links", "fresh")).alias("l")).select(F.col("l.links").alias("node"), F.col("node").alias("from"), F.col("l.fresh").alias("fresh"))
     # of very many links back to one node each task passes on its first few
     chance = W.partitionBy("node").orderBy(F.xxhash64("from", "node", F.lit(seed)), "from")
@@ -124,7 +127,8 @@ def _around(graph: DataFrame, back: int, seed: int) -> DataFrame:
     both = graph.join(drawn, "node", "left")
     none = F.array().cast("array<struct<from:bigint,fresh:boolean>>")
     back_links = F.coalesce("back", none)
-    return both.select("node", "tile", F.concat("links", F.transform(back_links, lambda x: x["from"])).alias("members"), F.concat("fresh", F.transform(back_links, lambda x: x["fresh"])).alias("fresh"))
+    tile = F.floor(F.col("cell") / _CELLS).cast("long").alias("tile")
+    return both.select("node", tile, F.concat("links", F.transform(back_links, lambda x: x["from"])).alias("members"), F.concat("fresh", F.transform(back_links, lambda x: x["fresh"])).alias("fresh"))
 
 
 def _distinct_of(rows: DataFrame, lists: str, name: str) -> DataFrame:
@@ -146,7 +150,7 @@ def _distinct_of(rows: DataFrame, lists: str, name: str) -> DataFrame:
 def _meet(around: DataFrame, nodes: DataFrame, graph: DataFrame, longest: float, k: int) -> DataFrame:
     """Candidates: of each tile's nodes, all pairs of members of which one is fresh, if they are liker than the worst link so far."""
     worst = graph.select("node", F.when(F.size("links") >= k, F.element_at("likes", -1)).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-    known = nodes.select("node", "v").join(worst, "node")
+    known = nodes.select("node", "v", "cell").join(worst, "node")
     vectors = _distinct_of(around, "members", "node").join(known, "node")
 
     def pairs(table: pa.Table, seen: pa.Table) -> pa.Table:
@@ -156,8 +160,7 @@ def _meet(around: DataFrame, nodes: DataFrame, graph: DataFrame, longest: float,
         y = _sphere(_matrix(seen.column("v"))[order], longest)
         members = table.column("members").combine_chunks()
         if not len(members.flatten()):
-            none = np.zeros(0, np.int64)
-            return _link_table(none, none, none.astype(np.float32), none.astype(bool))
+            return pa.Table.from_arrays([pa.array([], pa.int64()), *_lists(np.zeros(1), *[np.zeros(0, x) for x in (np.int64, np.int64, np.float32, bool)])], names)
         size = members.value_lengths().to_numpy()
         flat, new = np.searchsorted(name, members.flatten().to_numpy()), table.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         start, found = np.r_[0, np.cumsum(size)], []
@@ -177,54 +180,74 @@ def _meet(around: DataFrame, nodes: DataFrame, graph: DataFrame, longest: float,
             found.append((u[once], c[once], s[once]))
         u, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
         u, c, s, f = top_links(u, c, s, np.ones(len(u), bool), k)
-        return _link_table(name[u], name[c], s, f)
+        cell = seen.column("cell").to_numpy()[order][u]
+        by_cell = np.argsort(cell, kind="stable")
+        cells, first = np.unique(cell[by_cell], return_index=True)
+        lists = _lists(np.r_[first, len(u)], *[x[by_cell] for x in (name[u], name[c], s.astype(np.float32), f)])
+        return pa.Table.from_arrays([pa.array(cells), *lists], names)
 
-    return around.groupBy("tile").cogroup(vectors.groupBy("tile")).applyInArrow(pairs, _LINK_ROWS)
+    names = ["cell", "nodes", "links", "likes", "fresh"]
+    return around.groupBy("tile").cogroup(vectors.groupBy("tile")).applyInArrow(pairs, _FOUND_ROWS)
 
 
-def _merged(graph: DataFrame, found: DataFrame, k: int, fresh: bool = False) -> DataFrame:
-    """The graph with each node's k likest links of both tables; those of the graph aren't fresh any more, but if asked for."""
-    old = graph if fresh else graph.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
-    rows = old.unionByName(found).repartition("node").sortWithinPartitions("node")
+def _as_found(graph: DataFrame, fresh: bool | None = None) -> DataFrame:
+    """The graph's rows as a merge reads them: a link of each node to itself, of the least likeness, stands for the node."""
+    old = "fresh" if fresh is None else F.transform("fresh", lambda _: F.lit(fresh))
+    ends = {"links": F.col("node"), "likes": F.lit(-9.0).cast("float"), "fresh": F.lit(False)}
+    rows = graph.withColumn("fresh", F.col(old) if isinstance(old, str) else old)
+    rows = rows.withColumn("nodes", F.transform(F.concat("links", F.array("node")), lambda _: F.col("node")))
+    return rows.select("cell", "nodes", *[F.concat(c, F.array(end)).alias(c) for c, end in ends.items()])
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The graph of each node's k likest links among rows of _FOUND_ROWS; those of a cell stream through one task."""
+    rows = found.repartition("cell").sortWithinPartitions("cell")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def merged(table: pa.Table) -> pa.Table:
-            node, size = table.column("node").to_numpy(), table.column("links").combine_chunks().value_lengths().to_numpy()
-            flat = [table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("links", "likes", "fresh")]
-            every, at = np.unique(node, return_inverse=True)
-            tile = np.full(len(every), -1)
-            np.maximum.at(tile, at, table.column("tile").fill_null(-1).to_numpy())
-            return _link_table(*top_links(np.repeat(node, size), *flat, k), tile, every)
+        def flat(table: pa.Table) -> tuple[np.ndarray, ...]:
+            lists = [table.column(c).combine_chunks() for c in ("nodes", "links", "likes", "fresh")]
+            cell = np.repeat(table.column("cell").to_numpy(), lists[0].value_lengths().to_numpy())
+            return cell, *[x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+
+        def graph_of(cell, node, link, like, fresh) -> pa.Table:
+            every, first = np.unique(node, return_index=True)
+            node, link, like, fresh = top_links(node, link, like, fresh, k + 1)
+            own = (node == link) | (np.arange(len(node)) - np.searchsorted(node, node, "left") >= k)
+            return _link_table(node[~own], link[~own], like[~own], fresh[~own], cell[first], every)
 
         waiting = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if waiting is None else pa.concat_tables([waiting.cast(table.schema), table])
-            # the last node's rows may go on in the next batch: they are merged so far, and wait
-            node = table.column("node").to_numpy()
-            last = int(np.searchsorted(node, node[-1], "left")) if len(node) else 0
+            now = flat(pa.Table.from_batches([batch]))
+            now = now if waiting is None else tuple(np.concatenate(x) for x in zip(waiting, now, strict=True))
+            # the last cell's rows may go on in the next batch: its best links so far wait, and its nodes' links to themselves
+            last = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
             if last:
-                yield from merged(table.slice(0, last)).to_batches()
-            waiting = merged(table.slice(last)) if len(node) else waiting
-        if waiting is not None:
-            yield from waiting.to_batches()
+                yield from graph_of(*[x[:last] for x in now]).to_batches()
+            cell, node, link, like, fresh = (x[last:] for x in now)
+            own = node == link
+            best = top_links(node[~own], link[~own], like[~own], fresh[~own], k)
+            waiting = (cell, *[np.concatenate([b, x[own]]) for b, x in zip(best, (node, link, like, fresh), strict=True)])
+            waiting = (np.full(len(waiting[1]), cell[0] if len(cell) else 0), *waiting[1:])
+        if waiting is not None and len(waiting[0]):
+            yield from graph_of(*waiting).to_batches()
 
     return stored(rows.mapInArrow(merge, _LINK_ROWS), "ann-links")
 
 
 def neighbour_graph(tilings: list[DataFrame], longest: float, links: int = LINKS, back: int = BACK, settled: float = SETTLED, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
-    """node, tile, links, likes, fresh by NN-descent from tilings (node, v, tile) of the same nodes; tile is the first one's.
+    """node, cell, links, likes, fresh by NN-descent from tilings (node, v, tile, cell) of the same nodes; cell is the first one's.
 
     Links of one tiling alone would never lead out of a tile.
     """
     nodes = tilings[0]
     graph = _first_links(nodes, longest, links)
     for other in tilings[1:]:
-        graph = _merged(graph, _first_links(other, longest, links).withColumn("tile", F.lit(None).cast("long")), links, True)
+        more = _first_links(other, longest, links).drop("cell").join(nodes.select("node", "cell"), "node")
+        graph = _merged(_as_found(graph).unionByName(_as_found(more)), links)
     total = graph.count()
     for i in range(rounds):
         around = stored(_around(graph, back, seed + i), "ann-around")
-        new = _merged(graph, _meet(around, nodes, graph, longest, links), links)
+        new = _merged(_as_found(graph, False).unionByName(_meet(around, nodes, graph, longest, links)), links)
         forget(graph)
         forget(around)
         graph = new
@@ -240,7 +263,7 @@ _BEAM_ROWS = "node long, tile long, beam array<long>, scores array<double>, open
 def graph_search(asked: DataFrame, nodes: DataFrame, graph: DataFrame, longest: float, beam: int, back: int = BACK, seed: int = 5) -> DataFrame:
     """node, beam, scores: for each asked node (a column) the ``beam`` best nodes that greedy search finds, itself left out, with their inner products in float64."""
     paths = stored(_around(graph, back, seed).select("node", F.array_distinct("members").alias("members")), "ann-paths")
-    states = graph.join(asked, "node", "left_semi").select("node", "tile", F.array().cast("array<long>").alias("beam"), F.array().cast("array<double>").alias("scores"), F.array("node").alias("open"))
+    states = graph.join(asked, "node", "left_semi").select("node", F.floor(F.col("cell") / _CELLS).cast("long").alias("tile"), F.array().cast("array<long>").alias("beam"), F.array().cast("array<double>").alias("scores"), F.array("node").alias("open"))
     states = stored(states, "ann-beams")
     while True:
         hops = stored(_distinct_of(states, "open", "node").join(paths, "node").select("tile", "node", "members"), "ann-hops")
