@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -34,8 +37,20 @@ def _spread(cells: DataFrame, radius: int, keys: tuple[str, ...], disc: bool, *r
     return out.select(*keys, (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), *rest)
 
 
+def _along(cells: DataFrame, radius: int, axis: str, *rest: str) -> DataFrame:
+    """Each cell at all places up to ``radius`` along one axis, with ``rest`` and the step."""
+    others = [c for c in ("row", "col") if c != axis]
+    out = cells.select(*rest, *others, axis, F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("step"))
+    return out.withColumn(axis, F.col(axis) + F.col("step"))
+
+
 def dilate(cells: DataFrame, radius: int, keys: tuple[str, ...] = (), disc: bool = False) -> DataFrame:
-    return _spread(cells, radius, keys, disc).distinct()
+    if disc or radius <= 2:
+        return _spread(cells, radius, keys, disc).distinct()
+    # a wide square is a row of cells, spread along the columns
+    for axis in ("row", "col"):
+        cells = _along(cells, radius, axis, *keys).drop("step").distinct()
+    return cells.select(*keys, "row", "col")
 
 
 def dilate_max(cells: DataFrame, radius: int, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -45,12 +60,76 @@ def dilate_max(cells: DataFrame, radius: int, value: str, keys: tuple[str, ...]
 
 def erode(cells: DataFrame, radius: int, keys: tuple[str, ...] = (), disc: bool = False) -> DataFrame:
     """Cells whose whole neighbourhood is there."""
+    if not disc and radius > 2:
+        cells = cells.select(*keys, "row", "col").distinct()
+        for axis in ("row", "col"):
+            cells = _along(cells, radius, axis, *keys).groupBy(*keys, "row", "col").agg(F.count("*").alias("seen")).where(F.col("seen") == 2 * radius + 1).drop("seen")
+        return cells
     n = sum(1 for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if not disc or i * i + j * j <= radius * radius)
     return _spread(cells.select(*keys, "row", "col").distinct(), radius, keys, disc).groupBy(*keys, "row", "col").agg(F.count("*").alias("seen")).where(F.col("seen") == n).drop("seen")
 
 
-def close(cells: DataFrame, radius: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    return erode(dilate(cells, radius, keys), radius, keys)
+def close(cells: DataFrame, radius: int, keys: tuple[str, ...] = (), disc: bool = False) -> DataFrame:
+    return erode(dilate(cells, radius, keys, disc), radius, keys, disc)
+
+
+def open_up(cells: DataFrame, radius: int, keys: tuple[str, ...] = (), disc: bool = False) -> DataFrame:
+    """Cells of a region that a square (or disc) inside it covers: what is narrower goes."""
+    return dilate(erode(cells, radius, keys, disc), radius, keys, disc)
+
+
+def gaussian_blur(cells: DataFrame, radii: tuple[int, int], sigma: float, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, row, col, value: weighted sums over so many rows and columns around; a cell that isn't there counts 0, and cells around the given ones get values too."""
+    out = cells.select(*keys, "row", "col", value)
+    for axis, radius in zip(("row", "col"), radii, strict=True):
+        if radius:
+            total = sum(math.exp(-k * k / (2 * sigma * sigma)) for k in range(-radius, radius + 1))
+            weight = F.exp(-F.col("step") * F.col("step") / (2.0 * sigma * sigma)) / total
+            out = _along(out, radius, axis, *keys, value).groupBy(*keys, "row", "col").agg(F.sum(weight * F.col(value)).alias(value))
+    return out
+
+
+def fill_holes(cells: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The cells and all that they enclose: cells from which no walk by sides leads around them.
+
+    Works on gaps within rows instead of cells: gaps of neighbouring rows that
+    overlap are linked, and those whose component touches what lies before a
+    row's first or after its last cell are open.
+    """
+    own = cut(cells.select(*keys, "row", "col").distinct())
+    by_row = W.partitionBy(*keys, "row").orderBy("col")
+    gaps = own.withColumn("before", F.lag("col").over(by_row)).where("col - before > 1").select(*keys, "row", (F.col("before") + 1).alias("col"), (F.col("col") - 1).alias("until"))
+    gaps = cut(gaps.withColumn("id", cell_id(keys)))
+    spans = own.groupBy(*keys, "row").agg(F.min("col").alias("lo"), F.max("col").alias("hi"))
+    beside = gaps.select(*keys, "id", "col", "until", F.explode(F.array(F.col("row") - 1, F.col("row") + 1)).alias("row"))
+    leaks = beside.join(spans, [*keys, "row"], "left").where("lo is null or col < lo or until > hi").select("id").distinct()
+    below = gaps.select(*keys, (F.col("row") - 1).alias("row"), F.col("id").alias("dst"), F.col("col").alias("from"), F.col("until").alias("to"))
+    links = gaps.join(below, [*keys, "row"]).where(F.col("col").between(F.col("from"), F.col("to")) | F.col("from").between(F.col("col"), F.col("until"))).select(F.col("id").alias("src"), "dst")
+    parts = components(gaps.select("id"), links)
+    closed = parts.join(parts.join(leaks, "id", "left_semi").select("component").distinct(), "component", "left_anti")
+    return own.unionByName(gaps.join(closed, "id", "left_semi").select(*keys, "row", F.explode(F.sequence("col", "until")).alias("col")))
+
+
+def flood(region: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), label: str = "room", diagonal: bool = False) -> DataFrame:
+    """keys, row, col, label: cells of a region by the seed whose flood reaches them first; cells that none reaches have no row.
+
+    Floods advance a step a round, over sides or also corners; a cell reached by
+    two at once goes to the smaller label.  Neighbours of a round's cells were
+    reached in it, or one round before or after, so a round meets the last two
+    only, not all that is flooded already.
+    """
+    names = [*keys, "row", "col"]
+    open_cells = cut(region.select(*names).distinct())
+    front = cut(seeds.groupBy(*names).agg(F.min(label).alias(label)))
+    done, recent, last = [], [front], None
+    while not front.isEmpty():
+        seen = front.select(*names) if last is None else front.select(*names).unionByName(last.select(*names))
+        ahead = _spread(front, 1, keys, not diagonal, label).groupBy(*names).agg(F.min(label).alias(label))
+        last, front = front, cut(ahead.join(open_cells, names).join(seen, names, "left_anti"))
+        recent.append(front)
+        if len(recent) == 16:  # few tables, however many rounds
+            done, recent = [*done, cut(reduce(DataFrame.unionByName, recent))], []
+    return reduce(DataFrame.unionByName, [*done, *recent])
 
 
 def box_mean(cells: DataFrame, radius: int, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -175,16 +254,8 @@ def segment_rooms(region: DataFrame, seed_distance: float, keys: tuple[str, ...]
     deep = walls.where(F.col("d2") >= seed_distance * seed_distance).select(*keys, "row", "col")
     seeds = cell_components(deep, keys)
     size = seeds.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= least_seed).select("component")
-    rooms = cut(seeds.join(size, "component", "left_semi").select(*keys, "row", "col", F.col("component").alias("room")))
-    rest = cut(region.select(*keys, "row", "col").distinct().join(rooms, [*keys, "row", "col"], "left_anti"))
-    front = rooms
-    while True:
-        reached = cut(_spread(front, 1, keys, False, "room").join(rest, [*keys, "row", "col"], "left_semi").groupBy(*keys, "row", "col").agg(F.min("room").alias("room")))
-        if reached.isEmpty():
-            return rooms
-        rooms = cut(rooms.unionByName(reached))
-        rest = cut(rest.join(reached, [*keys, "row", "col"], "left_anti"))
-        front = reached
+    rooms = seeds.join(size, "component", "left_semi").select(*keys, "row", "col", F.col("component").alias("room"))
+    return flood(region, rooms, keys, diagonal=True)
 
 
 def medial_edges(walls: DataFrame, apart: float, keys: tuple[str, ...] = ()) -> DataFrame:
