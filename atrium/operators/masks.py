@@ -58,6 +58,27 @@ def crop_pixels(image: DataFrame, boxes: DataFrame, mask: str = "mask_id", keys:
     return cut.select(*keys, mask, (F.col("row") - F.col("y")).alias("row"), (F.col("col") - F.col("x")).alias("col"), *rest)
 
 
+def resize_area(crops: DataFrame, boxes: DataFrame, to: int, values: tuple[str, ...], mask: str = "mask_id", keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:
+    """Crops of any size as squares of ``to`` cells a side: each cell has the mean of the pixels that it covers, weighted by area.
+
+    crops: keys, mask, row, col (from 0 in the box) and values; boxes: keys,
+    mask, w, h.  A pixel that isn't there, as off a masked crop's mask, counts
+    0 (black), as a null value does; cells that no pixel meets have no row.
+    Sides are compared as whole numbers (pixel r spans r * to up to
+    (r + 1) * to, cell k spans k * h up to (k + 1) * h), so weights are exact.
+    """
+    at = [*keys, mask]
+    met = crops.join(boxes.select(*at, "w", "h"), at)
+    for axis, side in (("row", "h"), ("col", "w")):
+        last = F.floor(((F.col(axis) + 1) * to - 1) / F.col(side))
+        met = met.withColumn(f"{axis}_to", F.explode(F.sequence(F.floor(F.col(axis) * to / F.col(side)), last)))
+        overlap = F.least((F.col(axis) + 1) * to, (F.col(f"{axis}_to") + 1) * F.col(side)) - F.greatest(F.col(axis) * to, F.col(f"{axis}_to") * F.col(side))
+        met = met.withColumn(f"{axis}_part", overlap)
+    weight = F.col("row_part") * F.col("col_part")
+    sums = [(F.sum(weight * F.coalesce(F.col(v), F.lit(0))) / F.first(F.col("h") * F.col("w"))).alias(v) for v in values]
+    return met.groupBy(*at, F.col("row_to").alias("row"), F.col("col_to").alias("col")).agg(*sums)
+
+
 def resize_nearest(rows: Column, length: Column, to: int) -> Column:
     """The row (column) of an image of so many rows after a resize: nearest neighbour, from each source cell's start."""
     return F.floor(rows * F.lit(to) / length).cast("long")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("vectors", "spatial", "ordered", "graphs", "scenes", "evaluation", "mapping")
+_MODULES = ("vectors", "spatial", "ordered", "graphs", "scenes", "evaluation", "mapping", "building")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -141,21 +141,21 @@ def test_two_rooms_of_points_equal_plain_python(spark):
     points = spark.createDataFrame(rows, "scene string, x double, y double, z double")
     floors = spark.createDataFrame([(s, f, low, low + 3) for (s, f), (_, low) in houses.items()], "scene string, floor_id long, low double, high double")
     got = {}
-    for r in rooms.rooms_on_floors(points, floors, 0.1).collect():
-        assert (r.x, r.z) == ((r.row + 0.5) * 0.1, (r.col + 0.5) * 0.1)
+    for r in rooms.rooms_on_floors(points, floors, 0.2).collect():
+        assert (r.x, r.z) == ((r.row + 0.5) * 0.2, (r.col + 0.5) * 0.2)
         got.setdefault((r.scene, r.floor_id), {})[r.row, r.col] = int(r.room_id.removeprefix(f"{r.floor_id}_"))
     for key, (ps, low) in houses.items():
-        want = _rooms(ps, low, low + 3, 0.1)
+        want = _rooms(ps, low, low + 3, 0.2)
         assert got[key] == want and set(want.values()) == {0, 1}
         # a room lies on its side of the wall but for the door's cells
-        assert sum((x + 0.5) * 0.1 < 5 for (x, _), room in want.items() if room == 0) >= 0.95 * sum(room == 0 for room in want.values())
+        assert sum((x + 0.5) * 0.2 < 5 for (x, _), room in want.items() if room == 0) >= 0.95 * sum(room == 0 for room in want.values())
     assert set(got) == set(houses)
 
 
 def test_rooms_of_scenes_with_unknown_floors(spark):
     rng = np.random.default_rng(6)
     rows = [("a", *p) for p in _house(rng, 5, 2, 0.0, 0.06) + _house(rng, 5, 1, 3.2, 0.06)]
-    found = rooms.find_rooms(spark.createDataFrame(rows, "scene string, x double, y double, z double"), 0.1).select("floor_id", "room_id").distinct()
+    found = rooms.find_rooms(spark.createDataFrame(rows, "scene string, x double, y double, z double"), 0.2).select("floor_id", "room_id").distinct()
     assert {(r.floor_id, r.room_id) for r in found.collect()} == {(0, "0_0"), (0, "0_1"), (1, "1_0"), (1, "1_1")}
 
 
