@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -50,57 +48,6 @@ def segmentation_summary(conf: DataFrame, ignore: tuple = ()) -> DataFrame:
     )
 
 
-def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Minimum-cost assignment by shortest augmenting paths; every row of a table that is no taller than wide gets a column."""
-    n, m = cost.shape
-    if n > m:
-        return [(i, j) for j, i in hungarian(cost.T)]
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j = i, 0
-        best, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while True:
-            used[j] = True
-            row = owner[j]
-            reduced = cost[row - 1] - u[row] - v[1:]
-            better = ~used[1:] & (reduced < best[1:])
-            best[1:][better] = reduced[better]
-            way[1:][better] = j
-            free = np.flatnonzero(~used[1:]) + 1
-            nxt = free[np.argmin(best[free])]
-            delta = best[nxt]
-            u[owner[used]] += delta
-            v[used] -= delta
-            best[~used] -= delta
-            j = nxt
-            if owner[j] == 0:
-                break
-        while j:
-            owner[j] = owner[way[j]]
-            j = way[j]
-    return sorted((owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j])
-
-
-def match(scores: DataFrame, keys: tuple[str, ...], a: str = "a", b: str = "b", value: str = "score") -> DataFrame:
-    """Maximum-weight matching of each key's pairs; absent pairs score 0 and may be matched.
-
-    A group is one scene's table of predicted against true nodes.
-    """
-    schema = ", ".join([*(f"{k} {t}" for k, t in scores.dtypes if k in keys), f"{a} {dict(scores.dtypes)[a]}", f"{b} {dict(scores.dtypes)[b]}", f"{value} double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index=a, columns=b, values=value, fill_value=0.0)
-        pairs = hungarian(-table.to_numpy(float))
-        out = pd.DataFrame({a: [table.index[i] for i, _ in pairs], b: [table.columns[j] for _, j in pairs], value: [float(table.iat[i, j]) for i, j in pairs]})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, a, b, value]]
-
-    names = [*keys]
-    return scores.select(*names, a, b, value).groupBy(*names).applyInPandas(run, schema)
-
-
 def threshold_sweep(matched: DataFrame, n_pred: int, n_gt: int, steps: int = 11, value: str = "score") -> DataFrame:
     """threshold, tp, precision, recall for thresholds 0, 1/(steps-1), ..., 1; a pair counts if its score exceeds the threshold."""
     levels = [i / (steps - 1) for i in range(steps)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import metrics, spatial
+from ..operators import matching, metrics, spatial
 
 
 def pair_rooms(pred: DataFrame, gt: DataFrame, floors: DataFrame, keys: tuple[str, ...] = ("scene",)) -> DataFrame:
@@ -75,7 +75,7 @@ def average_precision(scores: DataFrame, totals: DataFrame, keys: tuple[str, ...
     those at the threshold ``at``.
     """
     names = list(keys)
-    pairs = metrics.match(scores, keys, "pred_id", "gt_id", match_by or value)
+    pairs = matching.match(scores, keys, "pred_id", "gt_id", match_by or value)
     matched = pairs.select(*names, "pred_id", "gt_id").join(scores.select(*names, "pred_id", "gt_id", value), [*names, "pred_id", "gt_id"])
     over = lambda t: F.sum((F.col(value) > t).cast("long"))
     # from the highest threshold down, so that recall rises

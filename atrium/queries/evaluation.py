@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import matching, metrics
 from ..plans import evaluation
 from .tables import POINTS, Registry, points, table
 
@@ -118,14 +118,14 @@ def e3(spark, sf_dir):
 
 @REGISTRY.add("j24_matched_objects", f"WITH {_SHARED}, {_matched('scores', 'score')} SELECT scene, pred_id, gt_id, round(score, 6) AS score FROM matched")
 def j24(spark, sf_dir):
-    return _shown(metrics.match(_shared(spark, sf_dir), ("scene",), "pred_id", "gt_id"))
+    return _shown(matching.match(_shared(spark, sf_dir), ("scene",), "pred_id", "gt_id"))
 
 
 @REGISTRY.add("e2_threshold_sweep", f"""WITH {_SHARED}, {_matched('scores', 'score')}, sizes AS (SELECT 3 * count(DISTINCT scene) AS total FROM pts)
 SELECT CAST(i AS DOUBLE) / 10 AS threshold, sum(CASE WHEN score > CAST(i AS DOUBLE) / 10 THEN 1 ELSE 0 END)::BIGINT AS tp, round(sum(CASE WHEN score > CAST(i AS DOUBLE) / 10 THEN 1 ELSE 0 END) / max(total), 6) AS precision,
 round(sum(CASE WHEN score > CAST(i AS DOUBLE) / 10 THEN 1 ELSE 0 END) / max(total), 6) AS recall FROM matched, sizes, range(0, 11) r(i) GROUP BY i""")
 def e2(spark, sf_dir):
-    matched = metrics.match(_shared(spark, sf_dir), ("scene",), "pred_id", "gt_id")
+    matched = matching.match(_shared(spark, sf_dir), ("scene",), "pred_id", "gt_id")
     n = 3 * _scenes(spark, sf_dir).select("scene").distinct().count()
     return metrics.threshold_sweep(matched, n, n).select("threshold", "tp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 

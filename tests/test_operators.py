@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atrium.functions import geometry, phrases, vector
-from atrium.operators import clustering, graph, metrics, ordered, ranking, raster, spatial
+from atrium.operators import clustering, graph, matching, metrics, ordered, ranking, raster, spatial
 from atrium.plans import evaluation, navigation, scene, search
 from atrium.session import cut
 
@@ -67,7 +67,7 @@ def test_dbscan_equals_brute_force(spark):
 def test_matching_is_maximal(spark, shape):
     m = np.random.default_rng(sum(shape)).uniform(0, 1, shape)
     scores = spark.createDataFrame([(0, i, j, float(m[i, j])) for i in range(shape[0]) for j in range(shape[1])], ["scene", "a", "b", "score"])
-    got = metrics.match(scores, ("scene",)).collect()
+    got = matching.match(scores, ("scene",)).collect()
     small, big = min(shape), max(shape)
     t = m if shape[0] <= shape[1] else m.T
     best = max(sum(t[i, p[i]] for i in range(small)) for p in itertools.permutations(range(big), small))
