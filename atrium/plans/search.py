@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.phrases import ROOM_STRUCTURE, is_structural, parse_floor, parse_object, parse_room
 from ..functions.vector import dot, mean_vectors
+from ..operators import cells
 
 
 def parse(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -69,11 +70,16 @@ def query_room(queries: DataFrame, rooms: DataFrame, method: str = "view_embeddi
     return ranked.where(F.col("rank") <= k)
 
 
-def query_graph(queries: DataFrame, objects: DataFrame, rooms: DataFrame, k: int = 5) -> DataFrame:
+def query_graph(queries: DataFrame, objects: DataFrame, rooms: DataFrame, k: int = 5, index: cells.Cells | None = None) -> DataFrame:
     """query_id, rank, object_id, room_id, room_name, sim: the k nearest objects of the whole graph, with their rooms.
 
-    queries (query_id, prompt) are a stated small set; objects without an embedding are never found.
+    queries (query_id, prompt) are a stated small set; objects without an
+    embedding are never found.  With an index of the objects (cells.build), only
+    cells that may hold one of the k are scored, and ``scored`` tells how many objects were.
     """
+    if index is not None:
+        found = cells.top_k(index, queries.select("query_id", "prompt"), k, "query_id", "prompt")
+        return found.join(objects.select("object_id", "room_id"), "object_id").join(rooms.select("room_id", "room_name"), "room_id", "left")
     met = objects.where("embedding is not null").join(queries.select("query_id", "prompt"))
     scored = met.select("query_id", "object_id", "room_id", dot("embedding", "prompt").alias("sim"))
     order = W.partitionBy("query_id").orderBy(F.desc("sim"), "object_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions.phrases import ASKED_ROOMS, UNASKED_OBJECTS, asked_categories
 from ..functions.vector import as_doubles
-from ..operators import clustering, graph, masks, ordered, raster, spatial
+from ..operators import cells, clustering, graph, masks, ordered, raster, spatial
 from ..plans import navigation, scene, search
 from ..session import cut
 from .tables import OBJECTS, POINTS, POSES, PROTOTYPES, Registry, objects, points, poses, prototypes, table
@@ -224,14 +224,25 @@ def q2_label(spark, sf_dir):
     return _found(search.query_room(_ask(spark, sf_dir), objects(spark, sf_dir).select("room_id", "floor_id", "embedding"), "label", margin=0.05))
 
 
-@REGISTRY.add("q5_query_graph", f"""WITH {_ASK}, {OBJECTS}, s AS (SELECT query_id, vec_id AS object_id, room_id, room_name, list_dot_product(CAST(embedding AS DOUBLE[]), q) AS sim FROM ask, objects), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, object_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, object_id, room_id, room_name, round(sim, 6) AS sim FROM r WHERE rank <= 5""")
+_Q5 = f"""WITH {_ASK}, {OBJECTS}, s AS (SELECT query_id, vec_id AS object_id, room_id, room_name, list_dot_product(CAST(embedding AS DOUBLE[]), q) AS sim FROM ask, objects), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, object_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, object_id, room_id, room_name, round(sim, 6) AS sim FROM r WHERE rank <= 5"""
+
+
+@REGISTRY.add("q5_query_graph", _Q5)
 def q5(spark, sf_dir):
     things = objects(spark, sf_dir)
     found = search.query_graph(_ask(spark, sf_dir).select("query_id", "prompt"), things.select(F.col("vec_id").alias("object_id"), "room_id", "embedding"), things.select("room_id", "room_name").distinct())
     return found.select("query_id", "rank", "object_id", "room_id", "room_name", F.round("sim", 6).alias("sim"))
 
 
+@REGISTRY.add("q5_query_graph_by_cells", _Q5)
+def q5_cells(spark, sf_dir):
+    things = objects(spark, sf_dir).withColumnRenamed("vec_id", "object_id")
+    index = cells.build(things, "object_id", cells=32)
+    found = search.query_graph(_ask(spark, sf_dir).select("query_id", "prompt"), things, things.select("room_id", "room_name").distinct(), index=index)
+    return found.select("query_id", "rank", "object_id", "room_id", "room_name", F.round("sim", 6).alias("sim"))
+
+
 @REGISTRY.add("q7_room_names_by_labels", f"""WITH {OBJECTS}, n AS (SELECT room_id, CASE label WHEN 0 THEN 'wall' WHEN 1 THEN 'Floor lamp' ELSE 'class ' || label END AS name FROM objects), c AS (SELECT room_id, name, row_number() OVER (PARTITION BY room_id ORDER BY count(*) DESC, name) AS rank FROM n WHERE NOT regexp_matches(lower(name), 'wall|floor|ceiling|railing|roof|void|unlabeled|misc') GROUP BY 1, 2) SELECT room_id, name FROM c WHERE rank = 1""")
 def q7_labels(spark, sf_dir):
     label = F.col("label")
