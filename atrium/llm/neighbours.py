@@ -28,6 +28,10 @@ from .common import forget, placed, stored
 
 #: Links of a node, sampled links back to it, nodes of a tile, tilings to start from, share of new links that ends the rounds, and nodes of a query's beam.
 LINKS, BACK, TILE, TILINGS, SETTLED, BEAM = 40, 40, 1024, 3, 0.01, 120
+#: From this number of tiles on, tiles get larger with more nodes, until they are so many times as large.
+FEW_TILES, LARGEST = 10, 3
+#: Candidates that a tile gathers before it drops all but each node's best.
+_GATHERED = 2_000_000
 #: The rounds of NN-descent end here at the latest, settled or not; it is the graph that is unfinished then, no row is left out.
 ROUNDS = 15
 _PLANES = 24
@@ -83,6 +87,17 @@ def _link_table(node, link, like, fresh, cell: np.ndarray, every: np.ndarray) ->
     return pa.Table.from_arrays([pa.array(every), pa.array(cell), *_lists(offsets, link, like.astype(np.float32), fresh)], ["node", "cell", "links", "likes", "fresh"])
 
 
+def tile_size(n: int, tile: int) -> int:
+    """Nodes of a tile for n nodes: ``tile``, and for more than FEW_TILES tiles as the root of n, up to LARGEST times as many.
+
+    A tile gets each vector that its nodes' members need once, so up to the
+    number where a node's members are all its own, larger tiles bring fewer.
+    Tiles of one size would each need nearly all vectors of a middling table,
+    whose number times that of the tiles is as the square of n.
+    """
+    return int(tile * min(LARGEST, max(1.0, (n / (FEW_TILES * tile)) ** 0.5)))
+
+
 def _tiled(nodes: DataFrame, width: int, longest: float, tile: int, seed: int) -> DataFrame:
     """node, v, tile, cell: tiles, and cells of these, of the order by signs of projections on random directions, then by one more projection."""
     kind = dict(nodes.dtypes)["v"]
@@ -107,12 +122,15 @@ def _first_links(nodes: DataFrame, longest: float, k: int) -> DataFrame:
         order = np.argsort(table.column("node").to_numpy())
         node = table.column("node").to_numpy()[order]
         y = _sphere(_matrix(table.column("v"))[order], longest)
-        like = y @ y.T
-        np.fill_diagonal(like, -np.inf)
         m = min(k, len(node) - 1)
-        near = np.argpartition(-like, m - 1, axis=1)[:, :m] if m else np.zeros((len(node), 0), np.int64)
+        near, likes = np.zeros((len(node), m), np.int64), np.zeros((len(node), m), np.float32)
+        for a in range(0, len(node) if m else 0, 512):
+            like = y[a : a + 512] @ y.T
+            like[np.arange(len(like)), np.arange(a, a + len(like))] = -np.inf
+            near[a : a + 512] = np.argpartition(-like, m - 1, axis=1)[:, :m]
+            likes[a : a + 512] = np.take_along_axis(like, near[a : a + 512], 1)
         i = np.repeat(np.arange(len(node)), m)
-        links = top_links(node[i], node[near.ravel()], np.take_along_axis(like, near, 1).ravel(), np.ones(len(i), bool), k)
+        links = top_links(node[i], node[near.ravel()], likes.ravel(), np.ones(len(i), bool), k)
         return _link_table(*links, table.column("cell").to_numpy()[order], node)
 
     return stored(nodes.groupBy("tile").applyInArrow(within, _LINK_ROWS), "ann-links")
@@ -151,6 +169,8 @@ def _meet(around: DataFrame, nodes: DataFrame, graph: DataFrame, longest: float,
     """Candidates: of each tile's nodes, all pairs of members of which one is fresh, if they are liker than the worst link so far."""
     worst = graph.select("node", F.when(F.size("links") >= k, F.element_at("likes", -1)).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
     known = nodes.select("node", "v", "cell").join(worst, "node")
+    # a node without a fresh member has no pair to compare: its members' vectors stay where they are
+    around = around.where(F.exists("fresh", lambda x: x))
     vectors = _distinct_of(around, "members", "node").join(known, "node")
 
     def pairs(table: pa.Table, seen: pa.Table) -> pa.Table:
@@ -163,7 +183,7 @@ def _meet(around: DataFrame, nodes: DataFrame, graph: DataFrame, longest: float,
             return pa.Table.from_arrays([pa.array([], pa.int64()), *_lists(np.zeros(1), *[np.zeros(0, x) for x in (np.int64, np.int64, np.float32, bool)])], names)
         size = members.value_lengths().to_numpy()
         flat, new = np.searchsorted(name, members.flatten().to_numpy()), table.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        start, found = np.r_[0, np.cumsum(size)], []
+        start, found, gathered = np.r_[0, np.cumsum(size)], [], 0
         for a in range(0, len(size), 128):
             b = min(a + 128, len(size))
             width = max(1, size[a:b].max())
@@ -178,6 +198,10 @@ def _meet(around: DataFrame, nodes: DataFrame, graph: DataFrame, longest: float,
             u, c, s = who[w, i], who[w, j], like[w, i, j]
             _, once = np.unique(u * len(name) + c, return_index=True)
             found.append((u[once], c[once], s[once]))
+            gathered += len(once)
+            if gathered > _GATHERED:
+                u, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
+                found, gathered = [top_links(u, c, s, np.ones(len(u), bool), k)[:3]], 0
         u, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
         u, c, s, f = top_links(u, c, s, np.ones(len(u), bool), k)
         cell = seen.column("cell").to_numpy()[order][u]
@@ -324,6 +348,7 @@ def nearest_items(rows: DataFrame, k: int = 20, every: int = 20, item: str = "ve
     longest = float(nodes.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))).head()[0])
     # rows of equal id with unlike vectors are nodes of one number; they are told apart by a number of their own
     nodes = stored(nodes.withColumnRenamed("node", "least").withColumn("node", F.monotonically_increasing_id()), "ann-numbered")
+    tile = tile_size(nodes.count(), tile)
     tilings = [_tiled(nodes.select("node", "v"), width.n, longest, tile, seed) for seed in range(TILINGS)]
     graph = neighbour_graph(tilings, longest, links, back)
     asked_rows = own.where(F.col("item") % every == 0).select(F.col("item").alias("query_id"), "ha", "hb")

@@ -199,3 +199,22 @@ def test_op13_few_rows_and_none(spark):
     two = spark.createDataFrame([(20, [1.0, 0.0]), (21, [0.5, 3.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in neighbours.nearest_items(two).collect()] == [(20, 1, 21, 0.5)]
     assert neighbours.nearest_items(two.where("vec_id = 21")).count() == 0
+
+
+def test_op13_tiles_grow_with_the_nodes(spark, monkeypatch):
+    # tiles of one size would need nearly all vectors each, as the square of the nodes: 25 times as many for 5 times the nodes
+    class Tiled(Exception):
+        pass
+
+    def tiled(tilings, *args):
+        raise Tiled([t.select("tile").distinct().count() for t in tilings])
+
+    monkeypatch.setattr(neighbours, "neighbour_graph", tiled)
+    v = np.random.default_rng(5).normal(size=(1600, 4)).round(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    need = []
+    for n in (320, 1600):
+        with pytest.raises(Tiled) as found:
+            neighbours.nearest_items(df.where(F.col("vec_id") < n), tile=32)
+        need.append(max(found.value.args[0]) * n)
+    assert need[1] <= 13 * need[0]
