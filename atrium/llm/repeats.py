@@ -7,7 +7,10 @@
    are repeats at once, however many members it has; one member stands for it.
 3. Classes of one anchor gram that cover different text may still share some
    windows, where texts agree around the anchor but not as far as both runs
-   reach.  Their matches are extended from the anchor both ways, word by word
+   reach.  A shared window holds either many words before its anchor or many from
+   it on, so of words only classes are compared that have one of both sides in
+   common with another class; most short grams meet by chance, and ever more of
+   them in larger tables.  Their matches are extended from the anchor both ways, word by word
    (extension.py): forwards as common prefixes of the sorted texts, backwards as
    long as texts agree.  Grams with very many classes are dealt out by window
    instead, so that no task gets them whole.
@@ -141,8 +144,12 @@ def _frequent(documents: DataFrame, kind: str, window: int, gram: int, earlier:
     return Frequent(rows, earlier)
 
 
-def _runs(documents: DataFrame, kind: str, window: int, gram: int, reach: int, frequent: Frequent | None) -> DataFrame:
-    """deal, gram, full, doc, h, pos, state of each run.
+def _runs(documents: DataFrame, kind: str, window: int, gram: int, reach: int, frequent: Frequent | None, back: int = 0) -> DataFrame:
+    """deal, gram, full, doc, h, pos, state of each run, and left and right if ``back``.
+
+    left: a hash of the text from ``back`` symbols before the anchor to its
+    gram's end, null if all windows start later; right: of what a window that
+    starts later holds from the anchor on at least, null if none does.
 
     full is a hash of the text from the first window to ``reach`` symbols from
     the last one's start.  pos packs low, the symbols from the last window's
@@ -172,9 +179,15 @@ def _runs(documents: DataFrame, kind: str, window: int, gram: int, reach: int, f
                     pos = ((anchor - first - count + 1) << 42) | (count << 31) | (first - of[d] + shift)
                     zero = np.zeros(len(key), np.int64)
                     deal, own, state = (key, zero, zero) if often is None else often.place(key, full, doc, h, pos)
-                    yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(own), pa.array(full.view(np.int64)), pa.array(doc), pa.array(h), pa.array(pos), pa.array(state.astype(np.int32))], ["deal", "gram", "full", "doc", "h", "pos", "state"])
+                    sides = []
+                    if back:
+                        wide, near = anchor - first >= back, anchor - first - count + 1 < back
+                        left = span(total, np.where(wide, anchor - back, anchor), anchor + gram)
+                        right = span(total, anchor, np.where(near, anchor + window - back + 1, anchor))
+                        sides = [pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=~there) for x, there in ((left, wide), (right, near))]
+                    yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(own), pa.array(full.view(np.int64)), pa.array(doc), pa.array(h), pa.array(pos), pa.array(state.astype(np.int32)), *sides], ["deal", "gram", "full", "doc", "h", "pos", "state", *(["left", "right"] if back else [])])
 
-    return keyed(documents).mapInArrow(run, "deal long, gram long, full long, doc long, h long, pos long, state int")
+    return keyed(documents).mapInArrow(run, "deal long, gram long, full long, doc long, h long, pos long, state int" + (", left int, right int" if back else ""))
 
 
 def texts_of(documents: DataFrame, runs: DataFrame) -> DataFrame:
@@ -261,13 +274,21 @@ def find_classes(documents: DataFrame, kind: str, window: int, gram: int, earlie
         raise ValueError("runs hold up to 2048 windows: take a longer gram")
     frequent = _frequent(documents, kind, window, gram, earlier, reach, sample, least, most_frequent)
     by_deal, by_class = W.partitionBy("deal"), W.partitionBy("deal", "full")
-    runs = _runs(documents, kind, window, gram, reach, frequent).withColumn("n", F.count("*").over(by_deal)).withColumn("lowest", F.min("full").over(by_deal)).withColumn("highest", F.max("full").over(by_deal)).where("n > 1 or state > 0")
+    back = (window - gram) // 2 if kind == "words" else 0
+    runs = _runs(documents, kind, window, gram, reach, frequent, back).withColumn("n", F.count("*").over(by_deal)).withColumn("lowest", F.min("full").over(by_deal)).withColumn("highest", F.max("full").over(by_deal)).where("n > 1 or state > 0")
     order = by_class.orderBy("doc", "h", "pos")
     runs = runs.withColumn("rank", F.row_number().over(order)).withColumn("lead", F.first("doc").over(order)).withColumn("after", F.lead("doc").over(order))
     # a frequent class's first member in the sample is dealt by class, with all that are earlier still
     within = (F.col("doc") > F.col("lead")) if earlier else (F.col("rank") > 1) | F.col("after").isNotNull() | (F.col("state") == 2)
     repeat = (F.col("state") == 3) | within
-    compared = (F.col("lowest") != F.col("highest")) | (F.col("state") > 0)
+    alike = F.col("lowest") != F.col("highest")
+    if back:
+        # runs of one class have equal sides; those of frequent grams don't meet here and are all compared
+        met = [W.partitionBy("deal", side) for side in ("left", "right")]
+        shared = [F.col(side).isNotNull() & (F.min("full").over(w) != F.max("full").over(w)) for side, w in zip(("left", "right"), met, strict=True)]
+        runs = runs.withColumn("shared_left", shared[0]).withColumn("shared_right", shared[1])
+        alike = F.col("shared_left") | F.col("shared_right")
+    compared = alike | (F.col("state") > 0)
     stands = (F.col("state") != 3) & (F.col("rank") == 1) & compared
     # a class's other runs in its least document don't repeat its first one, but what that shares with other classes they share too
     led = ~repeat & (F.col("rank") > 1) & compared

@@ -526,3 +526,16 @@ def test_op10_mixing(spark, docs, rows):
     assert len(got) == len(every) and all(abs(sums[s] - t) <= 1 for s, t in sources.items())
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(odd(table)).collect()))
     assert mixing.mix_sources(empty(spark)).count() == 0
+
+
+def test_op8_compares_no_chance_grams(spark):
+    # texts that share three words alone have no window in common; texts that share a side of a window may
+    words = lambda i, n: [f"w{i}x{k}" for k in range(n)]
+    rows = [(i, " ".join([*words(i, 15), "one", "two", "three", *words(-i - 1, 15)])) for i in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    assert repeats.find_classes(documents, "words", 13, 3, True, 13, least=100).count() == 0
+    rows += [(100 + i, " ".join([*words(i, 15)[i % 16 :], "one", "two", "three", *words(-i - 1, 15)[: 2 + i % 13], "other"])) for i in range(40)]
+    got = {r.doc_id: r.n_removed for r in repeats.remove_earlier_words(spark.createDataFrame(rows, "doc_id long, text string"), least=100).collect()}
+    for i in range(40):
+        n = len(words(i, 15)[i % 16 :]) + 3 + 2 + i % 13
+        assert got[i] == 0 and got[100 + i] == (n if n >= 13 else 0)
