@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching, metrics
 from ..plans import evaluation
-from .tables import POINTS, Registry, points, table
+from .tables import POINTS, Registry, points, scene_of, table
 
 REGISTRY = Registry()
 
@@ -31,8 +31,7 @@ _SHOWN = "scene, pred, gt, round(ap, 6) AS ap, round(tp / (pred + gt - tp), 6) A
 def _scenes(spark, sf_dir):
     """Points with scene, pred_id and gt_id."""
     p = points(spark, sf_dir)
-    scene = F.floor(F.col("point_id") / 8).cast("long") % 10000
-    return p.select(scene.alias("scene"), (F.col("segment") % 3).alias("pred_id"), (F.col("point_id") % 8 % 3).alias("gt_id"), "point_id", "x", "y", "z")
+    return p.select(scene_of(10000).alias("scene"), (F.col("segment") % 3).alias("pred_id"), (F.col("point_id") % 8 % 3).alias("gt_id"), "point_id", "x", "y", "z")
 
 
 def _shown(df):

@@ -10,7 +10,7 @@ from ..functions.vector import as_doubles
 from ..operators import cells, clustering, graph, masks, ordered, raster, spatial
 from ..plans import navigation, scene, search
 from ..session import cut
-from .tables import OBJECTS, POINTS, POSES, PROTOTYPES, Registry, objects, points, poses, prototypes, table
+from .tables import OBJECTS, POINTS, POSES, PROTOTYPES, Registry, objects, points, poses, prototypes, scene_of, table
 
 REGISTRY = Registry()
 _SIM = "list_dot_product(CAST(embedding AS DOUBLE[]), query)"
@@ -337,7 +337,7 @@ def g21(spark, sf_dir):
 def _framed(spark, sf_dir):
     """Twelve frames of each scene (a supplier), a segment in each for every block of space."""
     p = points(spark, sf_dir)
-    owner, frame = F.floor(F.col("point_id") / 8).cast("long") % 10000, F.col("frame_id") % 12
+    owner, frame = scene_of(10000), F.col("frame_id") % 12
     block = F.floor(F.col("x") / 25).cast("long") * 8 + F.floor(F.col("z") / 60).cast("long")
     return p.select(owner.alias("scene"), frame.alias("frame"), ((owner * 12 + frame) * 64 + block).alias("segment"), "point_id", "x", "y", "z")
 

@@ -6,7 +6,7 @@ in rooms by id.  rooms and floors: nation and region.  poses: events in time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N_SEGMENTS = 40
@@ -24,6 +24,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scene_of(n: int) -> Column:
+    """The scene of a point: its supplier by point_id, modulo n; in whole numbers, since ids beyond 2**53 lose digits as doubles."""
+    return F.expr("point_id div 8") % n
+
+
 POINTS = f"points AS (SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 8 + l_linenumber AS point_id, l_partkey % {N_SEGMENTS} AS segment, l_orderkey AS frame_id, CAST(l_quantity AS DOUBLE) AS x, l_discount * 100 AS y, l_extendedprice / 1000 AS z FROM lineitem)"
 
 
