@@ -63,9 +63,8 @@ def s19(spark, sf_dir):
 @REGISTRY.add("e13_topology", f"""WITH {POINTS}, {OBJECTS}, p AS (SELECT (point_id // 80000) % 100000 // 10 AS vec_id, x, y, z FROM points)
 SELECT floor_id, room_id, count(DISTINCT objects.vec_id) AS n_objects, count(x) AS n_points, round(avg(x), 9) AS cx, round(avg(y), 9) AS cy, round(avg(z), 9) AS cz FROM objects LEFT JOIN p ON p.vec_id = objects.vec_id GROUP BY floor_id, room_id""")
 def e13(spark, sf_dir):
-    # an object's points are those of ten parts
-    part = F.floor(F.col("point_id") / 80000).cast("long") % 100000
-    p = points(spark, sf_dir).select(F.floor(part / 10).cast("long").alias("vec_id"), "x", "y", "z")
+    # an object's points are those of ten parts; ids beyond 2**53 lose digits as doubles
+    p = points(spark, sf_dir).select(F.expr("point_id div 80000 % 100000 div 10").alias("vec_id"), "x", "y", "z")
     sums = p.groupBy("vec_id").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in "xyz"])
     joined = objects(spark, sf_dir).join(sums, "vec_id", "left")
     n = F.sum("n")
