@@ -6,17 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import as_doubles, normalize
+from ..session import cut
 
 
-def pixel_features(pixels: DataFrame, features: DataFrame, mask: str = "mask_id", keys: tuple[str, ...] = ("frame_id",), vector: str = "embedding") -> DataFrame:
+def pixel_features(pixels: DataFrame, features: DataFrame, mask: str = "mask_id", keys: tuple[str, ...] = ("frame_id",), vector: str = "embedding", of: tuple[str, ...] | None = None) -> DataFrame:
     """keys, row, col, embedding: the normalised sum of the features of all masks that cover a pixel.
 
-    Sums are taken by element, so that no pixel gathers its masks' vectors.
+    of: those of the keys that features have, by default all; without any, a
+    mask has one feature in all frames.  Pixels that the same masks cover have
+    one sum, so vectors are summed once for each such set of masks, by element, and no pixel
+    gathers its masks' vectors.
     """
-    parts = pixels.join(features.select(*keys, mask, F.posexplode(as_doubles(vector)).alias("pos", "v")), [*keys, mask])
-    sums = parts.groupBy(*keys, "row", "col", "pos").agg(F.sum("v").alias("v"))
-    whole = sums.groupBy(*keys, "row", "col").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("total"))
-    return whole.select(*keys, "row", "col", normalize(F.col("total")).alias(vector))
+    of = keys if of is None else of
+    covered = cut(pixels.groupBy(*keys, "row", "col").agg(F.sort_array(F.collect_list(mask)).alias("masks")))
+    sets = covered.select(*of, "masks").distinct()
+    parts = sets.select(*of, "masks", F.explode("masks").alias(mask)).join(features.select(*of, mask, F.posexplode(as_doubles(vector)).alias("pos", "v")), [*of, mask])
+    sums = parts.groupBy(*of, "masks", "pos").agg(F.sum("v").alias("v"))
+    whole = sums.groupBy(*of, "masks").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("total"))
+    return covered.join(cut(whole.select(*of, "masks", normalize(F.col("total")).alias(vector))), [*of, "masks"]).select(*keys, "row", "col", vector)
 
 
 def containment(pixels: DataFrame, mask: str = "mask_id", keys: tuple[str, ...] = ("frame_id",)) -> DataFrame:

@@ -29,9 +29,7 @@ s AS (SELECT frame_id, row, col, pos, sum(v) AS v FROM px JOIN f USING (mask_id)
 SELECT frame_id, row, col, round(max(CASE WHEN pos = 1 THEN v / norm END), 6) AS e0, round(max(CASE WHEN pos = 2 THEN v / norm END), 6) AS e1 FROM s JOIN n USING (frame_id, row, col) GROUP BY 1, 2, 3""")
 def a6(spark, sf_dir):
     features = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("mask_id"), "embedding")
-    px = _pixels(spark, sf_dir)
-    every = px.select("frame_id", "mask_id").distinct().join(features, "mask_id")
-    out = masks.pixel_features(px, every)
+    out = masks.pixel_features(_pixels(spark, sf_dir), features, of=())
     return out.select("frame_id", "row", "col", F.round(F.col("embedding")[0], 6).alias("e0"), F.round(F.col("embedding")[1], 6).alias("e1"))
 
 

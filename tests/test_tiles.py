@@ -39,3 +39,20 @@ def test_counts_of_many_points_at_one_place(spark):
     at = lambda name: spark.range(60000).select(F.col("id").alias("point"), F.lit(1).alias(name), *[(F.col("id") % 2 * 5).cast("double").alias(x) for x in AXES])
     (row,) = spatial.near_counts(at("p"), at("g"), "p", "g", "point", 0.5).collect()
     assert (row.na, row.nb) == (60000, 60000)
+
+
+def test_pixel_features_of_masks_of_all_frames(spark):
+    """Features without a frame give each pixel the normalised sum of its masks', as features by frame do."""
+    from atrium.operators import masks
+
+    pixels = [(f, m, row, 0) for f in range(3) for m in range(3) for row in range(4) if (f + m + row) % 3]
+    vectors = {0: [1.0, 0.0], 1: [1.0, 2.0], 2: [-3.0, 0.5]}
+    px = spark.createDataFrame(pixels, "frame_id long, mask_id long, row long, col long")
+    features = spark.createDataFrame(list(vectors.items()), "mask_id long, embedding array<double>")
+    one = {(p.frame_id, p.row): p.embedding for p in masks.pixel_features(px, features, of=()).collect()}
+    two = {(p.frame_id, p.row): p.embedding for p in masks.pixel_features(px, px.select("frame_id", "mask_id").distinct().join(features, "mask_id")).collect()}
+    assert one.keys() == two.keys() == {(f, row) for f, _, row, _ in pixels}
+    for f, row in one:
+        total = [sum(vectors[m][i] for g, m, at, _ in pixels if (g, at) == (f, row)) for i in (0, 1)]
+        norm = sum(v * v for v in total) ** 0.5
+        assert one[f, row] == pytest.approx([v / norm for v in total]) and two[f, row] == pytest.approx(one[f, row])
