@@ -56,3 +56,22 @@ def test_pixel_features_of_masks_of_all_frames(spark):
         total = [sum(vectors[m][i] for g, m, at, _ in pixels if (g, at) == (f, row)) for i in (0, 1)]
         norm = sum(v * v for v in total) ** 0.5
         assert one[f, row] == pytest.approx([v / norm for v in total]) and two[f, row] == pytest.approx(one[f, row])
+
+
+@pytest.mark.parametrize("how", ["hierarchical", "sequential"])
+def test_scenes_merged_in_a_task_equal_those_merged_by_joins(spark, monkeypatch, how):
+    from atrium.operators import clustering
+
+    r = random.Random(3)
+    rows = [(s, f, f * 10 + int(x // 2), i, x, r.random(), r.random()) for s in range(2) for f in range(5) for i, x in enumerate(r.random() * 4 + f / 9 for _ in range(40))]
+    df = spark.createDataFrame(rows, "scene long, frame long, segment long, point long, x double, y double, z double")
+    more = (0.5, 0.1, 0.1, 0.4, 0.25, 0.6) if how == "hierarchical" else (0.1, 0.4, 0.4, 0.25)
+
+    def merged():
+        out = getattr(clustering, f"{how}_merge")(df, "frame", "segment", "point", *more, keys=("scene",))
+        return sorted((x.scene, x.segment, x.point, round(x.x, 9), round(x.y, 9), round(x.z, 9)) for x in out.collect())
+
+    one = merged()
+    monkeypatch.setattr(tiles, "WHOLE", 10)
+    assert one == merged()
+    assert 1 < len({x[:2] for x in one}) < len({(x[0], x[2]) for x in rows})
