@@ -9,8 +9,9 @@ from pyspark.sql.window import Window as W
 from ..functions.geometry import rgb_hex
 from ..functions.phrases import ASKED_ROOMS, UNASKED_OBJECTS, parent_id
 from ..functions.vector import mean_vectors
-from ..operators import graph, ordered, spatial
+from ..operators import graph, ordered, spatial, tiles
 from ..operators.masks import match_colours
+from ..session import cut
 
 
 def find_floors(points: DataFrame, bin_width: float = 0.01, sigma: float = 2.0, min_bins: int = 20, keys: tuple[str, ...] = ("scene",)) -> DataFrame:
@@ -42,10 +43,14 @@ def assign_rooms(points: DataFrame, rooms: DataFrame, segment: str = "segment",
     points: keys, segment, point_id, x, z; rooms: keys, room_id, cell_id, x, z (room cells).
     """
     names = list(keys)
-    near = spatial.within_radius(points.select(*names, segment, "point_id", "x", "z"), rooms.select(*names, "room_id", "cell_id", "x", "z"), radius, keys, ("x", "z"))
+    kind = points.schema[segment].dataType if points.schema[segment].dataType == rooms.schema["room_id"].dataType else "string"
+    flat = ("x", "z")
+    # an object's points at one place are one; only rooms' cells are counted
+    seen = spatial.finite(points, flat).select(*names, F.lit(0).alias("side"), F.col(segment).cast(kind).alias("a"), *flat).distinct().withColumn("point", F.monotonically_increasing_id().cast(rooms.schema["cell_id"].dataType))
+    cells = spatial.finite(rooms, flat).select(*names, F.lit(1).alias("side"), F.col("room_id").cast(kind).alias("a"), *flat, F.col("cell_id").alias("point"))
+    near = tiles.near_numbers(cut(seen).unionByName(cells), radius, keys, flat, True).where("side = 1")
+    share = near.select(*names, F.col("b").cast(points.schema[segment].dataType).alias(segment), F.col("a").cast(rooms.schema["room_id"].dataType).alias("room_id"), F.col("n").alias("hits"))
     size = points.groupBy(*names, segment).agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("z").alias("cz"))
-    cells = near.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{segment}").alias(segment), F.col("r.room_id").alias("room_id"), F.col("r.cell_id").alias("cell_id")).distinct()
-    share = cells.groupBy(*names, segment, "room_id").agg(F.count("*").alias("hits"))
     best = share.groupBy(*names, segment).agg(F.min_by("room_id", F.struct(-F.col("hits"), F.col("room_id"))).alias("by_overlap"))
     centres = rooms.groupBy(*names, "room_id").agg(F.avg("x").alias("rx"), F.avg("z").alias("rz"))
     dx, dz = F.col("cx") - F.col("rx"), F.col("cz") - F.col("rz")

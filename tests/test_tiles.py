@@ -75,3 +75,30 @@ def test_scenes_merged_in_a_task_equal_those_merged_by_joins(spark, monkeypatch,
     monkeypatch.setattr(tiles, "WHOLE", 10)
     assert one == merged()
     assert 1 < len({x[:2] for x in one}) < len({(x[0], x[2]) for x in rows})
+
+
+def test_clusters_of_places_equal_those_by_joins(spark, monkeypatch):
+    """And 40,000 points at one place, whose 1.6 billion pairs are not made."""
+    from atrium.operators import clustering
+
+    r = random.Random(5)
+    rows = [(s, i, round(r.random() * 9), round(r.random() * 9) / 1.0, r.random()) for s in range(2) for i in range(160)] + [(0, 999, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame([(s, i, float(x), y, z) for s, i, x, y, z in rows], "scene long, point long, x double, y double, z double")
+    run = lambda: sorted((x.scene, x.point, -1 if x.cluster is None else x.cluster) for x in clustering.dbscan(df, "point", 1.01, 6, ("scene",)).collect())
+    one = run()
+    many = spark.range(40000).select(F.col("id").alias("point"), *[F.lit(1.0).alias(a) for a in AXES])
+    assert clustering.dbscan(many, "point", 0.5, 40000).where("cluster = 0").count() == 40000
+    monkeypatch.setattr(tiles, "WHOLE", 10)
+    assert one == run()
+    assert len({x[2] for x in one}) > 2 and (0, 999, -1) in one
+
+
+def test_rooms_of_many_points_and_cells_at_one_place(spark):
+    """50,000 points of an object meet 50,000 cells of its room as one place each; a cell counts once however many rows it has."""
+    from atrium.plans import scene
+
+    points = spark.range(50000).select(F.col("id").alias("point_id"), F.lit(7).alias("segment"), F.lit(1.0).alias("x"), F.lit(1.0).alias("z"))
+    cells = spark.range(50000).select(F.lit("r").alias("room_id"), (F.col("id") % 25000).alias("cell_id"), F.lit(1.0).alias("x"), F.lit(1.1).alias("z"))
+    more = spark.range(30000).select(F.lit("s").alias("room_id"), (F.col("id") + 50000).alias("cell_id"), F.lit(1.1).alias("x"), F.lit(1.0).alias("z"))
+    (row,) = scene.assign_rooms(points, cells.unionByName(more)).collect()
+    assert (row.segment, row.room_id) == (7, "s")
