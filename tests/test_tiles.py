@@ -102,3 +102,18 @@ def test_rooms_of_many_points_and_cells_at_one_place(spark):
     more = spark.range(30000).select(F.lit("s").alias("room_id"), (F.col("id") + 50000).alias("cell_id"), F.lit(1.1).alias("x"), F.lit(1.0).alias("z"))
     (row,) = scene.assign_rooms(points, cells.unionByName(more)).collect()
     assert (row.segment, row.room_id) == (7, "s")
+
+
+def test_vectors_clustered_by_blocks_equal_those_by_joins(spark, monkeypatch):
+    from atrium.operators import clustering
+
+    r = random.Random(7)
+    centres = [[r.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(i % 2, i, [c + r.gauss(0, 0.45) for c in centres[i % 6]]) for i in range(160)] + [(0, 900, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "room long, item long, embedding array<double>")
+    run = lambda: sorted((x.room, x.item, -1 if x.cluster is None else x.cluster) for x in clustering.cosine_dbscan(df, "item", 0.15, 4, ("room",)).collect())
+    monkeypatch.setattr(clustering, "_BLOCK", 16)
+    one = run()
+    monkeypatch.setattr(tiles, "WHOLE", 10)
+    assert one == run()
+    assert len({x[2] for x in one}) > 3 and (0, 900, -1) in one
